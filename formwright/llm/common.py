@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterat
     """Cut record batches so that one piece holds about CHUNK_BYTES of text (one document at least)."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
-        sizes = np.asarray(pa.compute.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        sizes = np.asarray(pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
         if not len(sizes):
             continue
         part = np.cumsum(sizes) // CHUNK_BYTES
