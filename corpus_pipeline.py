@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from formwright.llm import exact_dedup, near_dedup
+from formwright.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from formwright.llm.common import saved, table
 
 
+def drop_toxic(spark, docs, sf_dir):
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def drop_exact_copies(spark, docs, sf_dir):
     return exact_dedup.drop_copies(docs, keep_largest=False)
 
@@ -14,7 +18,21 @@ def drop_near_copies(spark, docs, sf_dir):
     return near_dedup.one_of_each(docs)
 
 
-STAGES = [("exact_dedup", drop_exact_copies), ("near_dedup", drop_near_copies)]
+def mix_sources(spark, docs, sf_dir):
+    return mixing.poisson_mix(docs).drop("copy", "shuffle_key")
+
+
+def pack_sequences(spark, docs, sf_dir):
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
 #: Stages 1, 3 and 5 cannot be expressed in SQL; tests/llm holds brute-force versions.
 ORACLE_SQL = None
