@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprint, mixing, near_dedup, packing, pii, sentence_spans, toxicity, url_filter
+from . import exact_dedup, fingerprint, mixing, near_dedup, packing, pii, sentence_spans, substrings, toxicity, url_filter
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
+    "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_sentence_span_dedup": sentence_spans.op3_sentence_span_dedup,
     "op4_multiset_fingerprints": fingerprint.op4_multiset_fingerprints,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
