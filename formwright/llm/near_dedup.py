@@ -6,8 +6,9 @@ arrives there first; two documents agree in a slot with the probability Jaccard
 Points later than the time by which all slots are nearly surely full are never drawn.
 
 Documents with equal weighted shingles are one class from the start, so groups of copies cost one row each. In a
-bucket of a band, every member is first compared with the bucket's smallest member; only where components still
-differ after that are other members compared. A pair within one component adds no link between classes.
+bucket of a band, every member is first compared with the bucket's smallest member. Buckets whose members are then
+still in several components are dealt in blocks: each pair of blocks is one task's work, which compares all members
+across components and returns only links. A pair within one component adds no link between classes.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .graph import components
 
 WORDS = 5
 SIMILARITY = 0.8
+#: Members of one block of a bucket, and shingles that are compared at a time.
+BLOCK, SLAB = 64, 16_384
 #: 24 bands of 5 slots: a pair at 0.8 shares a bucket with probability 0.9999.
 BANDS, ROWS = 24, 5
 _U = np.uint64
@@ -126,6 +129,48 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+def _block_links(left: list, right: list, band: int, least: float) -> list[tuple[int, int]]:
+    """Links between members of two blocks that are in different components and meet in no earlier band."""
+    x, y = ([np.frombuffer(m["ids"], np.uint32) for m in side] for side in (left, right))
+    nx, ny = (np.array([len(v) for v in side]) for side in (x, y))
+    comp = np.array([m["comp"] for m in left])[:, None] != np.array([m["comp"] for m in right])[None, :]
+    once = np.array([m["id"] for m in left])[:, None] != np.array([m["id"] for m in right])[None, :]
+    bx, by = (np.array([m["bands"] for m in side]) for side in (left, right))
+    first = np.full(comp.shape, -1)
+    for k in range(bx.shape[1] - 1, -1, -1):
+        first[bx[:, k][:, None] == by[:, k][None, :]] = k
+    todo = comp & once & (first == band)
+    if not todo.any():
+        return []
+    every, ex = np.unique(np.concatenate(x), return_inverse=True)
+    in_y, ey = np.unique(np.concatenate(y), return_inverse=True)
+    common, cx, cy = np.intersect1d(every, in_y, return_indices=True)
+    to_x, to_y = np.full(len(every), -1), np.full(len(in_y), -1)
+    to_x[cx], to_y[cy] = np.arange(len(common)), np.arange(len(common))
+    rows, cols = (np.repeat(np.arange(len(n)), n) for n in (nx, ny)), (to_x[ex], to_y[ey])
+    (rx, ry), both = rows, np.zeros(comp.shape)
+    for a in range(0, len(common), SLAB):
+        mx, my = np.zeros((len(x), SLAB), np.float32), np.zeros((len(y), SLAB), np.float32)
+        for m, r, c in ((mx, rx, cols[0]), (my, ry, cols[1])):
+            inside = (c >= a) & (c < a + SLAB)
+            m[r[inside], c[inside] - a] = 1
+        both += mx @ my.T
+    plain = both / (nx[:, None] + ny[None, :] - both)
+    good = todo & (plain >= least)
+    for i, j in np.argwhere(todo & ~good & (both > 0)):
+        if left[i]["counts"] or right[j]["counts"]:
+            good[i, j] = similarity(left[i]["ids"], left[i]["counts"], right[j]["ids"], right[j]["counts"]) >= least
+    return [(left[i]["id"], right[j]["id"]) for i, j in np.argwhere(good)]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for k in range(batch.num_rows):
+            found += _block_links(batch.column(1)[k].as_py(), batch.column(2)[k].as_py(), batch.column(0)[k].as_py(), least)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ((), ()))], names=["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per input row: doc_id, class_id, same_id, kept.
 
@@ -161,14 +206,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARI
     comp = saved(components(links), "components")
     links = links.unionByName(verified(apart(stars, comp)))
     comp = saved(components(links), "components")
-    # Buckets whose members are still in several components: compare across components, never within one.
+    # Buckets whose members are still in several components: compare across components, block by block.
     at = members.join(comp, members.id == comp.node, "left").select("band", "h", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = at.groupBy("band", "h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band", "h")
-    open_ = saved(at.join(mixed, ["band", "h"]), "open-buckets")
-    other = open_.select("band", "h", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
-    across = open_.withColumnRenamed("id", "a").join(other, ["band", "h"]).where("comp < comp_b").select("a", "b").distinct()
-    tried = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = verified(across.join(tried, ["a", "b"], "left_anti"))
+    mixed = at.groupBy("band", "h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high").select("band", "h", "n")
+    open_ = at.join(mixed, ["band", "h"]).join(sets, "id").join(firsts.select(F.col("same_id").alias("id"), "bands"), "id")
+    cut = open_.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
+    blocks = saved(cut.groupBy("band", "h", "block").agg(F.collect_list(F.struct("id", "comp", "bands", "ids", "counts")).alias("m")), "blocks")
+    pairs = blocks.alias("l").join(blocks.alias("r"), ["band", "h"]).where("l.block <= r.block").select("band", F.col("l.m").alias("l"), F.col("r.m").alias("r"))
+    more = saved(pairs.mapInArrow(lambda it: _blocks(it, least), "a long, b long"), "block-links")
     comp = saved(components(links.unionByName(more)), "components")
     classes = firsts.select("same", "same_id").join(comp, F.col("same_id") == F.col("node"), "left").select("same", "same_id", F.coalesce("comp", "same_id").alias("class_id"))
     out = sketch.where("doc_id IS NOT NULL").select("doc_id", "same").join(classes, "same", "left")
