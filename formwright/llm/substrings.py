@@ -6,24 +6,23 @@ adds one symbol to every window and moves it behind all windows with a smaller s
 full length where their symbols agree and they had one before. After the last round equal windows are neighbours.
 
 So that windows meet without being sent one by one, each is dealt by its anchor, the smallest hash of its runs of GRAM
-bytes, which equal windows share; neighbouring windows with one anchor travel as one segment. Only anchors that two documents have
+bytes, which equal windows share; neighbouring windows with one anchor travel as one segment. Only anchors that two different texts have
 are sent, and equal segments travel as one with their smallest doc_id. Sorted runs between rounds of jobs lie in Spark's own
 shuffle files and in tables in the shared folder; one task holds a bounded batch of windows.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BASE_INV, _power, mix, saved, table, text_chunks
+from .common import _BASE, _BASE_INV, Scratch, _power, mix, table, text_chunks
 
 WINDOW, GRAM = 50, 20
 #: Windows that one construction takes, and anchors of one bucket of the sharing test.
@@ -61,7 +60,7 @@ def segments(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tupl
     return d[first], at[first] - offsets[d[first]], np.diff(np.concatenate((first, [len(at)]))), low[first]
 
 
-_PACK = np.dtype([("rest", "<u4"), ("doc", "<u2")])
+_PACK = np.dtype([("rest", "<u4"), ("doc", "<u2"), ("text", "<u4"), ("more", "<u2")])  # 48 bits of the text's hash tell copies from different texts
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -74,27 +73,30 @@ def _anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
             serial += 1
             keys = np.stack([part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)], axis=1).astype("<i8")
             rows = [(-1, keys.tobytes())]
-            pair = np.unique(np.stack([anchor, d.astype(_U)], axis=1), axis=0) if len(d) else np.zeros((0, 2), _U)
-            bucket = ((pair[:, 0] >> _U(32)) % _U(buckets)).astype(np.int64)
+            bucket = ((anchor >> _U(32)) % _U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             packed = np.empty(len(order), dtype=_PACK)
-            packed["rest"], packed["doc"] = (pair[order, 0] & _U(0xFFFFFFFF)), pair[order, 1]
+            packed["rest"], packed["doc"] = anchor[order] & _U(0xFFFFFFFF), d[order]
+            packed["text"], packed["more"] = keys[d[order], 1] & 0xFFFFFFFF, (keys[d[order], 1] >> 32) & 0xFFFF
             ends = np.searchsorted(bucket[order], np.arange(buckets + 1)) if len(order) else np.zeros(buckets + 1, np.int64)
             rows += [(b, packed[ends[b] : ends[b + 1]].tobytes()) for b in np.unique(bucket).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([serial] * len(rows), pa.int64()), pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["chunk", "bucket", "data"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket, in sorted order, the anchors that two documents have, chunk by chunk."""
+    """Of each bucket, in sorted order, the anchors that two different texts have, chunk by chunk."""
     held: list[tuple[int, np.ndarray]] = []
     bucket = None
 
     def flush() -> pa.RecordBatch:
         rest = np.concatenate([p["rest"] for _, p in held])
         order = np.argsort(rest, kind="stable")
-        same = rest[order][1:] == rest[order][:-1]
+        text = np.concatenate([p["text"].astype(np.int64) << 16 | p["more"] for _, p in held])[order]
+        new = np.concatenate(([True], rest[order][1:] != rest[order][:-1]))
+        other = np.concatenate(([False], text[1:] != text[:-1])) & ~new
         both = np.zeros(len(rest), dtype=bool)
-        both[order] = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        group = np.cumsum(new) - 1
+        both[order] = (np.bincount(group, other) > 0)[group]
         cut = np.cumsum([0, *(len(p) for _, p in held)])
         out = [(c, x.tobytes()) for (c, p), a, b in zip(held, cut[:-1], cut[1:], strict=True) if len(x := p[both[a:b]])]
         return pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([bucket] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["chunk", "bucket", "data"])
@@ -233,7 +235,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc, text, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw, spans = text.encode(), []
-            for a, b in sorted((r["a"], r["b"]) for r in ranges or []):
+            for a, b in sorted((r["a"], min(r["b"], len(raw))) for r in ranges or []):
                 if spans and a <= spans[-1][1]:
                     spans[-1][1] = max(b, spans[-1][1])
                 else:
@@ -248,12 +250,6 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
 
-def _free(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished jobs before the next ones write theirs."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame, hot_segments: int = HOT_SEGMENTS, batch_windows: int = BATCH_WINDOWS) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept (bytes), spans (removed, end exclusive).
 
@@ -266,32 +262,39 @@ def remove_repeats(docs: DataFrame, hot_segments: int = HOT_SEGMENTS, batch_wind
     long_ = texts.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WINDOW))
     size = long_.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(64, int(size / 16 / BUCKET))
-    anchors = saved(long_.mapInArrow(lambda it: _anchors(it, buckets), "chunk long, bucket int, data binary"), "anchors")
+    scratch = Scratch(spark)
+    # A copy of a text with a smaller doc_id goes as a whole, and adds nothing to what its first copy has.
+    digest = long_.select("doc_id", "row", F.xxhash64(F.lit(1), "text").alias("row2"))
+    again = digest.groupBy("row", "row2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("row", "row2", "first")
+    copies = scratch.save(digest.join(again, ["row", "row2"]).where("doc_id > first").select("doc_id", "row").distinct(), "copies")
+    anchors = scratch.save(long_.mapInArrow(lambda it: _anchors(it, buckets), "chunk long, bucket int, data binary"), "anchors")
     shared = anchors.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").select("chunk", "bucket", "data").mapInArrow(_shared, "chunk long, bucket int, data binary")
     chunks = shared.unionByName(anchors.where("bucket < 0")).repartition("chunk").sortWithinPartitions("chunk", "bucket")
-    marked = saved(chunks.mapInArrow(_by_document, "doc_id long, row long, anchors binary"), "marked")
-    _free(spark)
-    found = long_.join(marked.dropDuplicates(["doc_id", "row"]), ["doc_id", "row"]).select("doc_id", "row", "text", "anchors")
+    marked = scratch.save(chunks.mapInArrow(_by_document, "doc_id long, row long, anchors binary"), "marked")
+    scratch.drop("anchors")
+    lookup = marked.join(copies, ["doc_id", "row"], "left_anti").dropDuplicates(["doc_id", "row"])
+    found = long_.join(lookup, ["doc_id", "row"]).select("doc_id", "row", "text", "anchors")
     cut = found.mapInArrow(lambda it: _occurrences(it, buckets), "doc_id long, row long, start int, anchor long, segment binary")
-    hashed = cut.withColumns({"h1": F.xxhash64("segment"), "h2": F.xxhash64(F.lit(1), "segment")})
-    places = saved(hashed, "segments")
-    _free(spark)
-    distinct = places.groupBy("anchor", "h1", "h2", "segment").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    distinct = saved(distinct, "distinct-segments")
-    _free(spark)
+    hashed = scratch.save(cut.withColumns({"h1": F.xxhash64("segment"), "h2": F.xxhash64(F.lit(1), "segment")}), "segments")
+    scratch.drop("marked")
+    distinct = scratch.save(hashed.groupBy("anchor", "h1", "h2", "segment").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "distinct")
+    scratch.drop()
+    places = scratch.save(hashed.select("doc_id", "row", "start", "h1", "h2"), "places")
+    scratch.drop("segments")
     hot = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot_segments).select("anchor")
     cool = distinct.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
     runs = cool.select("anchor", "h1", "h2", "segment", "first", "last").mapInArrow(lambda it: _first_documents(it, batch_windows), _RUNS)
     single = distinct.join(hot, "anchor", "left_semi").select("h1", "h2", "segment", "first", "last").mapInArrow(_windows, "h1 long, h2 long, at int, bytes binary, first long, last long")
     least = single.groupBy("bytes").agg(F.min("first").alias("least"))
     lone = single.join(least, "bytes").where("least < last").groupBy("h1", "h2").agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b"), F.col("least").alias("first"))).alias("runs"))
-    firsts = saved(runs.unionByName(lone), "first-documents")
-    _free(spark)
+    firsts = scratch.save(runs.unionByName(lone), "firsts")
+    scratch.drop("distinct")
     covered = F.filter("runs", lambda r: r.first < F.col("doc_id"))
-    ranges = places.select("doc_id", "row", "start", "h1", "h2").join(firsts, ["h1", "h2"]).select("doc_id", "row", F.inline(F.transform(covered, lambda r: F.struct((F.col("start") + r.a).alias("a"), (F.col("start") + r.b + (WINDOW - 1)).alias("b")))))
-    per_doc = saved(ranges.groupBy("doc_id", "row").agg(F.collect_set(F.struct("a", "b")).alias("ranges")), "ranges")
-    _free(spark)
-    whole = texts.join(per_doc, ["doc_id", "row"], "left").select("doc_id", "text", "ranges")
+    ranges = places.join(firsts, ["h1", "h2"]).select("doc_id", "row", F.inline(F.transform(covered, lambda r: F.struct((F.col("start") + r.a).alias("a"), (F.col("start") + r.b + (WINDOW - 1)).alias("b")))))
+    per_doc = scratch.save(ranges.groupBy("doc_id", "row").agg(F.collect_set(F.struct("a", "b")).alias("ranges")), "ranges")
+    scratch.drop("places", "firsts")
+    all_of_it = copies.select("doc_id", "row", F.array(F.struct(F.lit(0).alias("a"), F.lit(2**31 - 1).alias("b"))).alias("ranges"))
+    whole = texts.join(per_doc.unionByName(all_of_it), ["doc_id", "row"], "left").select("doc_id", "text", "ranges")
     return whole.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<a: long, b: long>>")
 
 
