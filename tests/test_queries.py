@@ -1,7 +1,7 @@
 """Every registered query runs; those with SQL give the SQL's rows."""
 
 import pytest
-from conftest import same_rows
+from row_checks import same_rows
 
 from formwright.plans import registry
 
