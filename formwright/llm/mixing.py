@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import saved, table
 
 SEED = 20_26
 #: Target share of a source: its share of characters to this power, normalised. 1 keeps the mix, 0 makes sources equal.
 TEMPERATURE = 0.5
+#: Up to this many sources (at most 6 kB each) the rates go to every task; beyond, the documents are joined with them by source.
+BROADCAST_SOURCES = 2_000
 #: Rates above this are drawn as sums of equal parts; exp(-rate) stays far from underflow.
 PART_RATE = 400.0
 
@@ -44,7 +46,7 @@ def poisson_mix(docs: DataFrame, rates: DataFrame | None = None, seed: int = SEE
     that repeat a doc_id draw the same count. A null doc_id draws as the text `null`. Input columns named copy or
     shuffle_key are replaced; null and empty texts are replicated like others. An empty table gives an empty result.
     """
-    rates = repetition_rates(docs) if rates is None else rates
+    rates = saved(repetition_rates(docs) if rates is None else rates, "rates")
     parts = F.greatest(F.ceil(F.col("rate") / PART_RATE), F.lit(1)).cast("int")
     each = F.col("rate") / parts
     steps = F.sequence(F.lit(1), F.ceil(each + 12 * F.sqrt(each) + 30).cast("int"))
@@ -52,6 +54,7 @@ def poisson_mix(docs: DataFrame, rates: DataFrame | None = None, seed: int = SEE
     cdf = F.aggregate(steps, start, lambda s, k: F.struct((s.p * each / k).alias("p"), F.concat(s.cdf, F.array(F.element_at(s.cdf, -1) + s.p * each / k)).alias("cdf")), lambda s: s.cdf)
     drawn = rates.where("rate > 0").select(F.col("source").alias("_mix_source"), parts.alias("_mix_parts"), cdf.alias("_mix_cdf"))
     rows = docs.drop("copy", "shuffle_key").withColumn("_mix_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    drawn = F.broadcast(drawn) if rates.count() <= BROADCAST_SOURCES else drawn
     joined = rows.join(drawn, rows.source.eqNullSafe(F.col("_mix_source")))
     draw = lambda i: F.size(F.filter("_mix_cdf", lambda c: c < hashed_uniform(F.lit(str(seed)), F.col("_mix_id"), i.cast("string"))))
     count = F.aggregate(F.sequence(F.lit(0), F.col("_mix_parts") - 1), F.lit(0), lambda n, i: n + draw(i))
