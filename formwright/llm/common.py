@@ -49,7 +49,7 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 

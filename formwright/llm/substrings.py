@@ -26,7 +26,7 @@ from .common import _BASE, _BASE_INV, Scratch, _power, mix, table, text_chunks
 
 WINDOW, GRAM = 50, 20
 #: Windows that one construction takes, and anchors of one bucket of the sharing test.
-BATCH_WINDOWS, BUCKET = 1_000_000, 2_000_000
+BATCH_WINDOWS, BUCKET = 500_000, 2_000_000
 #: An anchor with more distinct segments than this has its windows dealt one by one.
 HOT_SEGMENTS = 20_000
 _U = np.uint64
@@ -275,11 +275,11 @@ def remove_repeats(docs: DataFrame, hot_segments: int = HOT_SEGMENTS, batch_wind
     lookup = marked.join(copies, ["doc_id", "row"], "left_anti").dropDuplicates(["doc_id", "row"])
     found = long_.join(lookup, ["doc_id", "row"]).select("doc_id", "row", "text", "anchors")
     cut = found.mapInArrow(lambda it: _occurrences(it, buckets), "doc_id long, row long, start int, anchor long, segment binary")
-    hashed = scratch.save(cut.withColumns({"h1": F.xxhash64("segment"), "h2": F.xxhash64(F.lit(1), "segment")}), "segments")
+    cut = scratch.save(cut, "segments")
     scratch.drop("marked")
-    distinct = scratch.save(hashed.groupBy("anchor", "h1", "h2", "segment").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "distinct")
-    scratch.drop()
-    places = scratch.save(hashed.select("doc_id", "row", "start", "h1", "h2"), "places")
+    digests = {"h1": F.xxhash64("segment"), "h2": F.xxhash64(F.lit(1), "segment")}
+    places = scratch.save(cut.withColumns(digests).select("doc_id", "row", "start", "h1", "h2"), "places")
+    distinct = scratch.save(cut.groupBy("anchor", "segment").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).withColumns(digests), "distinct")
     scratch.drop("segments")
     hot = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot_segments).select("anchor")
     cool = distinct.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
