@@ -40,46 +40,63 @@ def _cross(e: Column) -> Column:
     return e.a.x * e.b.y - e.b.x * e.a.y
 
 
+def side_length(e: Column) -> Column:
+    return F.sqrt((e.b.x - e.a.x) * (e.b.x - e.a.x) + (e.b.y - e.a.y) * (e.b.y - e.a.y))
+
+
 def ring_area_signed(r: Column) -> Column:
     return _total(F.transform(edges(r), _cross)) / 2
 
 
 def ring_length(r: Column) -> Column:
-    return _total(F.transform(edges(r), lambda e: F.sqrt((e.b.x - e.a.x) * (e.b.x - e.a.x) + (e.b.y - e.a.y) * (e.b.y - e.a.y))))
-
-
-def ring_centroid(r: Column) -> Column:
-    """Area centroid; the mean of the points where the ring has no area."""
-    six = 6 * ring_area_signed(r)
-    cx = _total(F.transform(edges(r), lambda e: (e.a.x + e.b.x) * _cross(e)))
-    cy = _total(F.transform(edges(r), lambda e: (e.a.y + e.b.y) * _cross(e)))
-    mean = lambda axis: _total(F.transform(r, lambda p: p[axis])) / F.greatest(F.size(r), F.lit(1))
-    return F.struct(F.coalesce(F.try_divide(cx, six), mean("x")).alias("x"), F.coalesce(F.try_divide(cy, six), mean("y")).alias("y"))
+    return _total(F.transform(edges(r), side_length))
+
+
+def _sums(**fields: Column) -> Column:
+    return F.struct(*[v.alias(n) for n, v in fields.items()])
+
+
+def measure(parts: Column) -> Column:
+    """STRUCT<area, perimeter, cx, cy> of a footprint, in one pass over its sides: holes count against their shell; without area the centre is the mean of the first shell's points."""
+    zero = F.lit(0.0)
+    of_ring = lambda r: F.aggregate(
+        edges(r),
+        _sums(c=zero, x=zero, y=zero, p=zero),
+        lambda s, e: _sums(c=s.c + _cross(e), x=s.x + (e.a.x + e.b.x) * _cross(e), y=s.y + (e.a.y + e.b.y) * _cross(e), p=s.p + side_length(e)),
+    )
+    # A shell counts with positive, a hole with negative area, whichever way it turns.
+    turned = lambda s, i: _sums(c=F.abs(s.c) * F.when(i == 0, 1.0).otherwise(-1.0), x=s.x * F.signum(s.c) * F.when(i == 0, 1.0).otherwise(-1.0), y=s.y * F.signum(s.c) * F.when(i == 0, 1.0).otherwise(-1.0), p=s.p)
+    rings = F.flatten(F.transform(parts, lambda rs: F.transform(F.transform(rs, of_ring), turned)))
+    first = parts[0][0]
+    mean = lambda axis: _total(F.transform(first, lambda v: v[axis])) / F.greatest(F.size(first), F.lit(1))
+    return F.aggregate(
+        rings,
+        _sums(c=zero, x=zero, y=zero, p=zero),
+        lambda s, r: _sums(c=s.c + r.c, x=s.x + r.x, y=s.y + r.y, p=s.p + r.p),
+        lambda s: _sums(area=s.c / 2, perimeter=s.p, cx=F.coalesce(F.try_divide(s.x, 3 * s.c), mean("x")), cy=F.coalesce(F.try_divide(s.y, 3 * s.c), mean("y"))),
+    )
 
 
 def area(parts: Column) -> Column:
     """Shells less holes, summed over parts."""
-    of = lambda rings: _total(F.transform(rings, lambda r, i: F.when(i == 0, F.abs(ring_area_signed(r))).otherwise(-F.abs(ring_area_signed(r)))))
-    return _total(F.transform(parts, of))
+    return measure(parts).area
 
 
 def perimeter(parts: Column) -> Column:
     """Boundary length, holes included."""
-    return _total(F.transform(parts, lambda rings: _total(F.transform(rings, ring_length))))
+    return measure(parts).perimeter
 
 
 def centroid(parts: Column) -> Column:
     """Area-weighted over shells and holes."""
-    weight = lambda r, i: F.when(i == 0, F.abs(ring_area_signed(r))).otherwise(-F.abs(ring_area_signed(r)))
-    moment = lambda axis: _total(F.transform(parts, lambda rings: _total(F.transform(rings, lambda r, i: weight(r, i) * ring_centroid(r)[axis]))))
-    first = ring_centroid(parts[0][0])
-    return F.struct(F.coalesce(F.try_divide(moment("x"), area(parts)), first.x).alias("x"), F.coalesce(F.try_divide(moment("y"), area(parts)), first.y).alias("y"))
+    m = measure(parts)
+    return F.struct(m.cx.alias("x"), m.cy.alias("y"))
 
 
 def largest_shell(parts: Column) -> Column:
     """The shell of the part with the most area, the first of equals; vertex metrics are taken on it."""
     tagged = F.transform(parts, lambda rings, i: F.struct(F.abs(ring_area_signed(rings[0])).alias("a"), (-i).alias("i"), rings[0].alias("r")))
-    return F.array_max(F.transform(tagged, lambda t: F.struct(t.a.alias("a"), t.i.alias("i"), t.r.alias("r")))).r
+    return F.when(F.size(parts) == 1, parts[0][0]).otherwise(F.array_max(tagged).r)
 
 
 def bounds(parts: Column) -> Column:
@@ -117,21 +134,25 @@ def radii(r: Column, cx: Column, cy: Column) -> Column:
     return F.transform(r, lambda v: F.sqrt((v.x - cx) * (v.x - cx) + (v.y - cy) * (v.y - cy)))
 
 
-def vertex_metrics(r: Column, a: Column, cx: Column, cy: Column) -> dict[str, Column]:
-    """Mean radius, largest circularity, boundary compactness, cross moment and spread of the ring's vertices about a centre."""
-    d, n = radii(r, cx, cy), F.size(r)
-    total = _total(d)
+def vertex_metrics(r: Column, d: Column, a: Column, cx: Column, cy: Column) -> dict[str, Column]:
+    """Mean radius, largest circularity, boundary compactness, cross moment and spread of the ring's vertices about a centre at distances d."""
+    n = F.size(r)
+    share = lambda v: F.coalesce(F.try_divide(100 * v, _total(d)), F.lit(0.0))
     return {
-        "mean_radius": F.coalesce(F.try_divide(total, n), F.lit(0.0)),
+        "mean_radius": F.coalesce(F.try_divide(_total(d), n), F.lit(0.0)),
         "max_circularity": F.coalesce(F.try_divide(F.sqrt(a / math.pi), F.array_max(d)), F.lit(1.0)),
-        "bci": _total(F.transform(d, lambda v: F.abs(F.coalesce(F.try_divide(100 * v, total), F.lit(0.0)) - 100.0 / n))),
+        "bci": _total(F.transform(d, lambda v: F.abs(share(v) - 100.0 / n))),
         "cross_moment_mu11": _total(F.transform(r, lambda v: (v.x - cx) * (v.y - cy))),
-        "variance_spreading": F.coalesce(F.try_divide(_total(F.transform(r, lambda v: (v.x - cx) * (v.x - cx))) + _total(F.transform(r, lambda v: (v.y - cy) * (v.y - cy))), n), F.lit(0.0)),
+        "variance_spreading": F.coalesce(F.try_divide(_total(F.transform(d, lambda v: v * v)), n), F.lit(0.0)),
     }
 
 
 def weighted_orientation(r: Column) -> Column:
     """Mean of side angles, each folded and weighing its length; sides of no length don't count."""
-    length = lambda e: F.sqrt((e.b.x - e.a.x) * (e.b.x - e.a.x) + (e.b.y - e.a.y) * (e.b.y - e.a.y))
-    turned = _total(F.transform(edges(r), lambda e: length(e) * fold(F.atan2(e.b.y - e.a.y, e.b.x - e.a.x))))
-    return F.coalesce(F.try_divide(turned, ring_length(r)), F.lit(0.0))
+    zero = F.lit(0.0)
+    return F.aggregate(
+        edges(r),
+        _sums(t=zero, p=zero),
+        lambda s, e: _sums(t=s.t + side_length(e) * fold(F.atan2(e.b.y - e.a.y, e.b.x - e.a.x)), p=s.p + side_length(e)),
+        lambda s: F.coalesce(F.try_divide(s.t, s.p), zero),
+    )

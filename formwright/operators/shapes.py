@@ -26,8 +26,7 @@ def feature_names(has_height: bool = False) -> list[str]:
 
 def measured(df: DataFrame, parts: str = "parts") -> DataFrame:
     """df with area, perimeter, cx, cy and shell (the largest part's): what most metrics start from."""
-    c = g.centroid(F.col(parts))
-    return df.withColumns({"area": g.area(F.col(parts)), "perimeter": g.perimeter(F.col(parts)), "_c": c, "shell": g.largest_shell(F.col(parts))}).withColumns({"cx": F.col("_c.x"), "cy": F.col("_c.y")}).drop("_c")
+    return df.select("*", g.measure(F.col(parts)).alias("_m"), g.largest_shell(F.col(parts)).alias("shell")).select("*", "_m.*").drop("_m")
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -58,10 +57,10 @@ def hull_features(df: DataFrame, keys: list[str], parts: str = "parts") -> DataF
 
 def simple_features(df: DataFrame, parts: str = "parts") -> DataFrame:
     """df with the metrics that column expressions give; all 0 for a shell of fewer than 3 points."""
-    m = measured(df, parts)
-    a, p, r = F.col("area"), F.col("perimeter"), F.col("shell")
-    made = {"complexity_index": g.complexity_index(a, p), "ipq": g.isoperimetric_quotient(a, p), "fractality": g.fractality(a, p), "weighted_orientation": g.weighted_orientation(r)} | g.vertex_metrics(r, a, F.col("cx"), F.col("cy"))
-    return m.withColumns({n: F.when(F.size(r) >= 3, c).otherwise(0.0) for n, c in made.items()})
+    a, p, r, d, cx, cy = (F.col(c) for c in ("area", "perimeter", "shell", "_d", "cx", "cy"))
+    m = measured(df, parts).select("*", g.radii(r, cx, cy).alias("_d"))
+    made = {"complexity_index": g.complexity_index(a, p), "ipq": g.isoperimetric_quotient(a, p), "fractality": g.fractality(a, p), "weighted_orientation": g.weighted_orientation(r)} | g.vertex_metrics(r, d, a, cx, cy)
+    return m.withColumns({n: F.when(F.size(r) >= 3, c).otherwise(0.0) for n, c in made.items()}).drop("_d")
 
 
 def building_features(df: DataFrame, keys: list[str], cover: DataFrame | None = None, parts: str = "parts") -> DataFrame:
