@@ -323,3 +323,100 @@ def voronoi_shares(points: np.ndarray, parcel: np.ndarray) -> np.ndarray:
         a = abs(polygon_area(cell)) if len(cell) >= 3 else 0.0
         shares[i] = a if a > 0 else even
     return shares
+
+
+def _inside_any(points: np.ndarray, footprints: list[list[np.ndarray]]) -> np.ndarray:
+    """Whether each point lies in any footprint (even-odd over its rings)."""
+    out = np.zeros(len(points), dtype=bool)
+    for rings in footprints:
+        odd = np.zeros(len(points), dtype=bool)
+        for r in rings:
+            a, b = r, np.roll(r, -1, axis=0)
+            across = (a[None, :, 1] > points[:, None, 1]) != (b[None, :, 1] > points[:, None, 1])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                x = (b[:, 0] - a[:, 0]) * (points[:, None, 1] - a[:, 1]) / (b[:, 1] - a[:, 1]) + a[:, 0]
+            odd ^= (across & (points[:, None, 0] < x)).sum(axis=1) % 2 == 1
+        out |= odd
+    return out
+
+
+def overlay(left: list[list[np.ndarray]], right: list[list[np.ndarray]] | None = None, digits: int = 6) -> list[list[np.ndarray]]:
+    """Union of the footprints on the left or, with a right side, its intersection with the union of those; parts of shell and holes.
+
+    A footprint is its rings. All sides are cut where they meet; a piece is on the border of the result where the result lies on one of its two sides only, and such pieces
+    join to rings with the result on their left. Coordinates are rounded to `digits`, which also joins what lies that close.
+    """
+    every = [r for side in (left, right or []) for rings in side for r in rings if len(r) >= 3]
+    if not left or not every or (right is not None and not right):
+        return []
+    a = np.round(np.concatenate(every), digits)
+    b = np.round(np.concatenate([np.roll(r, -1, axis=0) for r in every]), digits)
+    keep = (a != b).any(axis=1)
+    a, b = a[keep], b[keep]
+    d = b - a
+    pieces: set[tuple] = set()
+    for i in range(len(a)):
+        w = a - a[i]
+        turn = d[i, 0] * d[:, 1] - d[i, 1] * d[:, 0]
+        at = [0.0, 1.0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = (w[:, 0] * d[:, 1] - w[:, 1] * d[:, 0]) / turn
+            u = (w[:, 0] * d[i, 1] - w[:, 1] * d[i, 0]) / turn
+        meets = (np.abs(turn) > 1e-12) & (t > 0) & (t < 1) & (u >= -1e-9) & (u <= 1 + 1e-9)
+        at += t[meets].tolist()
+        n = d[i] @ d[i]
+        along = np.abs(turn) <= 1e-12
+        for p in (a[along], b[along]):  # collinear sides cut each other at their ends
+            off = np.abs((p - a[i]) @ np.array([-d[i, 1], d[i, 0]])) <= 10.0**-digits * math.sqrt(n)
+            s = (p - a[i]) @ d[i] / n
+            at += s[off & (s > 0) & (s < 1)].tolist()
+        cuts = np.round(a[i] + np.array(sorted(set(at)))[:, None] * d[i], digits)
+        for p, q in zip(map(tuple, cuts[:-1]), map(tuple, cuts[1:]), strict=True):
+            if p != q:
+                pieces.add((p, q) if p < q else (q, p))
+    if not pieces:
+        return []
+    s = np.array(sorted(pieces))
+    middle, along = s.mean(axis=1), s[:, 1] - s[:, 0]
+    length = np.sqrt((along**2).sum(axis=1, keepdims=True))
+    normal = np.stack([-along[:, 1], along[:, 0]], axis=1) / length * np.minimum(length * 1e-3, 10.0 ** (1 - digits))
+    sides = []
+    for p in (middle + normal, middle - normal):
+        hit = _inside_any(p, left)
+        sides.append(hit if right is None else hit & _inside_any(p, right))
+    on, off = sides
+    follow: dict[tuple, list[tuple]] = {}
+    for (p, q), l, r in zip(s.tolist(), on, off, strict=True):
+        if l != r:
+            p, q = (tuple(p), tuple(q)) if l else (tuple(q), tuple(p))
+            follow.setdefault(p, []).append(q)
+    rings = []
+    while follow:
+        start = min(follow)
+        ring, here, last = [start], follow[start].pop(), start
+        if not follow[start]:
+            del follow[start]
+        while here != start:
+            ring.append(here)
+            back = math.atan2(last[1] - here[1], last[0] - here[0])
+            # At a point where rings touch, turn as far to the right as can be: rings then touch but never cross.
+            choices = follow.get(here)
+            if not choices:
+                break
+            nxt = min(choices, key=lambda q: (back - math.atan2(q[1] - here[1], q[0] - here[0])) % (2 * math.pi) or 2 * math.pi)
+            choices.remove(nxt)
+            if not choices:
+                del follow[here]
+            here, last = nxt, here
+        if len(ring) >= 3 and here == start:
+            p = np.array(ring)
+            bent = np.abs((p[:, 0] - np.roll(p, 1, 0)[:, 0]) * (np.roll(p, -1, 0)[:, 1] - p[:, 1]) - (p[:, 1] - np.roll(p, 1, 0)[:, 1]) * (np.roll(p, -1, 0)[:, 0] - p[:, 0])) > 1e-12
+            rings.append(p[bent] if bent.sum() >= 3 else p)
+    shells = [r for r in rings if polygon_area(r) > 0]
+    parts = [[r] for r in sorted(shells, key=lambda r: abs(polygon_area(r)))]
+    for h in (r for r in rings if polygon_area(r) < 0):
+        probe = h.mean(axis=0, keepdims=True) if _inside_any(h.mean(axis=0, keepdims=True), [[h]])[0] else h[:1]
+        home = next((part for part in parts if _inside_any(probe, [[part[0]]])[0]), None)
+        if home is not None:
+            home.append(h)
+    return parts

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from formwright.functions import kernels as k
+
 #: Land-use classes of the source map and the five that they become.
 CLASS_RECODE = {0: 1, 1: 2, 2: 2, 3: 3, 4: 4, 5: 4, 6: 5, 7: 5, 8: 5, 9: 5, 10: 5}
 
@@ -49,3 +55,49 @@ def merge_attributes(df: DataFrame, groups: DataFrame, key: str) -> DataFrame:
 def big_enough(df: DataFrame, group: str, least: int = 4) -> DataFrame:
     """Rows of the groups that have at least `least` rows."""
     return df.withColumn("_n", F.count("*").over(Window.partitionBy(group))).where(F.col("_n") >= least).drop("_n")
+
+
+def _rings(parts: list) -> list[list[np.ndarray]]:
+    return [[np.array([[p["x"], p["y"]] for p in r], dtype=float).reshape(-1, 2) for r in part] for part in ([] if parts is None else parts)]
+
+
+def _points(parts: list[list[np.ndarray]]) -> list:
+    return [[[{"x": float(x), "y": float(y)} for x, y in r] for r in part] for part in parts]
+
+
+_PARTS = "array<array<array<struct<x: double, y: double>>>>"
+
+
+def dissolve(df: DataFrame, group: str, parts: str = "parts") -> DataFrame:
+    """group, parts: the union of each group's footprints. Groups are clusters of touching buildings, so each is a small set of shapes."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        every = [rings for p in pdf[parts] for rings in _rings(p)]
+        joined = every if len(every) == 1 else k.overlay(every)
+        return pd.DataFrame({group: [pdf[group].iloc[0]], parts: [_points(joined)]})
+
+    kind = df.schema[group].dataType.simpleString()
+    alone = df.withColumn("_n", F.count("*").over(Window.partitionBy(group)))
+    single = alone.where("_n = 1").select(group, parts)
+    return single.unionByName(alone.where("_n > 1").select(group, parts).groupBy(group).applyInPandas(run, f"{group} {kind}, {parts} {_PARTS}"))
+
+
+def clip_to_areas(df: DataFrame, key: str, areas: DataFrame, cell: float, parts: str = "parts") -> DataFrame:
+    """key, parts: the footprints cut to the union of the areas (parts); those outside go. Only areas whose grid cells a footprint's box touches are tried on it."""
+    from . import spatial
+
+    a = spatial.with_bounds(areas.select("parts")).withColumn("area_id", F.monotonically_increasing_id())
+    b = spatial.with_bounds(df.select(key, F.col(parts).alias("parts")))
+    grid = spatial.cells(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy"), cell)
+    near = b.select(key, F.inline(grid)).join(a.select("area_id", F.inline(grid)), ["gx", "gy"]).select(key, "area_id").distinct()
+    pairs = near.join(a.select("area_id", F.col("parts").alias("area")), "area_id").join(b.select(key, "parts"), key)
+    grouped = pairs.groupBy(key).agg(F.first("parts").alias("parts"), F.collect_list("area").alias("areas"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [_points(k.overlay(_rings(p), [r for x in xs for r in _rings(x)])) for p, xs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.list_(pa.list_(pa.list_(point))))], names=[key, parts])
+
+    kind = df.schema[key].dataType.simpleString()
+    return grouped.mapInArrow(run, f"{key} {kind}, {parts} {_PARTS}").where(F.size(parts) > 0)

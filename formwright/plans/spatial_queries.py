@@ -70,6 +70,32 @@ def merge_close_buildings(spark, sf_dir):
     return merged.select("group_id", "block_id", F.round("height", 6).alias("height"), "building_ids", "n_buildings", "first_id")
 
 
+@query(f"""WITH RECURSIVE {_BOXES}, sym AS (SELECT a, b FROM touch UNION ALL SELECT b, a FROM touch),
+reach AS (SELECT building_id AS node, building_id AS label FROM bld UNION SELECT s.b, r.label FROM reach r JOIN sym s ON s.a = r.node WHERE r.label < s.b),
+grp AS (SELECT node AS building_id, min(label) AS group_id FROM reach GROUP BY node),
+r AS (SELECT group_id, 2 * lx AS x1, 2 * hx AS x2, 2 * ly AS y1, 2 * hy AS y2 FROM rect JOIN grp USING (building_id)),
+cell AS (SELECT DISTINCT group_id, x, y FROM r, range(0, 60) AS i(dx), range(0, 40) AS j(dy), LATERAL (SELECT x1 + dx AS x, y1 + dy AS y) WHERE x1 + dx < x2 AND y1 + dy < y2)
+SELECT group_id, round(count(*) / 4.0, 4)::DOUBLE AS area FROM cell GROUP BY group_id""")
+def dissolved_groups(spark, sf_dir):
+    """The union of each group of touching buildings; the SQL counts quarter units."""
+    b = buildings(spark, sf_dir, placed=True)
+    groups = components.connected(spatial.touching_pairs(b, "building_id"), b, "building_id")
+    out = cleaning.dissolve(b.select("building_id", "parts").join(groups, "building_id"), "group_id")
+    return out.select("group_id", F.round(g.area(F.col("parts")), 4).alias("area"))
+
+
+@query(f"""WITH {_BOXES}, x AS (SELECT building_id, h, w, greatest(0, least(w, 3000 - lx)) AS cw, lx, ly FROM box WHERE lx < 3000 AND ly < 3300)
+SELECT building_id, round(least(w, cw) * h / 2 + least(w / 2, cw) * h / 2, 4) AS area FROM x""")
+def clip_to_polygons(spark, sf_dir):
+    """Footprints cut to two touching districts."""
+    b = buildings(spark, sf_dir, placed=True)
+    areas = spark.createDataFrame([("west", 0.0, 1500.0), ("east", 1500.0, 3000.0)], "name string, x0 double, x1 double")
+    x0, x1, lo, hi = F.col("x0"), F.col("x1"), F.lit(-50.0), F.lit(3300.0)
+    areas = areas.select(F.array(F.array(g.ring((x0, lo), (x1, lo), (x1, hi), (x0, hi)))).alias("parts"))
+    out = cleaning.clip_to_areas(b, "building_id", areas, 500.0)
+    return out.select("building_id", F.round(g.area(F.col("parts")), 4).alias("area"))
+
+
 @query(f"""WITH {_BOXES}, x AS (SELECT building_id, least(w, greatest(0, 3000 - lx)) AS cw, w, h, lx FROM box WHERE lx < 3000 AND ly < 3300)
 SELECT building_id, round(least(w, cw) * h / 2 + least(w / 2, cw) * h / 2, 6) AS area FROM x""")
 def clip_to_district(spark, sf_dir):
