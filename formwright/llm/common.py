@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -59,8 +60,10 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        gc.collect()
-        jvm.System.gc()
+        for wait in (0.3, 0.0):  # the last job's plan is let go a moment after it ends
+            gc.collect()
+            jvm.System.gc()
+            time.sleep(wait)
 
 
 def whole_texts(df: DataFrame) -> DataFrame:

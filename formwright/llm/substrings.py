@@ -29,6 +29,8 @@ WINDOW, GRAM = 50, 20
 BATCH_WINDOWS, BUCKET = 500_000, 2_000_000
 #: An anchor with more distinct segments than this has its windows dealt one by one.
 HOT_SEGMENTS = 20_000
+#: Up to this many such anchors (8 bytes each) go to every task; beyond, they are joined.
+BROADCAST_ANCHORS = 100_000
 _U = np.uint64
 
 
@@ -281,7 +283,8 @@ def remove_repeats(docs: DataFrame, hot_segments: int = HOT_SEGMENTS, batch_wind
     places = scratch.save(cut.withColumns(digests).select("doc_id", "row", "start", "h1", "h2"), "places")
     distinct = scratch.save(cut.groupBy("anchor", "segment").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).withColumns(digests), "distinct")
     scratch.drop("segments")
-    hot = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot_segments).select("anchor")
+    hot = scratch.save(distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot_segments).select("anchor"), "hot")
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_ANCHORS else hot
     cool = distinct.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
     runs = cool.select("anchor", "h1", "h2", "segment", "first", "last").mapInArrow(lambda it: _first_documents(it, batch_windows), _RUNS)
     single = distinct.join(hot, "anchor", "left_semi").select("h1", "h2", "segment", "first", "last").mapInArrow(_windows, "h1 long, h2 long, at int, bytes binary, first long, last long")
