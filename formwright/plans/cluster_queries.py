@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from formwright.operators import clustering as cl
 from formwright.operators import explaining as ex
+from formwright.operators import layout as lo
 from formwright.operators import parcel_types as pt
 from formwright.operators import spatial
 
@@ -66,6 +67,20 @@ def k_search(spark, sf_dir):
     return out.select("k", F.round("score", 4).alias("score"), F.round("largest_frac", 4).alias("largest_frac"))
 
 
+@query()
+def neighbour_layout(spark, sf_dir):
+    """Every row placed in two dimensions among its neighbours."""
+    out = lo.embed(vectors(spark, sf_dir), "vec_id", "x", epochs=50, most=2_000)
+    return out.select("vec_id", F.round("embed_x", 3).alias("embed_x"), F.round("embed_y", 3).alias("embed_y"))
+
+
+@query()
+def layout_scan(spark, sf_dir):
+    """The best K of each pair of layout parameters, and of those the best that is sound."""
+    grid = lo.scan(vectors(spark, sf_dir), "vec_id", "x", [4, 5, 6], epochs=30, restarts=2, most=1_000)
+    return cl.guarded_best(grid.select("n_neighbors", "min_dist", "k", F.round("score", 4).alias("score"), F.round("largest_frac", 4).alias("largest_frac")))
+
+
 @query(f"""WITH {_E}, d AS (SELECT vec_id, x[1] - avg(x[1]) OVER () AS a, x[2] - avg(x[2]) OVER () AS b FROM e), c AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb FROM d),
 l AS (SELECT *, (aa + bb) / 2 + sqrt((aa - bb) * (aa - bb) / 4 + ab * ab) AS top FROM c), u AS (SELECT ab / sqrt(ab * ab + (top - aa) * (top - aa)) AS vx, (top - aa) / sqrt(ab * ab + (top - aa) * (top - aa)) AS vy FROM l)
 SELECT vec_id, round((a * vx + b * vy) * sign(CASE WHEN abs(vx) >= abs(vy) THEN vx ELSE vy END), 6) AS score FROM d, u""")

@@ -103,3 +103,32 @@ def test_shapefile_round_trip(spark, tmp_path):
     (tmp_path / "t.dbf").write_bytes(b"\3\0\0\0" + struct.pack("<IHH", 1, 65, 9) + b"\0" * 20 + field + b"\r" + b" " + b"tower   ")
     row = read_shapefiles(spark, f"file://{tmp_path}").first()
     assert row.attributes == {"name": "tower"} and len(row.parts[0][0]) == 4
+
+
+def test_layout_keeps_neighbours():
+    from formwright.operators import layout as lo
+
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.standard_normal((40, 6)) + 8 * c for c in range(4)])
+    at = lo.layout(x, 10, 0.1, 60)
+    group = np.repeat(np.arange(4), 40)
+    assert (group[lo.neighbours(at, at, 6)[0][:, 1:]] == group[:, None]).mean() > 0.95
+    label = lo.lloyd(at, 4, 5)
+    assert len({tuple(sorted(np.flatnonzero(label == c) // 40)) for c in range(4)}) == 4 and lo.mean_silhouette(x, label) > 0.5
+    a, b = lo.curve(0.1)
+    assert a == pytest.approx(1.577, abs=0.05) and b == pytest.approx(0.895, abs=0.03)
+
+
+def test_overlay_areas():
+    from formwright.functions import kernels as k
+
+    box = lambda x, y, w, h: np.array([[x, y], [x + w, y], [x + w, y + h], [x, y + h]], dtype=float)
+    area = lambda parts: sum(k.polygon_area(p[0]) - sum(abs(k.polygon_area(h)) for h in p[1:]) for p in parts)
+    assert area(k.overlay([[box(0, 0, 2, 2)], [box(1, 1, 2, 2)]])) == 7 and len(k.overlay([[box(0, 0, 2, 2)], [box(2, 0, 2, 2)]])[0][0]) == 4
+    frame = [[box(0, 0, 6, 1)], [box(0, 5, 6, 1)], [box(0, 0, 1, 6)], [box(5, 0, 1, 6)]]
+    assert area(k.overlay(frame)) == 20 and [len(p) for p in k.overlay(frame)] == [2]
+    assert area(k.overlay(frame, [[box(0, 0, 3, 3)]])) == 5 and k.overlay(frame, [[box(9, 9, 1, 1)]]) == []
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        p, q = ([[box(*rng.uniform(0, 10, 2), *rng.uniform(1, 6, 2)) @ np.array([[np.cos(t), np.sin(t)], [-np.sin(t), np.cos(t)]])]] for t in rng.uniform(0, 0.4, 2))
+        assert area(k.overlay(p + q)) + area(k.overlay(p, q)) == pytest.approx(area(p) + area(q), abs=1e-3)
