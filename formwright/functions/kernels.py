@@ -125,20 +125,26 @@ def covered_by_circle(a: np.ndarray, b: np.ndarray, radius: np.ndarray) -> np.nd
     In each wedge between two corners of the circle polygon its border is one chord, and the distance of a point of the side in chord lengths is linear
     along the side, so every wedge is a closed form; summed over the sides of a ring this is the area in common, whatever the ring's shape.
     """
-    t = 2 * math.pi * np.arange(CIRCLE_SIDES + 1) / CIRCLE_SIDES
-    ux, uy, step = np.cos(t), np.sin(t), math.sin(2 * math.pi / CIRCLE_SIDES)
-    d = b - a
-    ca, cd = (ux * v[:, 1:2] - uy * v[:, 0:1] for v in (a, d))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        root = -ca / cd
-    below, above = np.where(cd > 0, root, np.where((cd == 0) & (ca < 0), np.inf, -np.inf)), np.where(cd < 0, root, np.where((cd == 0) & (ca < 0), -np.inf, np.inf))
-    rise, fall = np.where(cd < 0, root, np.where((cd == 0) & (ca > 0), np.inf, -np.inf)), np.where(cd > 0, root, np.where((cd == 0) & (ca > 0), -np.inf, np.inf))
-    low = np.maximum(0.0, np.maximum(below[:, :-1], rise[:, 1:]))
-    high = np.minimum(1.0, np.minimum(above[:, :-1], fall[:, 1:]))
-    side, wedge = np.nonzero(low < high)
-    low, high = low[side, wedge], high[side, wedge]
+    turn = 2 * math.pi / CIRCLE_SIDES
+    d, step = b - a, math.sin(turn)
+    begin = np.arctan2(a[:, 1], a[:, 0])
+    sweep = np.arctan2(a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0], (a * b).sum(axis=1))
+    first = np.floor(np.minimum(begin, begin + sweep) / turn - 1e-9).astype(int)
+    count = np.floor(np.maximum(begin, begin + sweep) / turn + 1e-9).astype(int) - first + 1
+    side = np.repeat(np.arange(len(a)), count)
+    wedge = first[side] + np.arange(len(side)) - np.repeat(np.cumsum(count) - count, count)
+    cross_at = lambda v, w: np.cos(w * turn) * v[side, 1] - np.sin(w * turn) * v[side, 0]
+    (ca, cd), (na, nd) = ((cross_at(a, w), cross_at(d, w)) for w in (wedge, wedge + 1))
+    # Along the side, cross(ray, point) = c + s * slope: at least 0 at the wedge's own ray, at most 0 at the next.
+    low, high = np.zeros(len(side)), np.ones(len(side))
+    for c, slope in ((ca, cd), (-na, -nd)):
+        root = np.divide(-c, slope, out=np.zeros_like(c), where=slope != 0)
+        low = np.where(slope > 0, np.maximum(low, root), np.where((slope == 0) & (c < 0), np.inf, low))
+        high = np.where(slope < 0, np.minimum(high, root), high)
+    some = low < high
+    side, low, high, ca, cd, na, nd = (v[some] for v in (side, low, high, ca, cd, na, nd))
     at = lambda s: (a[side, 0] + s * d[side, 0], a[side, 1] + s * d[side, 1])
-    far = lambda s: ((ca[side, wedge] + s * cd[side, wedge]) - (ca[side, wedge + 1] + s * cd[side, wedge + 1])) / (step * radius[side])
+    far = lambda s: ((ca + s * cd) - (na + s * nd)) / (step * radius[side])
     (px, py), (qx, qy), rp, rq = at(low), at(high), far(low), far(high)
     fp, fq = 1 / np.maximum(rp, 1.0), 1 / np.maximum(rq, 1.0)
     px, py, qx, qy = px * fp, py * fp, qx * fq, qy * fq
@@ -148,7 +154,7 @@ def covered_by_circle(a: np.ndarray, b: np.ndarray, radius: np.ndarray) -> np.nd
     return np.bincount(side, part, minlength=len(a))
 
 
-def exchange_indices(footprints: list[list[list[np.ndarray]]], chunk: int = 2_000) -> np.ndarray:
+def exchange_indices(footprints: list[list[list[np.ndarray]]], chunk: int = 20_000) -> np.ndarray:
     """For each footprint (parts of shell and holes): 1 less the share of the circle of equal area at the centroid that it covers; 0 without area."""
     starts, ends, radius, owner = [], [], [], []
     area = np.zeros(len(footprints))

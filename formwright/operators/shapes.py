@@ -63,15 +63,17 @@ def simple_features(df: DataFrame, parts: str = "parts") -> DataFrame:
     return m.withColumns({n: F.when(F.size(r) >= 3, c).otherwise(0.0) for n, c in made.items()}).drop("_d")
 
 
+_SIMPLE = tuple(n for n in FEATURES if n not in _HULL and n != "covered_area_ratio")
+
+
 def building_features(df: DataFrame, keys: list[str], cover: DataFrame | None = None, parts: str = "parts") -> DataFrame:
-    """keys and all features of FEATURES (covered_area_ratio from cover(keys, cell_area); 1 without)."""
-    simple, hull = simple_features(df, parts), hull_features(df, keys, parts)
-    joined = simple.drop(parts, "shell").join(hull, keys)
+    """keys and all features of FEATURES (covered_area_ratio from cover(keys, cell_area); 1 without). Expressions first, then the kernels on the same rows: only the cover is joined."""
+    simple = simple_features(spread(df, *keys), parts)
+    both = hull_features(simple.withColumnRenamed("area", "_area"), [*keys, "_area", *(n for n in _SIMPLE if n != "area")], parts).withColumnRenamed("_area", "area")
     if cover is None:
-        return joined.withColumn("covered_area_ratio", F.lit(1.0)).select(*keys, *FEATURES)
-    joined = joined.join(cover, keys, "left")
+        return both.withColumn("covered_area_ratio", F.lit(1.0)).select(*keys, *FEATURES)
     ratio = F.when(F.col("cell_area") > 0, F.least(F.try_divide("area", "cell_area"), F.lit(1.0))).otherwise(1.0)
-    return joined.withColumn("covered_area_ratio", ratio).select(*keys, *FEATURES)
+    return both.join(cover, keys, "left").withColumn("covered_area_ratio", ratio).select(*keys, *FEATURES)
 
 
 def valid(df: DataFrame, parts: str = "parts") -> DataFrame:
