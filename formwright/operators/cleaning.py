@@ -101,3 +101,24 @@ def clip_to_areas(df: DataFrame, key: str, areas: DataFrame, cell: float, parts:
 
     kind = df.schema[key].dataType.simpleString()
     return grouped.mapInArrow(run, f"{key} {kind}, {parts} {_PARTS}").where(F.size(parts) > 0)
+
+
+def repair(df: DataFrame, keys: list[str], parts: str = "parts") -> DataFrame:
+    """keys and parts: footprints whose sides cross become what lies inside them (even-odd); sound ones pass as they are, and what is left without area goes."""
+
+    def crossed(rings: list[np.ndarray]) -> bool:
+        a = np.concatenate([r for r in rings if len(r)]) if rings else np.zeros((0, 2))
+        b = np.concatenate([np.roll(r, -1, axis=0) for r in rings if len(r)]) if rings else a
+        side = lambda o, u, v: (u[..., 0] - o[..., 0]) * (v[..., 1] - o[..., 1]) - (u[..., 1] - o[..., 1]) * (v[..., 0] - o[..., 0])
+        p, q, r, s = a[:, None], b[:, None], a[None], b[None]
+        return bool(((side(p, q, r) * side(p, q, s) < 0) & (side(r, s, p) * side(r, s, q) < 0)).any())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+        n = len(keys)
+        for batch in batches:
+            fixed = [_points([q for rings in _rings(p) for q in (k.overlay([rings]) if crossed(rings) else [rings])]) for p in batch.column(n).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(fixed, pa.list_(pa.list_(pa.list_(point))))], names=[*keys, parts])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+    return df.select(*keys, parts).mapInArrow(run, f"{kinds}, {parts} {_PARTS}").where(F.size(parts) > 0)

@@ -71,3 +71,8 @@ def holding_any(rows: DataFrame, ids: str, wanted: DataFrame, key: str) -> DataF
 def error_counts(failed: DataFrame, message: str, n: int = 5) -> DataFrame:
     """The commonest messages."""
     return failed.groupBy(message).agg(F.count("*").alias("n")).orderBy(F.desc("n"), message).limit(n)
+
+
+def class_counters(rows: DataFrame, kind: str, correct: Column, explained: Column) -> DataFrame:
+    """kind, total, correct, explained: how far the graphs of each class came."""
+    return rows.groupBy(kind).agg(F.count("*").alias("total"), F.count_if(correct).alias("correct"), F.count_if(correct & explained).alias("explained"))

@@ -250,3 +250,16 @@ def class_quota(spark, sf_dir):
 def error_counts(spark, sf_dir):
     """The commonest failure messages."""
     return ex.error_counts(read(spark, sf_dir, "events").select(F.col("event_type").alias("message")), "message")
+
+
+@query("""SELECT quality AS class_id, count(*) AS total, count(*) FILTER (quality = toxic) AS correct, count(*) FILTER (quality = toxic AND doc_id % 3 = 0) AS explained FROM labels GROUP BY quality""")
+def class_counters(spark, sf_dir):
+    """Graphs of each class: all, correctly predicted, and explained."""
+    rows = read(spark, sf_dir, "labels").withColumnRenamed("quality", "class_id")
+    return ex.class_counters(rows, "class_id", F.col("class_id") == F.col("toxic"), F.col("doc_id") % 3 == 0)
+
+
+@query("""SELECT label, vec_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id DESC))::INT AS rank FROM embeddings QUALIFY rank <= 4""")
+def first_of_type(spark, sf_dir):
+    """The first four rows of each type: the gallery's samples."""
+    return cl.top_by(vectors(spark, sf_dir).select("label", "vec_id"), "label", [F.desc("vec_id")], 4)

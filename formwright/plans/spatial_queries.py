@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from formwright.functions import geometry as g
 from formwright.operators import cleaning, components, spatial
 
+from formwright.sources import tables
+
 from .registry import query
 from .standins import BLD, SIDE, buildings, parcels, read
 
@@ -127,14 +129,14 @@ def recode_unmapped(spark, sf_dir):
     return cleaning.unmapped(p, "source_class", cleaning.CLASS_RECODE).select(F.col("source_class").alias("unmapped"))
 
 
-@query("""WITH wanted(w) AS (VALUES ('INDIA'), ('united'), ('ATLANTIS'), (' FRANCE '), ('NEW CHINA TOWN')), n AS (SELECT DISTINCT trim(n_name) AS name FROM nation),
+@query("""WITH wanted(w) AS (VALUES ('NATION_7'), ('ION_12'), ('ATLANTIS'), (' NATION_3 '), ('NEW NATION_24 TOWN')), n AS (SELECT DISTINCT trim(n_name) AS name FROM nation),
 exact AS (SELECT w, name FROM wanted JOIN n ON trim(w) = name), rest AS (SELECT w FROM wanted WHERE w NOT IN (SELECT w FROM exact)),
 part AS (SELECT w, name FROM rest JOIN n ON contains(name, trim(w)) OR contains(trim(w), name)),
 found AS (SELECT w, name, 'exact' AS kind FROM exact UNION ALL SELECT w, name, 'part' FROM part)
 SELECT w AS wanted, name, coalesce(kind, 'missing') AS kind FROM wanted LEFT JOIN found USING (w)""")
 def name_match(spark, sf_dir):
     """District names: exact, else either containing the other; names without a match are reported."""
-    wanted = spark.createDataFrame([(x,) for x in ("INDIA", "united", "ATLANTIS", " FRANCE ", "NEW CHINA TOWN")], "wanted string")
+    wanted = spark.createDataFrame([(x,) for x in ("NATION_7", "ION_12", "ATLANTIS", " NATION_3 ", "NEW NATION_24 TOWN")], "wanted string")
     return cleaning.match_names(wanted, parcels(spark, sf_dir).select("name").distinct())
 
 
@@ -147,9 +149,36 @@ def tile_union(spark, sf_dir):
     return west.unionByName(east)
 
 
-@query(f"""WITH {BLD} SELECT count(*) AS n, round(sum(0.75 * w * h) / 1e6, 9) AS km2 FROM bld JOIN nation ON block_id = n_nationkey WHERE n_name IN ('CHINA', 'INDIA', 'FRANCE', 'BRAZIL')""")
+@query(f"""WITH {BLD} SELECT count(*) AS n, round(sum(0.75 * w * h) / 1e6, 9) AS km2 FROM bld JOIN nation ON block_id = n_nationkey WHERE n_name IN ('NATION_3', 'NATION_7', 'NATION_12', 'NATION_20')""")
 def selected_area(spark, sf_dir):
     """Total area of the buildings in selected districts, in square kilometres."""
-    names = parcels(spark, sf_dir).where(F.col("name").isin("CHINA", "INDIA", "FRANCE", "BRAZIL")).select("block_id")
+    names = parcels(spark, sf_dir).where(F.col("name").isin("NATION_3", "NATION_7", "NATION_12", "NATION_20")).select("block_id")
     b = buildings(spark, sf_dir).join(names, "block_id", "left_semi")
     return b.agg(F.count("*").alias("n"), F.round(F.sum(g.area(F.col("parts"))) / 1e6, 9).alias("km2"))
+
+
+@query(f"""WITH {BLD} SELECT building_id, round(CASE WHEN building_id % 10 = 0 THEN w * h / 2 ELSE 0.75 * w * h END, 5) AS area, CASE WHEN building_id % 10 = 0 THEN 2 ELSE 1 END AS n_parts FROM bld""")
+def repaired_shapes(spark, sf_dir):
+    """Every tenth footprint is a bow tie, which comes apart into its two halves."""
+    b = buildings(spark, sf_dir)
+    box = g.bounds(F.col("parts"))
+    tie = F.array(F.array(g.ring((box.minx, box.miny), (box.maxx, box.maxy), (box.maxx, box.miny), (box.minx, box.maxy))))
+    rows = b.select("building_id", F.when(F.col("building_id") % 10 == 0, tie).otherwise(F.col("parts")).alias("parts"))
+    out = cleaning.repair(rows, ["building_id"])
+    return out.select("building_id", F.round(g.area(F.col("parts")), 5).alias("area"), F.size("parts").alias("n_parts"))
+
+
+@query("""SELECT n_nationkey::BIGINT AS block_id, n_name AS name FROM nation WHERE n_name IN ('NATION_3', 'NATION_7', 'NATION_20')""")
+def district_selection(spark, sf_dir):
+    """Parcels of the named districts, in whichever column holds the names."""
+    names = ["NATION_3", "NATION_7", "NATION_20"]
+    p = parcels(spark, sf_dir).withColumn("code", F.col("block_id").cast("string"))
+    column = tables.column_with_values(p, ["code", "name", "district"], names)
+    return p.where(F.trim(F.col(column)).isin(names)).select("block_id", F.col(column).alias("name"))
+
+
+@query(f"WITH {BLD} SELECT block_id, count(*) AS n_buildings, round(max(height), 6) AS height FROM bld GROUP BY block_id HAVING count(*) >= 60")
+def big_blocks(spark, sf_dir):
+    """Blocks of at least sixty buildings, with their greatest height."""
+    b = cleaning.big_enough(buildings(spark, sf_dir).drop("parts"), "block_id", 60)
+    return b.groupBy("block_id").agg(F.count("*").alias("n_buildings"), F.round(F.max("height"), 6).alias("height"))
