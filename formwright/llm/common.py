@@ -71,14 +71,22 @@ def whole_texts(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that one piece holds about CHUNK_BYTES of text (one document at least)."""
+def smaller_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Let no Arrow batch of this session hold more rows than this: a worker and its JVM each hold a few batches at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= rows:
+        spark.conf.set(key, rows)
+
+
+def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that one piece holds about `size` bytes of text (one document at least)."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
         sizes = np.asarray(pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
         if not len(sizes):
             continue
-        part = np.cumsum(sizes) // CHUNK_BYTES
+        part = np.cumsum(sizes) // size
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(sizes)]))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b > a:

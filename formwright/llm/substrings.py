@@ -22,11 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BASE_INV, Scratch, _power, mix, table, text_chunks
+from .common import _BASE, _BASE_INV, Scratch, _power, mix, smaller_batches, table, text_chunks
 
 WINDOW, GRAM = 50, 20
+#: Bytes of text that one pass over windows takes; it holds some ten 8-byte numbers for each.
+CHUNK = 1_000_000
 #: Windows that one construction takes, and anchors of one bucket of the sharing test.
-BATCH_WINDOWS, BUCKET = 500_000, 2_000_000
+BATCH_WINDOWS, BUCKET = 300_000, 2_000_000
 #: An anchor with more distinct segments than this has its windows dealt one by one.
 HOT_SEGMENTS = 20_000
 #: Up to this many such anchors (8 bytes each) go to every task; beyond, they are joined.
@@ -68,7 +70,7 @@ _PACK = np.dtype([("rest", "<u4"), ("doc", "<u2"), ("text", "<u4"), ("more", "<u
 def _anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """For each chunk: its documents' keys (bucket -1), and for each bucket its anchors packed with their document's place in the chunk."""
     serial = TaskContext.get().partitionId() << 32
-    for batch in text_chunks(batches):
+    for batch in text_chunks(batches, size=CHUNK):
         for a in range(0, batch.num_rows, 65_536):
             part = batch.slice(a, 65_536)
             d, _, _, anchor = segments([t.encode() for t in part.column(2).to_pylist()])
@@ -146,7 +148,7 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _occurrences(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """The segments of each document that start with a shared anchor."""
-    for batch in text_chunks(batches):
+    for batch in text_chunks(batches, size=CHUNK):
         raw = [t.encode() for t in batch.column(2).to_pylist()]
         d, start, count, anchor = segments(raw)
         if not len(d):
@@ -264,6 +266,7 @@ def remove_repeats(docs: DataFrame, hot_segments: int = HOT_SEGMENTS, batch_wind
     long_ = texts.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WINDOW))
     size = long_.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(64, int(size / 16 / BUCKET))
+    smaller_batches(spark)
     scratch = Scratch(spark)
     # A copy of a text with a smaller doc_id goes as a whole, and adds nothing to what its first copy has.
     digest = long_.select("doc_id", "row", F.xxhash64(F.lit(1), "text").alias("row2"))
