@@ -5,8 +5,6 @@ from row_checks import same_rows
 
 from formwright.plans import registry
 
-SLOW = {"k_search", "gnn_cv", "explain_masks", "transfer"}
-
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_matches_sql(name, spark, sf_dir, duck):
