@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, smaller_batches, table
 
 #: First characters that go before the digest in the sort key; bounds what the sampled splitters weigh on the driver.
 PREFIX_CHARS = 32
@@ -69,6 +69,7 @@ def exact_groups(docs: DataFrame, keep_largest: bool = False) -> DataFrame:
     itself repeats within its group, each of its rows says kept, as nothing tells them apart. A null doc_id is kept only in a group
     that has no other. An empty table gives an empty result; other columns are not read.
     """
+    smaller_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(text.alias("text"), F.sha2(text.cast("binary"), 256).alias("sha"), "doc_id")
     spread = [F.substring("text", 1, PREFIX_CHARS), F.col("sha"), F.col("doc_id")]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, mix, shingles, table, word_hashes
+from .common import CHUNK_BYTES, mix, shingles, smaller_batches, table, word_hashes
 
 EQUAL, LIKE = 64, 256
 #: Words of a run, within one paragraph.
@@ -141,6 +141,7 @@ def edited_neighbours(docs: DataFrame, docs_per_part: int = DOCS_PER_PART, most_
     order of doc_id (rows that repeat a doc_id: by a hash of text; null ids last); after the last comes the first. One document alone is its own next. A null text counts as
     empty. Ranges of doc_id are dealt to tasks, each with a second copy of the row that follows its last one, so texts move once. An empty table gives an empty result; only doc_id and text are read.
     """
+    smaller_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"id": F.coalesce("doc_id", F.lit(-(2**63))), "h": F.xxhash64("text")})
     keys = rows.select("id", "h")
     parts = min(max(1, -(-keys.count() // docs_per_part)), most_parts)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, saved, shingles, table, text_chunks, unit, whole_texts, word_hashes
+from .common import mix, saved, shingles, smaller_batches, table, text_chunks, unit, whole_texts, word_hashes
 from .graph import components
 
 WORDS = 5
@@ -179,6 +179,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARI
     fewer than `words` words is one shingle. A text without words, null included, is its own class. Rows that
     repeat a doc_id all stay; with different texts they count as one document that has the links of each text. Rows with a null doc_id are classes of their own (null). An empty table gives an empty result.
     """
+    smaller_batches(docs.sparkSession)
     texts = whole_texts(docs)
     sketch = saved(texts.mapInArrow(lambda it: _sketch(it, words, bands, rows), "doc_id long, same binary, bands array<long>"), "sketches")
     known = sketch.where("same IS NOT NULL AND doc_id IS NOT NULL")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import base64
 import zlib
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table, text_chunks, whole_texts
+from .common import saved, smaller_batches, table, text_chunks, whole_texts
 
 CAPACITY = 2048
 END_ID = 0
@@ -175,6 +175,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_
     `capacity` ids is cut from its end into pieces of `capacity`; what is left is its first piece. Rows that repeat a doc_id, or have none, are
     documents of their own. An empty table gives an empty result; only doc_id and text are read.
     """
+    smaller_batches(docs.sparkSession)
     made = whole_texts(docs).mapInArrow(lambda it: _pieces(it, capacity, vocabulary), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long")
     pieces = saved(made, "pieces")
     dealt = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))

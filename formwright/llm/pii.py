@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, smaller_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -197,6 +197,7 @@ def personal_data(docs: DataFrame, least: float = 0.5) -> DataFrame:
     Base spans all stay; a candidate stays where the classifier gives it `least` or more. A null text counts as empty and has no span; repeated rows and null ids stay as
     they come. Without any candidate in the table nothing is trained. Only doc_id and text are read.
     """
+    smaller_batches(docs.sparkSession)
     found = saved(docs.select("doc_id", F.coalesce("text", F.lit(""))).mapInArrow(_find, _FOUND), "spans")
     good = [f"{k}|{v}" for (k, v), p in train(found).items() if p >= least]
     stays = lambda s: s.base | F.array_contains(F.array(*map(F.lit, good)) if good else F.array().cast("array<string>"), F.concat_ws("|", s.kind, s.votes))

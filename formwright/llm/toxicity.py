@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_LETTER, table, text_chunks, whole_texts, word_hashes
+from .common import NOT_LETTER, smaller_batches, table, text_chunks, whole_texts, word_hashes
 
 #: Most labelled rows that the model is fitted on (those with the smallest hash of doc_id); everything else covers all rows.
 TRAIN_ROWS = 30_000
@@ -124,6 +124,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, model_tokens: int = MODEL_TOKENS) -> ToxicityModel:
     """Fit on a bounded sample of labelled rows. Without both labels in it, every text scores the share of toxic labels, or 0."""
+    smaller_batches(docs.sparkSession)
     rows = training_rows(docs, labels, train_rows)
     token = F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("token")
     counts = rows.select(token, "toxic").where("token <> ''").groupBy("token").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
@@ -166,6 +167,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     A null or empty text has no segment and scores as any text without one. Only doc_id and text are read; repeated rows and null ids are scored as they come.
     """
+    smaller_batches(docs.sparkSession)
     scored = whole_texts(docs).mapInArrow(lambda it: _score(it, model), "doc_id long, score double, segments array<struct<first_token: long, last_token: long, score: double>>")
     return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "segments")
 
