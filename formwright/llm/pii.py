@@ -34,7 +34,8 @@ _LOOSE = (
     ("card", re.compile(r"(?<![0-9])[0-9]{4}(?:[.\x20-]{1,2}[0-9]{4}){2}[.\x20-]{1,2}[0-9]{1,7}(?![0-9])")),
     ("phone", re.compile(r"(?<![0-9+])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])")),
 )
-_HINT = re.compile(r"[0-9@]|\(at\)|\[at\]| dot |\(dot\)|\[dot\]")
+#: Every pattern's match holds one of these: texts without any are not looked at further.
+_HINT = re.compile(r"[0-9@]|:[0-9A-Fa-f]{1,4}:|(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63} ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]")
 # Top-level domains, dialling codes and first card digits that the gazetteer knows.
 _TLDS = frozenset("com org net edu gov int info biz io co de fr es uk us eu it nl ch at be pt pl se no dk fi ru cn jp in br".split())
 _DIAL = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "98")

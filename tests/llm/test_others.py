@@ -224,6 +224,18 @@ def test_added_spans(spark):
     assert {(s.kind, s.base) for s in spans} >= {("email", True), ("email", False)}
 
 
+def test_hint_leaves_out_no_span(texts):
+    import pyarrow as pa
+
+    bare = ["write to amy at site.org", "write to amy at site dot org", "amy(at)site.org", "host fe:ab:cd:ef:aa:bb:cc:dd is up", "amy [at] site [dot] org", "she sat at home", "at a: b: c", *texts.values()]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(bare)), pa.int64()), pa.array(bare)], names=["doc_id", "text"])
+    (found,) = pii._find(iter([batch]))
+    for text, spans in zip(bare, found.column(1).to_pylist(), strict=True):
+        base = pii.base_spans(text)
+        assert [(s["kind"], s["start"], s["end"]) for s in spans] == base + pii.loose_spans(text, base), text[:80]
+    assert all(found.column(1).to_pylist()[:5])
+
+
 def test_pipeline(spark, sf_dir, texts):
     import corpus_pipeline as cp
     from test_dedup import classes
