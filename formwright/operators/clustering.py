@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from .statistics import zscores
 
-#: Points that scores over pairs are taken on, those with the smallest hash of their key.
+#: Points that the search for K and the layout are run on, those with the smallest hash of their key.
 SAMPLE = 20_000
+#: Rows of one block of a silhouette, rows that it meets at a time, and clusters whose sums it holds.
+BLOCK, SLAB, CLUSTERS = 4_000, 1_000, 1_000
 
 
 def matrix(df: DataFrame, columns: list[str]) -> Column:
@@ -59,44 +61,75 @@ def kmeans(df: DataFrame, x: str, k: int, restarts: int = 10, iterations: int =
     return [best.clusterCenters()[c].tolist() for c in order]
 
 
-def silhouettes(df: DataFrame, key: str, x: str, labels: list[str], most: int = SAMPLE) -> DataFrame:
-    """name, score: for each label column, the mean Euclidean silhouette over a bounded sample.
+def _distance_sums(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """For rows that come as (block, then first the block's own rows, then all rows to compare them with): row, name, own, cluster, s.
 
-    A point alone in its cluster scores 1; fewer than two clusters score 0. The sample (at most `most` rows) is what every task compares its points with, in blocks.
+    s: the summed distance of the row to those of a cluster. Sums leave when a block ends or meets its CLUSTERS-th cluster, so one row may come in parts.
     """
-    rows = bounded_sample(df.select(key, F.col(x).cast("array<double>").alias("x"), *labels), key, most)
-    held = rows.toPandas()
-    points = np.stack(held["x"].to_numpy()) if len(held) else np.zeros((0, 1))
-    codes = {name: np.unique(held[name].to_numpy(), return_inverse=True)[1] for name in labels}
-    square = (points**2).sum(axis=1)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(0).to_numpy()
-            out: list[tuple[str, float]] = []
-            for a in range(0, len(at), 1_000):
-                i = at[a : a + 1_000]
-                d = np.sqrt(np.maximum(square[i][:, None] + square[None] - 2 * points[i] @ points.T, 0))
-                d[np.arange(len(i)), i] = 0
-                for name, code in codes.items():
-                    n = np.bincount(code)
-                    if len(n) < 2:
-                        out += [(name, 0.0)] * len(i)
-                        continue
-                    sums = np.stack([d[:, code == c].sum(axis=1) for c in range(len(n))], axis=1)
-                    own = code[i]
-                    inner = sums[np.arange(len(i)), own] / np.maximum(n[own] - 1, 1)
-                    means = sums / n
-                    means[np.arange(len(i)), own] = np.inf
-                    outer = means.min(axis=1)
-                    top = np.maximum(inner, outer)
-                    s = np.where(n[own] == 1, 1.0, np.divide(outer - inner, top, out=np.zeros_like(top), where=top > 0))
-                    out += [(name, float(v)) for v in np.nan_to_num(s, posinf=0, neginf=0)]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], names=["name", "score"])
-
-    spark = df.sparkSession
-    each = spark.range(len(points)).mapInArrow(score, "name string, score double")
-    return each.groupBy("name").agg(F.avg("score").alias("score"))
+    block, ids, points, own = None, np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros((0, 0), np.int64)
+    sums: dict[tuple[int, int], np.ndarray] = {}
+    fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for (j, cluster), total in sums.items():
+            n = len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([names[j]] * n, pa.string()), pa.array(own[:, j]), pa.array(np.full(n, cluster)), pa.array(total)], names=["row", "name", "own", "cluster", "s"])
+        sums.clear()
+
+    for batch in batches:
+        blocks, first, rows = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        xs = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        codes = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (first[1:] != first[:-1])) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(blocks)], strict=True):
+            if blocks[a] != block:
+                yield from flush()
+                block, fresh = blocks[a], []
+            if first[a]:
+                fresh.append((rows[a:b], xs[a:b], codes[a:b]))
+                continue
+            if fresh:
+                ids, points, own = (np.concatenate(v) for v in zip(*fresh, strict=True))
+                order, fresh = np.argsort(ids), []
+                ids, points, own = ids[order], points[order], own[order]
+            for c in range(a, b, SLAB):
+                r, x, code = rows[c : min(c + SLAB, b)], xs[c : min(c + SLAB, b)], codes[c : min(c + SLAB, b)]
+                d = np.sqrt(np.maximum((points**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None] - 2 * points @ x.T, 0))
+                at = np.minimum(np.searchsorted(ids, r), len(ids) - 1)
+                same = np.flatnonzero(ids[at] == r)
+                d[at[same], same] = 0
+                for j in range(len(names)):
+                    for cluster in np.unique(code[:, j]).tolist():
+                        part = d[:, code[:, j] == cluster].sum(axis=1)
+                        sums[j, cluster] = sums[j, cluster] + part if (j, cluster) in sums else part
+                if len(sums) >= CLUSTERS:
+                    yield from flush()
+    yield from flush()
+
+
+def silhouettes(df: DataFrame, key: str, x: str, labels: list[str]) -> DataFrame:
+    """name, score: for each label column, the mean Euclidean silhouette over all rows.
+
+    A point alone in its cluster scores 1; fewer than two clusters score 0. Rows are dealt in blocks of about BLOCK; each block meets all rows in a stream, so the work grows
+    with the square of the rows, spread over tasks, and no task or driver holds them. A null label is a cluster of its own.
+    """
+    from .components import stored
+
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(x).cast("array<double>").alias("x"), F.array(*[F.xxhash64(name) for name in labels]).alias("codes"))
+    rows = stored(rows, "silhouette-rows")
+    blocks = -(-rows.count() // BLOCK) or 1
+    own = rows.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"), F.lit(True).alias("first"), "row", "x", "codes")
+    others = rows.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(False).alias("first"), "row", "x", "codes")
+    dealt = own.unionByName(others).repartition(blocks, "block").sortWithinPartitions("block", F.desc("first"))
+    sums = dealt.mapInArrow(lambda it: _distance_sums(it, labels), "row long, name string, own long, cluster long, s double")
+    sums = sums.groupBy("row", "name", "own", "cluster").agg(F.sum("s").alias("s"))
+    sizes = rows.select(F.inline(F.arrays_zip(F.array(*map(F.lit, labels)).alias("name"), F.col("codes").alias("cluster")))).groupBy("name", "cluster").agg(F.count("*").alias("n"))
+    at = sums.join(sizes, ["name", "cluster"])
+    mine, inner = F.col("own") == F.col("cluster"), F.col("s") / F.greatest(F.col("n") - 1, F.lit(1))
+    each = at.groupBy("name", "row").agg(F.max(F.when(mine, inner)).alias("a"), F.max(F.when(mine, F.col("n"))).alias("n"), F.min(F.when(~mine, F.col("s") / F.col("n"))).alias("b"))
+    top = F.greatest("a", "b")
+    score = F.when(F.col("b").isNull(), 0.0).when(F.col("n") == 1, 1.0).when(top > 0, (F.col("b") - F.col("a")) / top).otherwise(0.0)
+    return each.groupBy("name").agg(F.avg(score).alias("score"))
 
 
 def best_k(scores: DataFrame) -> DataFrame:
@@ -115,7 +148,7 @@ def search_k(df: DataFrame, key: str, embedded: str, features: str, ks: range, r
         found = nearest(sample, [key], F.col(embedded), kmeans(sample, embedded, k, restarts)).select(key, F.col("nearest").alias(f"k{k}"))
         labelled = labelled.join(found, key)
     labelled = stored(labelled, "k-labels")
-    scores = silhouettes(labelled, key, features, [f"k{k}" for k in ks], most).select(F.substring("name", 2, 9).cast("int").alias("k"), "score")
+    scores = silhouettes(labelled, key, features, [f"k{k}" for k in ks]).select(F.substring("name", 2, 9).cast("int").alias("k"), "score")
     share = labelled.select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("c")) for k in ks]))).groupBy("k", "c").agg(F.count("*").alias("n"))
     return scores.join(share.groupBy("k").agg((F.max("n") / F.sum("n")).alias("largest_frac")), "k")
 

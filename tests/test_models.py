@@ -58,6 +58,28 @@ def test_silhouette_of_single_points(spark):
     assert got["b"] == 0 and got["a"] == pytest.approx((1 - 1 / 9 + 1 - 1 / 8 + 1) / 3)
 
 
+def test_silhouette_covers_all_rows(spark, monkeypatch):
+    import inspect
+
+    for name, few in (("BLOCK", 40), ("SLAB", 16), ("CLUSTERS", 3), ("SAMPLE", 50)):
+        if hasattr(cl, name):
+            monkeypatch.setattr(cl, name, few)
+    rng = np.random.default_rng(4)
+    x, a = rng.normal(size=(300, 3)), rng.integers(0, 5, 300)
+    a[7] = 9  # alone in its cluster
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = []
+    for i in range(300):
+        inner = d[i, a == a[i]].sum() / max((a == a[i]).sum() - 1, 1)
+        outer = min(d[i, a == c].mean() for c in set(a.tolist()) - {a[i]})
+        want.append(1.0 if (a == a[i]).sum() == 1 else (outer - inner) / max(outer, inner))
+    df = spark.createDataFrame([(i, x[i].tolist(), int(a[i]), 0) for i in range(300)], "id long, x array<double>, a int, b int")
+    assert "most" not in inspect.signature(cl.silhouettes).parameters
+    got = {r.name: r.score for r in cl.silhouettes(df, "id", "x", ["a", "b"]).collect()}
+    assert got["b"] == 0 and got["a"] == pytest.approx(np.mean(want), abs=1e-9)
+    assert not cl.silhouettes(df.limit(0), "id", "x", ["a"]).collect()
+
+
 def test_folds_are_balanced(spark):
     from pyspark.sql import functions as F
 
