@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from formwright.config import Clustering
 from formwright.operators import clustering as cl
 from formwright.operators import explaining as ex
 from formwright.operators import layout as lo
@@ -63,7 +64,8 @@ def k_search(spark, sf_dir):
     from formwright.operators.components import stored
 
     e = stored(v.select("vec_id", "x", cl.project(F.col("x"), mean, components).alias("e")), "embedded")
-    out = cl.search_k(e, "vec_id", "e", "x", range(4, 7), restarts=1)
+    c = Clustering()
+    out = cl.search_k(e, "vec_id", "e", "x", range(c.min_k, c.max_k + 1), most=c.k_search_max_samples)
     return out.select("k", F.round("score", 4).alias("score"), F.round("largest_frac", 4).alias("largest_frac"))
 
 

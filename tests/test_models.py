@@ -80,6 +80,26 @@ def test_silhouette_covers_all_rows(spark, monkeypatch):
     assert not cl.silhouettes(df.limit(0), "id", "x", ["a"]).collect()
 
 
+def test_queries_do_their_whole_job(spark, sf_dir, monkeypatch):
+    from dataclasses import replace
+
+    from formwright.config import Explainer, Training
+    from formwright.plans import cluster_queries as cq
+    from formwright.plans import model_queries as mq
+
+    assert (mq.HOW.epochs, mq.HOW.patience) == (Training().epochs, Training().patience)
+    asked = {}
+    monkeypatch.setattr(cl, "search_k", lambda *a, **b: asked.update(ks=list(a[4]), **b) or spark.createDataFrame([(4, 0.5, 0.5)], "k int, score double, largest_frac double"))
+    cq.k_search(spark, sf_dir)
+    assert asked == {"ks": list(range(4, 21)), "most": 20_000}
+    monkeypatch.setattr(mq, "HOW", replace(mq.HOW, epochs=1))
+    assert [r.fold for r in mq.gnn_cv(spark, sf_dir).select("fold").orderBy("fold").collect()] == list(range(mq.HOW.n_splits))
+    explain = gc.explain
+    monkeypatch.setattr(gc, "explain", lambda *a: asked.update(how=a[-1]) or explain(*a))
+    mq.explain_masks(spark, sf_dir)
+    assert asked["how"] == Explainer()
+
+
 def test_folds_are_balanced(spark):
     from pyspark.sql import functions as F
 
