@@ -8,6 +8,8 @@ lambda from the token scores, size K from clean training texts), summed in nats
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +29,8 @@ PRIOR, LEAST_Z, DRIFT = 0.1, 3.0, -0.05
 #: Bins of the summed evidence over which the calibration is fitted.
 BINS, BIN = 200, 0.25
 FOLDS = 5
+#: The runs that NOT_LETTER leaves in what _letters gives.
+_TOKEN = re.compile(r"[a-z\x80-\U0010ffff]+")
 
 
 @dataclass(frozen=True)
@@ -70,10 +74,25 @@ def evidence(segments: list[tuple[int, int, float]], tokens: int, model: Toxicit
     return float(sum(max(0.0, model.rate * s - max(base, 0.0)) for _, _, s in segments))
 
 
+def _letters(text: str) -> str:
+    """Lower-cased, and a space for every character outside ASCII that is no letter: what NOT_LETTER then parts are runs of letters by code point."""
+    text = text.lower()
+    if text.isascii():
+        return text
+    return text.translate({ord(c): " " for c in set(text) if c > "\x7f" and not c.isalpha()})
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For training: the tokens of each text with their count and the text's label, cut as scoring cuts them."""
+    for batch in text_chunks(batches):
+        rows = [(k, n, y) for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True) for k, n in Counter(_TOKEN.findall(_letters(text))).items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True) if rows else [()] * 3, (pa.string(), pa.int64(), pa.int32()), strict=True)], names=["token", "n", "toxic"])
+
+
 def _texts(batches: Iterator[pa.RecordBatch], model: ToxicityModel):
     """Batch, then for each text its segments, its count of tokens and where its tokens start and end in bytes."""
     for batch in text_chunks(batches):
-        h, first, _, _ = word_hashes([t.lower().encode() for t in batch.column(1).to_pylist()], NOT_LETTER)
+        h, first, _, _ = word_hashes([_letters(t).encode() for t in batch.column(1).to_pylist()], NOT_LETTER)
         where = np.minimum(np.searchsorted(model.hashes, h), len(model.hashes) - 1)
         hit = np.flatnonzero(model.hashes[where] == h) if len(model.hashes) else np.zeros(0, np.int64)
         cut = np.searchsorted(hit, first)
@@ -126,8 +145,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, model_
     """Fit on a bounded sample of labelled rows. Without both labels in it, every text scores the share of toxic labels, or 0."""
     smaller_batches(docs.sparkSession)
     rows = training_rows(docs, labels, train_rows)
-    token = F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("token")
-    counts = rows.select(token, "toxic").where("token <> ''").groupBy("token").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    typed = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    tokens = typed.mapInArrow(_counts, "token string, n long, toxic int")
+    counts = tokens.groupBy("token").agg(F.sum(F.col("n") * F.col("toxic")).alias("t"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("c"))
     n_t, n_c = counts.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
     n, share = rows.agg(F.count("*"), F.coalesce(F.avg("toxic"), F.lit(0.0))).first()
     flat = lambda p: float(np.log(max(p, 1e-6) / max(1 - p, 1e-6)))
@@ -152,7 +172,6 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, model_
         low, high = (mid, high) if value < 1 else (low, mid)
     model = ToxicityModel(h[order], scores, max(low, 1e-3), 1.0, 0.0, 0.0)
     shape = "toxic int, tokens long, evidence double, over long"
-    typed = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     tokens, over = typed.mapInArrow(lambda it: _statistics(it, model), shape).where("toxic = 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("over"), F.lit(0))).first()
     model = ToxicityModel(model.hashes, model.scores, model.rate, float((over + 1) / (tokens + 1) * np.e), 0.0, 0.0)
     binned = typed.mapInArrow(lambda it: _statistics(it, model), shape).groupBy(F.least(F.floor(F.col("evidence") / BIN), F.lit(BINS)).alias("bin"))

@@ -167,6 +167,19 @@ def test_toxicity_on_held_out_labels(spark, duck):
     assert auc > 0.9 and held[held.predicted == 1].toxic.mean() > 0.8
 
 
+def test_toxicity_cuts_alike_in_training_and_scoring(spark):
+    texts = [f"lamp river {w} stone" for w in ("“zorg”", "zorg…", "zorg\u00a0", "！zorg—", "हिन्दी", "e\u0301zorg")]
+    docs = spark.createDataFrame([(i, "plain river lamp stone " + ("zorg हिन्दी zorg" if i % 2 else "quiet market")) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    rows = toxicity.score(spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "lamp river zorg stone"])], "doc_id long, text string"), model).collect()
+    import pyarrow as pa
+
+    (found,) = toxicity._texts(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])]), model)
+    assert all(found[1]), found[1]
+    assert len(rows) == len(texts) + 1 and all(r.segments for r in rows[:4])
+
+
 def test_toxicity_odd(spark, odd_documents, no_documents):
     labels = spark.createDataFrame([(i, 0, int(i in (4, 6, 7))) for i in (1, 3, 4, 6, 7, 9, 12)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(odd_documents, labels)
