@@ -1,41 +1,38 @@
 """Toxic passages by maximum-scoring segments.
 
-Every token has a log-odds of toxic against clean text under a Dirichlet prior that is the corpus's own token
-distribution; tokens whose odds are not surely raised weigh a small negative drift. A linear scan of a text finds
-all its maximal scoring segments. Their scores are set against the extreme-value law of segments in clean text (rate
-lambda from the token scores, size K from clean training texts), summed in nats of surprise, and calibrated to a probability.
+Every token has a log-odds of toxic against clean documents under a Dirichlet prior that is the labelled corpus's own token
+distribution. Odds are shrunk towards 0 by SHRINK of their standard deviations, so a token scores as much as its
+counts surely say; a token that says nothing surely, or was never seen, scores 0, and every token also pays DRIFT.
+A linear scan of a text finds all its maximal scoring segments. Their scores are set against the extreme-value law of segments in
+clean text (rate lambda from the token scores, size K from clean texts), and the surprise of a text's segments together is
+calibrated to a probability. K and the calibration come from texts that the odds were not fitted on.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_LETTER, smaller_batches, table, text_chunks, whole_texts, word_hashes
+from .common import NOT_LETTER, saved, smaller_batches, table, text_chunks, whole_texts, word_hashes
 
 #: Most labelled rows that the model is fitted on (those with the smallest hash of doc_id); everything else covers all rows.
 TRAIN_ROWS = 30_000
-#: Most tokens that the model keeps; they go to every task.
-MODEL_TOKENS = 50_000
-#: Prior mass as a share of the training tokens; least z-score of a token that counts as toxic; score of any other token.
-PRIOR, LEAST_Z, DRIFT = 0.1, 3.0, -0.05
-#: Bins of the summed evidence over which the calibration is fitted.
-BINS, BIN = 200, 0.25
+#: Prior mass as a share of the training tokens; standard deviations by which odds shrink; what each token pays.
+PRIOR, SHRINK, DRIFT = 0.1, 2.0, 0.05
+#: One part of the labels is held out of everything: crc32(doc_id) mod FOLDS is 0.
 FOLDS = 5
-#: The runs that NOT_LETTER leaves in what _letters gives.
-_TOKEN = re.compile(r"[a-z\x80-\U0010ffff]+")
+_U = np.uint64
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Bounded by MODEL_TOKENS. hashes ascend; scores go with them."""
+    """Token hashes ascend; scores go with them. Only tokens whose shrunk odds are not 0 are held: each is in several labelled texts, so their number is bounded by TRAIN_ROWS texts."""
 
     hashes: np.ndarray
     scores: np.ndarray
@@ -45,33 +42,41 @@ class ToxicityModel:
     slope: float
 
 
-def maximal_segments(at: np.ndarray, gain: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first token, last token, score) of a text whose tokens score `drift` except those at `at`.
+def maximal_segments(at: np.ndarray, gain: np.ndarray, loss: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (first token, last token, score) of a text, given the tokens that gain, their gains, and the loss of all tokens before each since the last one.
 
-    One pass over the tokens that gain (Ruzzo and Tompa): a candidate joins the nearest earlier one that starts lower and ends lower.
+    Linear (Ruzzo and Tompa): a candidate joins the nearest earlier one that starts lower, if that ends lower. Each candidate keeps
+    a link to its nearest earlier one that starts lower, so no other is looked at twice.
     """
-    out: list[list[float]] = []  # first, last, sum before, sum after
-    total, before = 0.0, -1
-    for p, g in zip(at.tolist(), gain.tolist(), strict=True):
-        total += drift * (p - before - 1)
-        low, total, before = total, total + g, p
-        new = [p, p, low, total]
-        while True:
-            j = len(out) - 1
-            while j >= 0 and out[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or out[j][3] >= new[3]:
-                out.append(new)
-                break
-            new = [out[j][0], new[1], out[j][2], new[3]]
-            del out[j:]
-    return [(int(a), int(b), hi - lo) for a, b, lo, hi in out]
-
-
-def evidence(segments: list[tuple[int, int, float]], tokens: int, model: ToxicityModel) -> float:
-    """Summed surprise of a text's significant segments: each gives rate * score - ln(K n), at least 0."""
-    base = np.log(max(model.size * max(tokens, 1), 1e-12))
-    return float(sum(max(0.0, model.rate * s - max(base, 0.0)) for _, _, s in segments))
+    first: list[int] = []
+    last: list[int] = []
+    low: list[float] = []
+    high: list[float] = []
+    link: list[int] = []
+    total = 0.0
+    for p, g, x in zip(at.tolist(), gain.tolist(), loss.tolist(), strict=True):
+        total += x
+        start, begin = p, total
+        total += g
+        j = len(low) - 1
+        while j >= 0 and low[j] >= begin:
+            j = link[j]
+        while j >= 0 and high[j] < total:
+            start, begin, up = first[j], low[j], link[j]
+            del first[j:], last[j:], low[j:], high[j:], link[j:]
+            j = up
+        first.append(start)
+        last.append(p)
+        low.append(begin)
+        high.append(total)
+        link.append(j)
+    return [(a, b, h - lo) for a, b, lo, h in zip(first, last, low, high, strict=True)]
+
+
+def surprise(scores: np.ndarray, tokens: np.ndarray, rate: float, size: float) -> np.ndarray:
+    """Minus the log of the chance that clean text of so many tokens has a segment of such a score: -log(1 - exp(-K n exp(-lambda S)))."""
+    expected = size * np.maximum(tokens, 1) * np.exp(-rate * np.minimum(scores, 700.0 / rate))
+    return -np.log(np.maximum(-np.expm1(-expected), 1e-300))
 
 
 def _letters(text: str) -> str:
@@ -79,61 +84,113 @@ def _letters(text: str) -> str:
     text = text.lower()
     if text.isascii():
         return text
-    return text.translate({ord(c): " " for c in set(text) if c > "\x7f" and not c.isalpha()})
+    for c in {c for c in set(text) if c > "\x7f" and not c.isalpha()}:  # few kinds in a text, and replace() is far faster than translate()
+        text = text.replace(c, " ")
+    return text
+
+
+def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens of a batch's texts, and where each text's begin: the one cut for training and scoring."""
+    h, first, _, _ = word_hashes([_letters(t).encode() for t in batch.column(1).to_pylist()], NOT_LETTER)
+    return h, first
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For training: the tokens of each text with their count and the text's label, cut as scoring cuts them."""
+    """For training: for each token, how many of a piece's texts hold it, by half (0, 1) and label."""
     for batch in text_chunks(batches):
-        rows = [(k, n, y) for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True) for k, n in Counter(_TOKEN.findall(_letters(text))).items()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True) if rows else [()] * 3, (pa.string(), pa.int64(), pa.int32()), strict=True)], names=["token", "n", "toxic"])
+        h, first = _tokens(batch)
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(first))
+        held = pd.DataFrame({"token": h.view(np.int64), "doc": doc}).drop_duplicates()
+        kind = (2 * batch.column(3).to_numpy(zero_copy_only=False) + batch.column(2).to_numpy(zero_copy_only=False))[held["doc"].to_numpy()]
+        n = held.assign(**{f"n{k}": (kind == k).astype(np.int64) for k in range(4)}).drop(columns="doc").groupby("token", as_index=False).sum()
+        yield pa.RecordBatch.from_pandas(n, preserve_index=False)
 
 
-def _texts(batches: Iterator[pa.RecordBatch], model: ToxicityModel):
-    """Batch, then for each text its segments, its count of tokens and where its tokens start and end in bytes."""
+def _segments(batches: Iterator[pa.RecordBatch], models: list[tuple[np.ndarray, np.ndarray]], which: int | None):
+    """Batch, then for each text its segments and its count of tokens. models: token hashes and scores; which: the column that says which of them a row gets."""
     for batch in text_chunks(batches):
-        h, first, _, _ = word_hashes([_letters(t).encode() for t in batch.column(1).to_pylist()], NOT_LETTER)
-        where = np.minimum(np.searchsorted(model.hashes, h), len(model.hashes) - 1)
-        hit = np.flatnonzero(model.hashes[where] == h) if len(model.hashes) else np.zeros(0, np.int64)
-        cut = np.searchsorted(hit, first)
+        h, first = _tokens(batch)
+        pick = np.zeros(batch.num_rows, np.int64) if which is None else batch.column(which).to_numpy(zero_copy_only=False)
+        owner = np.repeat(pick, np.diff(first))
+        score = np.full(len(h), -DRIFT)
+        for k, (hashes, scores) in enumerate(models):
+            if len(hashes):
+                where = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                score += np.where((hashes[where] == h) & (owner == k), scores[where], 0.0)
+        sums = np.concatenate(([0.0], np.cumsum(score)))
+        gains = np.flatnonzero(score > 0)
+        cut = np.searchsorted(gains, first)
+        before = np.concatenate(([0], gains[:-1] + 1)) if len(gains) else gains
         found = []
         for i in range(batch.num_rows):
-            mine = hit[cut[i] : cut[i + 1]]
-            found.append(maximal_segments(mine - first[i], model.scores[where[mine]], DRIFT) if len(mine) else [])
+            at = gains[cut[i] : cut[i + 1]]
+            since = np.maximum(before[cut[i] : cut[i + 1]], first[i])
+            found.append(maximal_segments(at - first[i], score[at], sums[at] - sums[since]) if len(at) else [])
         yield batch, found, np.diff(first)
 
 
-def _statistics(batches: Iterator[pa.RecordBatch], model: ToxicityModel) -> Iterator[pa.RecordBatch]:
-    """For training: label, tokens, evidence, and how many segments lie over the level at which K is measured."""
-    level = 1.0 / model.rate
-    for batch, found, tokens in _texts(batches, model):
-        over = [sum(s >= level for _, _, s in x) for x in found]
-        each = [evidence(x, n, model) for x, n in zip(found, tokens.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(tokens, pa.int64()), pa.array(each, pa.float64()), pa.array(over, pa.int64())], names=["toxic", "tokens", "evidence", "over"])
+def _statistics(batches: Iterator[pa.RecordBatch], models: list, rates: list[float]) -> Iterator[pa.RecordBatch]:
+    """For training: label, half, tokens, and the scores of the segments over the level from which the extreme-value law is used. Each half is scored by the other's odds."""
+    for batch, found, tokens in _segments(batches, models, 3):
+        level = [1.0 / rates[k] for k in batch.column(3).to_pylist()]
+        scores = [[s for _, _, s in x if s >= least] for x, least in zip(found, level, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(tokens, pa.int64()), pa.array(scores, pa.list_(pa.float64()))], names=["toxic", "half", "tokens", "scores"])
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: ToxicityModel) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("first_token", pa.int64()), ("last_token", pa.int64()), ("score", pa.float64())]))
-    base = lambda n: max(np.log(max(model.size * max(n, 1), 1e-12)), 0.0)
-    for batch, found, tokens in _texts(batches, model):
-        x = np.array([evidence(s, n, model) for s, n in zip(found, tokens.tolist(), strict=True)])
-        score = 1.0 / (1.0 + np.exp(-(model.intercept + model.slope * x)))
-        spans = [[{"first_token": a, "last_token": b, "score": s} for a, b, s in f if model.rate * s > base(n)] for f, n in zip(found, tokens.tolist(), strict=True)]
+    level = 1.0 / model.rate
+    for batch, found, tokens in _segments(batches, [(model.hashes, model.scores)], None):
+        strong = [[x for x in f if x[2] >= level] for f in found]
+        evidence = _evidence([[s for _, _, s in f] for f in strong], tokens, model.rate, model.size)
+        score = 1.0 / (1.0 + np.exp(-(model.intercept + model.slope * evidence)))
+        # Significant: fewer than one such segment is expected in clean text of this length.
+        spans = [[{"first_token": a, "last_token": b, "score": s} for a, b, s in f if model.rate * s > np.log(max(model.size * n, 1.0))] for f, n in zip(strong, tokens.tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(spans, kind)], names=["doc_id", "score", "segments"])
 
 
-def _calibrate(x: np.ndarray, toxic: np.ndarray, total: np.ndarray) -> tuple[float, float]:
-    """Logistic regression on binned evidence, by Newton steps with a weak ridge."""
+def _evidence(scores: list[list[float]], tokens: np.ndarray, rate: float, size: float) -> np.ndarray:
+    """A text's summed surprise, on a log scale: what is far beyond doubt adds little more."""
+    n = np.array([len(s) for s in scores], dtype=np.int64)
+    each = surprise(np.array([x for s in scores for x in s]), np.repeat(tokens, n), rate, size)
+    return np.log1p(np.bincount(np.repeat(np.arange(len(n)), n), each, minlength=len(n)))
+
+
+def _calibrate(x: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """Logistic regression by Newton steps with a weak ridge."""
     w = np.zeros(2)
     design = np.stack([np.ones_like(x), x], axis=1)
     for _ in range(50):
         p = 1.0 / (1.0 + np.exp(-np.clip(design @ w, -30, 30)))
-        grad = design.T @ (toxic - total * p) - 1e-3 * w
-        step = np.linalg.solve(design.T @ (design * (total * p * (1 - p))[:, None]) + 1e-3 * np.eye(2), grad)
+        grad = design.T @ (toxic - p) - 1e-3 * w
+        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), grad)
         w += np.clip(step, -2, 2)
     return float(w[0]), max(float(w[1]), 0.0)
 
 
+def _odds(t: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shrunk log-odds of each token from the toxic and clean texts that hold it, and its share of clean text."""
+    n_t, n_c = t.sum(), c.sum()
+    if not n_t or not n_c:
+        return np.zeros(len(t)), np.zeros(len(t))
+    prior = PRIOR * (n_t + n_c)
+    a = np.maximum(t + c, 0.5) * (prior / (n_t + n_c))
+    odds = np.log((t + a) / (n_t + prior - t - a)) - np.log((c + a) / (n_c + prior - c - a))
+    sure = np.maximum(np.abs(odds) - SHRINK * np.sqrt(1 / (t + a) + 1 / (c + a)), 0.0)
+    return np.sign(odds) * sure, (c + a) / (n_c + prior)
+
+
+def _rate(scores: np.ndarray, share: np.ndarray) -> float:
+    """lambda: the positive root of E[exp(lambda s)] = 1 over tokens of clean text, whose mean score is negative."""
+    low, high = 1e-6, 50.0
+    s, rest = scores - DRIFT, max(1 - share.sum(), 0.0)
+    for _ in range(100):
+        mid = (low + high) / 2
+        value = (share * np.exp(np.clip(mid * s, None, 200))).sum() + rest * np.exp(-mid * DRIFT)
+        low, high = (mid, high) if value < 1 else (low, mid)
+    return max(low, 0.05)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, text, toxic of at most `train_rows` labelled documents whose crc32(doc_id) mod FOLDS is not 0."""
     able = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "toxic").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0)
@@ -141,44 +198,42 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     return whole_texts(docs).join(F.broadcast(chosen), "doc_id")  # at most train_rows rows of two numbers
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, model_tokens: int = MODEL_TOKENS) -> ToxicityModel:
-    """Fit on a bounded sample of labelled rows. Without both labels in it, every text scores the share of toxic labels, or 0."""
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> ToxicityModel:
+    """Fit on a bounded sample of labelled rows. Without both labels in each half of it, every text scores the share of toxic labels, or 0."""
     smaller_batches(docs.sparkSession)
-    rows = training_rows(docs, labels, train_rows)
-    typed = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    tokens = typed.mapInArrow(_counts, "token string, n long, toxic int")
-    counts = tokens.groupBy("token").agg(F.sum(F.col("n") * F.col("toxic")).alias("t"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("c"))
-    n_t, n_c = counts.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
-    n, share = rows.agg(F.count("*"), F.coalesce(F.avg("toxic"), F.lit(0.0))).first()
-    flat = lambda p: float(np.log(max(p, 1e-6) / max(1 - p, 1e-6)))
-    if not n_t or not n_c:
-        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), 1.0, 1.0, flat(share), 0.0)
-    prior = PRIOR * (n_t + n_c)
-    a = (F.col("t") + F.col("c")) * F.lit(prior / (n_t + n_c))
-    odds = F.log((F.col("t") + a) / (n_t + prior - F.col("t") - a)) - F.log((F.col("c") + a) / (n_c + prior - F.col("c") - a))
-    z = odds / F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a))
-    clean = (F.col("c") + a) / F.lit(n_c + prior)
-    kept = counts.select("token", odds.alias("score"), z.alias("z"), clean.alias("p")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "token").limit(model_tokens).collect()
-    if not kept:
-        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), 1.0, 1.0, flat(share), 0.0)
-    h = np.array([word_hashes([r.token.encode()], NOT_LETTER)[0][0] for r in kept], dtype=np.uint64)
-    order = np.argsort(h)
-    scores, p = np.array([r.score for r in kept])[order], np.array([r.p for r in kept])[order]
-    # lambda: the positive root of E[exp(lambda s)] = 1 over tokens of clean text, whose mean score is negative.
-    low, high = 1e-6, 50.0
-    for _ in range(100):
-        mid = (low + high) / 2
-        value = (p * np.exp(np.clip(mid * scores, None, 200))).sum() + (1 - p.sum()) * np.exp(mid * DRIFT)
-        low, high = (mid, high) if value < 1 else (low, mid)
-    model = ToxicityModel(h[order], scores, max(low, 1e-3), 1.0, 0.0, 0.0)
-    shape = "toxic int, tokens long, evidence double, over long"
-    tokens, over = typed.mapInArrow(lambda it: _statistics(it, model), shape).where("toxic = 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("over"), F.lit(0))).first()
-    model = ToxicityModel(model.hashes, model.scores, model.rate, float((over + 1) / (tokens + 1) * np.e), 0.0, 0.0)
-    binned = typed.mapInArrow(lambda it: _statistics(it, model), shape).groupBy(F.least(F.floor(F.col("evidence") / BIN), F.lit(BINS)).alias("bin"))
-    bins = binned.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("total")).collect()  # at most BINS + 1 rows
-    x, t, m = (np.array(v, dtype=float) for v in zip(*[(r.bin * BIN, r.toxic, r.total) for r in bins], strict=True))
-    intercept, slope = _calibrate(x, t, m)
-    return ToxicityModel(model.hashes, model.scores, model.rate, model.size, intercept, slope)
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("long").alias("half")
+    rows = saved(training_rows(docs, labels, train_rows).select("doc_id", "text", F.col("toxic").cast("long").alias("toxic"), half), "toxic-training")
+    counts = rows.mapInArrow(_counts, "token long, n0 long, n1 long, n2 long, n3 long").groupBy("token").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(4)])
+    # A token that fewer than 3 texts hold has no sure odds whatever they are: it scores 0, as a token never seen does.
+    known = counts.where("n0 + n1 + n2 + n3 > 2").toArrow()
+    token = known.column("token").to_numpy().view(_U)
+    n = np.stack([known.column(f"n{k}").to_numpy() for k in range(4)]).astype(np.float64)
+    order = np.argsort(token)
+    token, n = token[order], n[:, order]
+
+    def odds(t: np.ndarray, c: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], float]:
+        score, share = _odds(t, c)
+        use = score != 0
+        return (token[use], score[use]), _rate(score[use], share[use])
+
+    # The model at place k judges half k: it comes from the other half.
+    (one, rate_one), (two, rate_two) = odds(n[3], n[2]), odds(n[1], n[0])
+    (hashes, scores), rate = odds(n[1] + n[3], n[0] + n[2])
+    judged = rows.mapInArrow(lambda it: _statistics(it, [one, two], [rate_one, rate_two]), "toxic long, half long, tokens long, scores array<double>").toArrow()  # at most train_rows rows
+    toxic = judged.column("toxic").to_numpy().astype(np.float64)
+    share = toxic.mean() if len(toxic) else 0.0
+    flat = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
+    if not len(hashes) or not len(one[0]) or not len(two[0]):
+        return ToxicityModel(hashes[:0], scores[:0], 1.0, 1.0, flat, 0.0)
+    side, tokens, found = judged.column("half").to_numpy(), judged.column("tokens").to_numpy(), judged.column("scores").to_pylist()
+    evidence, sizes = np.zeros(len(toxic)), []
+    for k, own in enumerate((rate_one, rate_two)):
+        mine = np.flatnonzero(side == k)
+        clean = [i for i in mine if not toxic[i]]
+        sizes.append((sum(len(found[i]) for i in clean) + 1) / (tokens[clean].sum() + 1) * np.e)
+        evidence[mine] = _evidence([found[i] for i in mine], tokens[mine], own, sizes[k])
+    intercept, slope = _calibrate(evidence, toxic)
+    return ToxicityModel(hashes, scores, rate, float(np.mean(sizes)), intercept, slope)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from row_checks import same_rows
 
-from formwright.llm import fingerprint, mixing, packing, pii, toxicity, url_filter
+from formwright.llm import fingerprint, mixing, packing, pii, url_filter
 
 
 def edits(rows):
@@ -128,69 +128,6 @@ def test_url_collisions_are_confirmed(tmp_path, monkeypatch):
     assert at[1] == -1 and found.verdicts[at[0]] == 0 and found.verdicts[at[2]] == 1
 
 
-def slow_segments(score):
-    """Maximal scoring segments by their definition: split at the best segment, again and again."""
-    if not len(score):
-        return []
-    total = np.concatenate(([0], np.cumsum(score)))
-    best = max(((total[b] - total[a], -(b - a), -a) for a in range(len(score)) for b in range(a + 1, len(score) + 1)), default=(0, 0, 0))
-    if best[0] <= 1e-12:
-        return []
-    a = -best[2]
-    b = a - best[1]
-    return [*slow_segments(score[:a]), (a, b - 1), *[(x + b, y + b) for x, y in slow_segments(score[b:])]]
-
-
-def test_segments_match_definition():
-    rng = np.random.default_rng(6)
-    for _ in range(50):
-        n = int(rng.integers(1, 25))
-        at = np.flatnonzero(rng.random(n) < 0.4)
-        gain = rng.uniform(0.1, 2, len(at))
-        score = np.full(n, -0.3)
-        score[at] = gain
-        got = [(a, b) for a, b, _ in toxicity.maximal_segments(at, gain, -0.3)]
-        want = slow_segments(score)
-        total = lambda spans: sum(score[a : b + 1].sum() for a, b in spans)
-        assert total(got) == pytest.approx(total(want)) and len(got) == len(want)
-
-
-def test_toxicity_on_held_out_labels(spark, duck):
-    big = "/root/testdata/sf0.1"
-    rows = toxicity.op7_toxicity(spark, big).toPandas()
-    labels = duck.sql(f"SELECT doc_id, toxic FROM '{big}/labels.parquet'").df()
-    held = rows.merge(labels, on="doc_id")
-    held = held[held.held_out]
-    assert held.held_out.map(bool).all() and (zlib.crc32(str(held.doc_id.iloc[0]).encode()) % 5) == 0
-    yes, no = held[held.toxic == 1].score.to_numpy(), held[held.toxic == 0].score.to_numpy()
-    auc = ((yes[:, None] > no).mean()) + 0.5 * ((yes[:, None] == no).mean())
-    assert auc > 0.9 and held[held.predicted == 1].toxic.mean() > 0.8
-
-
-def test_toxicity_cuts_alike_in_training_and_scoring(spark):
-    texts = [f"lamp river {w} stone" for w in ("“zorg”", "zorg…", "zorg\u00a0", "！zorg—", "हिन्दी", "e\u0301zorg")]
-    docs = spark.createDataFrame([(i, "plain river lamp stone " + ("zorg हिन्दी zorg" if i % 2 else "quiet market")) for i in range(200)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
-    model = toxicity.fit(docs, labels)
-    rows = toxicity.score(spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "lamp river zorg stone"])], "doc_id long, text string"), model).collect()
-    import pyarrow as pa
-
-    (found,) = toxicity._texts(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])]), model)
-    assert all(found[1]), found[1]
-    assert len(rows) == len(texts) + 1 and all(r.segments for r in rows[:4])
-
-
-def test_toxicity_odd(spark, odd_documents, no_documents):
-    labels = spark.createDataFrame([(i, 0, int(i in (4, 6, 7))) for i in (1, 3, 4, 6, 7, 9, 12)], "doc_id long, quality int, toxic int")
-    model = toxicity.fit(odd_documents, labels)
-    rows = toxicity.score(odd_documents, model).collect()
-    assert len(rows) == odd_documents.count() and all(0 <= r.score <= 1 for r in rows)
-    assert toxicity.score(no_documents, model).count() == 0
-    blank = toxicity.fit(no_documents, labels)
-    assert all(0 <= r.score <= 1 for r in toxicity.score(odd_documents, blank).collect())
-    assert toxicity.drop_toxic(odd_documents, labels).columns == odd_documents.columns
-
-
 def test_mixing(spark, sf_dir, duck, odd_documents, no_documents):
     same_rows(mixing.op8_poisson_mixing(spark, sf_dir).toPandas(), duck.sql(mixing.ORACLE).df())
     out = mixing.poisson_mix(odd_documents)
