@@ -162,6 +162,68 @@ def test_sentences_odd(odd_documents, no_documents, spark):
     rows = sentence_spans.sentence_dedup(odd_documents).collect()
     assert len(rows) == odd_documents.count() and {r.doc_id: r.n_sentences for r in rows}[1] == 0
     assert sentence_spans.sentence_dedup(no_documents).count() == 0
-    df = spark.createDataFrame([(1, "A b. C d. E f. G h."), (2, "X. A b.  C d. E f. Y."), (3, "A b. C d.")], "doc_id long, text string")
-    by = {r.doc_id: r for r in sentence_spans.sentence_dedup(df).collect()}
-    assert by[1].removed == [] and by[2].removed == [1, 2, 3] and by[2].kept_text == "X. Y." and by[3].kept_text == "A b. C d."
+    df = spark.createDataFrame([(1, "A b. C d. E f. G h."), (2, "X. A b.  C d. E f. Y."), (3, "A b. C d."), (4, "OH!! OH!! OH!! OH!!")], "doc_id long, text string")
+    by = {r.doc_id: r for r in sentence_spans.sentence_dedup(df, words=5).collect()}
+    assert by[1].removed == [] and by[2].removed == [1, 2, 3] and by[2].kept_text == "X. Y." and by[3].kept_text == "A b. C d." and by[4].removed == []
+
+
+def slow_sentences(documents, least_sentences, least_words):
+    """The definition word for word: doc_id to removed indexes."""
+    import re
+
+    first, places = {}, []
+    for doc, text in sorted(documents):
+        pieces = re.findall(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+$", text)
+        bare = [p.strip(" \t\r\n") for p in pieces]
+        size = [len(re.findall(r"[^ \t\n\r\f\v]+", p)) for p in pieces]
+        for i in range(len(pieces)):
+            e, words = i, 0
+            while e < len(pieces) and (words < least_words or e - i < least_sentences):
+                words += size[e]
+                e += 1
+            if words >= least_words and e - i >= least_sentences:
+                run = tuple(bare[i:e])
+                first.setdefault(run, (doc, i))
+                places.append((run, doc, i, e))
+    gone = defaultdict(set)
+    for run, doc, i, e in places:
+        if first[run] != (doc, i):
+            gone[doc].update(range(i, e))
+    return gone
+
+
+def test_sentences_against_brute_force(documents, texts):
+    for hot in (2_000, 1):
+        for least in ((2, 20), (3, 1), (1, 4)):
+            want = slow_sentences(texts.items(), *least)
+            got = {r.doc_id: r.removed for r in sentence_spans.sentence_dedup(documents, *least, hot_run=hot).collect()}
+            assert {i: set(r) for i, r in got.items() if r} == dict(want)
+
+
+def test_sentences_catch_planted_passages(spark):
+    """Passages of over 50 words, put anywhere into other texts, cut sentences at both ends; clean texts with shouts and stock lines stay."""
+    import random
+
+    from made_texts import WORDS, prose
+
+    rnd = random.Random(5)
+
+    def story(n):
+        out = []
+        while sum(len(s.split()) for s in out) < n:
+            out.append(" ".join(rnd.choice(WORDS) + str(rnd.randrange(500)) for _ in range(rnd.randint(3, 22))).capitalize() + ".")
+        return " ".join(out)
+
+    rows, planted = [], []
+    for k in range(60):
+        passage = story(51)
+        for c in range(4):
+            i = 4 * k + c
+            rows.append((i, f"{prose(1000 + i, rnd.randint(5, 80))} {passage} {prose(5000 + i, rnd.randint(5, 80))}"))
+            if c:
+                planted.append(i)
+    clean = range(1000, 1200)
+    rows += [(i, f"{story(120)} All rights reserved. {' '.join('OH!! NO!! YES!!'.split())} {story(60)}\nLicensed under the Stone License, Version 2.0.") for i in clean]
+    got = {r.doc_id: r.removed for r in sentence_spans.sentence_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(bool(got[i]) for i in planted) >= 0.95 * len(planted)
+    assert not any(got[i] for i in clean) and not any(got[4 * k] for k in range(60))
