@@ -49,7 +49,9 @@ def test_packing_round_trip(documents, texts, odd_documents, no_documents):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    for df, known in ((documents, texts), (odd_documents.where("doc_id <> 14 AND doc_id IS NOT NULL"), {r.doc_id: r.text or "" for r in odd_documents.collect()})):
+    special = {1: "<|endoftext|>", 2: "a <|endoftext|><|endoftext|> b\n<|endoftext|", 3: "<|ENDOFTEXT|> <|endoftext|>s " * 900, 4: None}
+    odd = documents.sparkSession.createDataFrame(list(special.items()), "doc_id long, text string")
+    for df, known in ((odd, {i: t or "" for i, t in special.items()}), (documents, texts), (odd_documents.where("doc_id <> 14 AND doc_id IS NOT NULL"), {r.doc_id: r.text or "" for r in odd_documents.collect()})):
         rows = packing.pack(df).collect()
         by, places = {}, {}
         for r in rows:
