@@ -3,7 +3,8 @@
 Every paragraph is hashed to a wide vector; a document's fingerprint is the sum of its paragraphs' vectors, lane by lane,
 modulo 2**16. So the order of paragraphs doesn't matter, and a paragraph is put in or taken out by one addition. A
 vector has two parts: EQUAL lanes from an extendable-output hash of the whole paragraph, for equality; and LIKE lanes to
-which the paragraph's runs of words each add or take one at a hashed place, for likeness.
+which the paragraph's runs of words each add or take one at a hashed place, for likeness. Lanes of likeness are read as
+signed 16-bit numbers: a lane that the same runs move beyond 32767 wraps, as all lanes do, so likeness says little about such texts.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from .common import CHUNK_BYTES, mix, shingles, smaller_batches, table, word_has
 EQUAL, LIKE = 64, 256
 #: Words of a run, within one paragraph.
 WORDS = 3
-#: Documents of one range of the neighbour pass, and the most ranges; their ends are all that reaches the driver.
+#: Documents of one range of the neighbour pass, and the most ranges; their ends are all that reaches the driver. Beyond, ranges
+#: grow, but a task streams its ranges in order and holds CHUNK_BYTES of text.
 DOCS_PER_PART, MOST_PARTS = 1_000, 100_000
 _U = np.uint64
 
@@ -151,7 +153,7 @@ def edited_neighbours(docs: DataFrame, docs_per_part: int = DOCS_PER_PART, most_
     own = F.struct(F.floor(F.col("code") / 2).cast("long").alias("part"), F.lit(False).alias("lent"))
     lent = F.struct(((F.floor(F.col("code") / 2) + 1) % max(1, len(bounds))).cast("long").alias("part"), F.lit(True).alias("lent"))
     dealt = rows.withColumn("code", code("id", "h")).select("doc_id", "text", "id", "h", F.inline(F.when(F.col("code") % 2 == 1, F.array(own, lent)).otherwise(F.array(own))))
-    ordered = dealt.repartition("part").sortWithinPartitions("part", "lent", F.desc("id"), F.desc("h"))
+    ordered = dealt.repartition(max(1, len(bounds)), "part").sortWithinPartitions("part", "lent", F.desc("id"), F.desc("h"))
     return ordered.select("part", "doc_id", "text", "lent").mapInArrow(_edits, _EDITS)
 
 
