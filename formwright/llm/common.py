@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -26,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset, a temporary one in local mode only: elsewhere executors could not see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="formwright-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -71,6 +74,27 @@ def whole_texts(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+#: A key with more rows than this is hot; up to so many hot keys (some 40 bytes each) go to every task.
+HOT_KEY, MOST_HOT = 2_000, 200_000
+
+
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", counts: DataFrame | None = None, hot: int = HOT_KEY) -> DataFrame:
+    """left joined with right on `on`, where few keys may hold most rows of left: the rows of a hot key are dealt over parts by their hash, and right's row for it is repeated for each part.
+
+    left must be cheap to read twice. counts: rows of left for each key, in a column n, where they are known. Beyond MOST_HOT hot keys Spark's own
+    splitting of skewed joins is left to it. The result has the columns of left.join(right, on, how).
+    """
+    if counts is None:
+        counts = left.groupBy(*on).agg(F.count("*").alias("n"))
+    parts = saved(counts.where(F.col("n") > hot).select(*on, F.ceil(F.col("n") / hot).cast("int").alias("parts__")), "hot-keys")
+    if not 0 < parts.count() <= MOST_HOT:
+        return left.join(right, on, how)
+    part = F.when(F.col("parts__").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("parts__"))).cast("int")
+    dealt = left.join(F.broadcast(parts), on, "left").withColumn("part__", part).drop("parts__")
+    copies = right.join(F.broadcast(parts), on, "left").withColumn("part__", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts__") - 1, F.lit(0))))).drop("parts__")
+    return dealt.join(copies, [*on, "part__"], how).drop("part__")
+
+
 def smaller_batches(spark: SparkSession, rows: int = 2_000) -> None:
     """Let no Arrow batch of this session hold more rows than this: a worker and its JVM each hold a few batches at a time."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

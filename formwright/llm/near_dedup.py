@@ -5,10 +5,14 @@ arrive at times, and for slots, drawn from the shingle's hash alone. A slot's si
 arrives there first; two documents agree in a slot with the probability Jaccard similarity of their weights.
 Points later than the time by which all slots are nearly surely full are never drawn.
 
+A link needs the similarity in probability Jaccard or in plain Jaccard of the shingles. A document that repeats shingles has two
+signatures, one with its weights and one with all weights 1, so that pairs close in either sense share a bucket; where no shingle repeats, both are one.
+
 Documents with equal weighted shingles are one class from the start, so groups of copies cost one row each. In a
 bucket of a band, every member is first compared with the bucket's smallest member. Buckets whose members are then
-still in several components are dealt in blocks: each pair of blocks is one task's work, which compares all members
+still in several components are dealt in blocks: each pair of blocks is dealt by itself, compares all members
 across components and returns only links. A pair within one component adds no link between classes.
+Verification is exact on the low 32 bits of the shingles' hashes: two texts of 500 shingles each have a false one in common with a chance of 0.00006.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, saved, shingles, smaller_batches, table, text_chunks, unit, whole_texts, word_hashes
+from .common import mix, saved, shingles, skew_join, smaller_batches, table, text_chunks, unit, whole_texts, word_hashes
 from .graph import components
 
 WORDS = 5
@@ -75,17 +79,30 @@ def signatures(elements: np.ndarray, weights: np.ndarray, begin: np.ndarray, slo
     return sig.reshape(n, slots)
 
 
+def _bands(sig: np.ndarray) -> np.ndarray:
+    """One hash for each band of signatures (texts, bands, rows)."""
+    h = np.zeros(sig.shape[:2], dtype=_U)
+    for k in range(sig.shape[2]):
+        h = mix(h * _U(0x100000001B3) + sig[:, :, k] + _U(1))
+    return h
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, a digest of the weighted shingles, and two hashes for each band: by weights, and by weights of 1."""
     for batch in text_chunks(batches):
         texts = batch.column(1).to_pylist()
         ids, counts, begin = weighted_shingles(texts, words)
-        sig = signatures(ids, 1.0 + np.log(counts), begin, bands * rows).reshape(len(texts), bands, rows)
-        h = np.zeros((len(texts), bands), dtype=_U)
-        for k in range(rows):
-            h = mix(h * _U(0x100000001B3) + sig[:, :, k] + _U(1))
+        by_weight = _bands(signatures(ids, 1.0 + np.log(counts), begin, bands * rows).reshape(len(texts), bands, rows))
+        plain = by_weight.copy()
+        repeats = np.flatnonzero(np.add.reduceat(np.append(counts > 1, False), begin[:-1]) * (np.diff(begin) > 0)) if len(texts) else begin[:0]
+        if len(repeats):
+            mine = np.isin(np.repeat(np.arange(len(texts)), np.diff(begin)), repeats)
+            first = np.concatenate(([0], np.cumsum(np.diff(begin)[repeats])))
+            plain[repeats] = _bands(signatures(ids[mine], np.ones(int(mine.sum())), first, bands * rows).reshape(len(repeats), bands, rows))
         keys = [None if a == b else hashlib.blake2b(ids[a:b].tobytes() + counts[a:b].tobytes(), digest_size=16).digest() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+        both = np.concatenate((by_weight, plain), axis=1)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(keys, pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(h.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64()))],
+            [batch.column(0), pa.array(keys, pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(both.view(np.int64).ravel()), 2 * bands).cast(pa.list_(pa.int64()))],
             names=["doc_id", "same", "bands"])
 
 
@@ -137,8 +154,10 @@ def _block_links(left: list, right: list, band: int, least: float) -> list[tuple
     once = np.array([m["id"] for m in left])[:, None] != np.array([m["id"] for m in right])[None, :]
     bx, by = (np.array([m["bands"] for m in side]) for side in (left, right))
     first = np.full(comp.shape, -1)
-    for k in range(bx.shape[1] - 1, -1, -1):
-        first[bx[:, k][:, None] == by[:, k][None, :]] = k
+    half = bx.shape[1] // 2
+    for k in range(half - 1, -1, -1):
+        for u, v in ((k, k), (k, k + half), (k + half, k), (k + half, k + half)):
+            first[bx[:, u][:, None] == by[:, v][None, :]] = k
     todo = comp & once & (first == band)
     if not todo.any():
         return []
@@ -183,44 +202,53 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARI
     texts = whole_texts(docs)
     sketch = saved(texts.mapInArrow(lambda it: _sketch(it, words, bands, rows), "doc_id long, same binary, bands array<long>"), "sketches")
     known = sketch.where("same IS NOT NULL AND doc_id IS NOT NULL")
-    firsts = saved(known.groupBy("same").agg(F.min("doc_id").alias("same_id"), F.any_value("bands").alias("bands")), "sets")
-    buckets = firsts.select(F.col("same_id").alias("id"), F.posexplode("bands").alias("band", "h"))
-    heads = buckets.groupBy("band", "h").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = saved(buckets.join(heads, ["band", "h"]), "buckets")
+    firsts = saved(known.groupBy("same").agg(F.min("doc_id").alias("same_id"), F.any_value("bands").alias("bands"), F.count("*").alias("n")), "sets")
+    entries = F.array_distinct(F.transform("bands", lambda h, i: F.struct((i % bands).cast("int").alias("band"), h.alias("h"))))
+    buckets = saved(firsts.select(F.col("same_id").alias("id"), F.inline(entries)), "entries")
+    heads = saved(buckets.groupBy("band", "h").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1"), "heads")
+    members = saved(skew_join(buckets, heads.drop("n"), ["band", "h"], counts=heads), "buckets")
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
     found = texts.join(wanted, "doc_id").dropDuplicates(["doc_id", "text"])
     sets = saved(found.mapInArrow(lambda it: _shingle_sets(it, words), "id long, ids binary, counts binary"), "shingles")
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda s: sets.select(F.col("id").alias(s), F.col("ids").alias(f"ids_{s}"), F.col("counts").alias(f"counts_{s}"))
-        full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ids_a", "counts_a", "ids_b", "counts_b")
+        pairs = saved(pairs, "pairs")
+        times = pairs.groupBy("b").agg(F.count("*").alias("n"))
+        full = skew_join(pairs.join(side("a"), "a"), side("b"), ["b"], counts=times).select("a", "b", "ids_a", "counts_a", "ids_b", "counts_b")
         return saved(full.mapInArrow(lambda it: _verify(it, least), "a long, b long"), "verified")
 
     def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
         """The pairs whose ends are not known to be in one component."""
         of = lambda s: comp.select(F.col("node").alias(s), F.col("comp").alias(f"comp_{s}"))
-        at = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        at = skew_join(pairs.join(of("a"), "a", "left"), of("b"), ["b"], "left", counts=pairs.groupBy("b").agg(F.count("*").alias("n")))
         return at.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
 
-    stars = members.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    links = verified(members.where("id <> head").groupBy(F.col("id").alias("a")).agg(F.min("head").alias("b")))
+    stars = saved(members.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "stars")
+    links = verified(stars.groupBy("a").agg(F.min("b").alias("b")))
     comp = saved(components(links), "components")
     links = links.unionByName(verified(apart(stars, comp)))
     comp = saved(components(links), "components")
     # Buckets whose members are still in several components: compare across components, block by block.
-    at = members.join(comp, members.id == comp.node, "left").select("band", "h", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = at.groupBy("band", "h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high").select("band", "h", "n")
-    open_ = at.join(mixed, ["band", "h"]).join(sets, "id").join(firsts.select(F.col("same_id").alias("id"), "bands"), "id")
-    cut = open_.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
-    blocks = saved(cut.groupBy("band", "h", "block").agg(F.collect_list(F.struct("id", "comp", "bands", "ids", "counts")).alias("m")), "blocks")
-    pairs = blocks.alias("l").join(blocks.alias("r"), ["band", "h"]).where("l.block <= r.block").select("band", F.col("l.m").alias("l"), F.col("r.m").alias("r"))
-    more = saved(pairs.mapInArrow(lambda it: _blocks(it, least), "a long, b long"), "block-links")
-    comp = saved(components(links.unionByName(more)), "components")
-    classes = firsts.select("same", "same_id").join(comp, F.col("same_id") == F.col("node"), "left").select("same", "same_id", F.coalesce("comp", "same_id").alias("class_id"))
-    out = sketch.where("doc_id IS NOT NULL").select("doc_id", "same").join(classes, "same", "left")
-    out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("same_id", "doc_id").alias("same_id"))
-    lost = sketch.where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("same_id"))
-    return out.unionByName(lost).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    at = saved(members.join(comp, members.id == comp.node, "left").select("band", "h", "id", F.coalesce("comp", "id").alias("comp")), "placed")
+    mixed = at.groupBy("band", "h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high")
+    mixed = saved(mixed.select("band", "h", "n", F.ceil(F.col("n") / BLOCK).alias("blocks")), "open-buckets")
+    cut = skew_join(at, mixed.drop("n"), ["band", "h"], counts=mixed).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    full = cut.join(sets, "id").join(firsts.select(F.col("same_id").alias("id"), "bands"), "id")
+    blocks = saved(full.groupBy("band", "h", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("id", "comp", "bands", "ids", "counts")).alias("m")), "blocks")
+    # Each block meets itself and those after it. Pairs are dealt by all four keys, so neither a bucket nor a block is one task's work.
+    pairs = blocks.select("band", "h", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    side = lambda s, k: blocks.select("band", "h", F.col("block").alias(k), F.col("m").alias(s))
+    pairs = skew_join(pairs.join(side("l", "i"), ["band", "h", "i"]), side("r", "j"), ["band", "h", "j"], counts=pairs.groupBy("band", "h", "j").agg(F.count("*").alias("n")), hot=BLOCK)
+    more = saved(pairs.select("band", "l", "r").mapInArrow(lambda it: _blocks(it, least), "a long, b long"), "block-links")
+    if not more.isEmpty():
+        comp = saved(components(links.unionByName(more)), "components")
+    classes = firsts.select("same", "same_id", "n").join(comp, F.col("same_id") == F.col("node"), "left").select("same", "same_id", F.coalesce("comp", "same_id").alias("class_id"), "n")
+    classes = saved(classes, "classes")
+    out = skew_join(known.select("doc_id", "same"), classes.drop("n"), ["same"], counts=classes.select("same", "n")).select("doc_id", "class_id", "same_id")
+    # Texts without words, and rows without doc_id, are their own classes and meet nothing.
+    lone = sketch.where("same IS NULL OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("same_id"))
+    return out.unionByName(lone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

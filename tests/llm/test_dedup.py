@@ -115,6 +115,51 @@ def test_open_buckets_are_compared_in_blocks(spark):
     assert got == classes(dict(rows))
 
 
+def test_near_with_repeated_shingles_in_one_text(spark):
+    """Plain similarity over 0.8 where the weights differ much: the bands by weights alone would miss many."""
+    rows = []
+    for k in range(80):
+        base = [f"w{k}x{i}" for i in range(130)]
+        rows.append((2 * k, " ".join(base)))
+        rows.append((2 * k + 1, " ".join(base + base[20:50] * 12)))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes(dict(rows)) and sum(got[2 * k + 1] == 2 * k for k in range(80)) == 80
+
+
+def test_near_catches_planted_edits(spark):
+    """Texts with words changed, dropped and put in, up to similarity 0.8 in shingles of five words, and large groups of them."""
+    import random
+
+    from made_texts import prose
+
+    rnd = random.Random(3)
+    rows, planted = [], []
+    for k in range(150):
+        words = prose(100 + k, rnd.randint(60, 400)).split()
+        rows.append((20 * k, " ".join(words)))
+        for c in range(1, 3 if k else 20):
+            w = list(words)
+            for _ in range(max(1, len(w) // 60)):
+                at = rnd.randrange(len(w))
+                w[at : at + 1] = rnd.choice(([], [f"new{at}"], [w[at], f"put{at}"]))
+            rows.append((20 * k + c, " ".join(w)))
+            a, b = shingle_set(rows[-1][1]), shingle_set(" ".join(words))
+            if len(a & b) / len(a | b) >= 0.8:
+                planted.append((20 * k + c, 20 * k))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(planted) > 150 and sum(got[a] == got[b] for a, b in planted) >= 0.99 * len(planted)
+
+
+def test_hot_keys_are_split(spark):
+    from formwright.llm.common import skew_join
+
+    left = spark.range(5_000).selectExpr("id", "if(id % 3 = 0, 0, id) as k")
+    right = spark.range(2_000).selectExpr("id as k", "id * 2 as v")
+    for how in ("inner", "left"):
+        got = skew_join(left, right, ["k"], how, hot=100)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, left.join(right, ["k"], how).collect()), key=str)
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 150), (7, 7)] + [(300, 300 + k) for k in range(1, 50)]
     got = {r.node: r.comp for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
