@@ -1,14 +1,15 @@
-"""Byte substrings that repeat across documents, by column-wise construction over windows.
-
-The strings to compare are the windows of WINDOW bytes. Columns are inserted from the last to the first: each round
-adds one symbol to every window and moves it behind all windows with a smaller symbol and all earlier ones with the same
-(the rank step of a collection's Burrows-Wheeler transform), and two neighbours keep a common prefix of
-full length where their symbols agree and they had one before. After the last round equal windows are neighbours.
-
-So that windows meet without being sent one by one, each is dealt by its anchor, the smallest hash of its runs of GRAM
-bytes, which equal windows share; neighbouring windows with one anchor travel as one segment. Only anchors that two different texts have
-are sent, and equal segments travel as one with their smallest doc_id. Sorted runs between rounds of jobs lie in Spark's own
-shuffle files and in tables in the shared folder; one task holds a bounded batch of windows.
+"""Byte substrings that repeat across documents, by column-wise construction over many documents' pieces.
+
+The collection's Burrows-Wheeler transform and common prefixes are built column by column: each round puts one symbol in front of
+every string of the collection, from its end to its start. A round's new suffixes take their places in the sorted suffixes so far by
+the symbols' ranks in the transform, and the common prefixes beside them follow from the least one between the places they came from.
+After the last round, windows of WINDOW bytes are equal exactly where neighbours have a common prefix as long.
+
+A collection is bounded, so that one task can hold it; the strings are pieces of documents, not whole ones, as the longest document
+would need a round for each of its bytes. Windows are dealt by their anchor, the smallest hash of their runs of GRAM
+bytes, which equal windows share; neighbouring windows with one anchor are one piece. Only anchors that two different texts have
+are sent, and equal pieces travel as one with their smallest doc_id. An anchor with very many distinct pieces is dealt over several collections, whose
+windows are then merged by their bytes. What passes between jobs are sorted shuffle files and tables in the shared folder, written and read in sequence.
 """
 
 from __future__ import annotations
@@ -22,22 +23,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BASE_INV, Scratch, _power, mix, smaller_batches, table, text_chunks
+from .common import _BASE, _BASE_INV, MOST_HOT, Scratch, _power, mix, skew_join, smaller_batches, table, text_chunks
 
 WINDOW, GRAM = 50, 20
 #: Bytes of text that one pass over windows takes; it holds some ten 8-byte numbers for each.
 CHUNK = 1_000_000
-#: Windows that one construction takes, and anchors of one bucket of the sharing test.
-BATCH_WINDOWS, BUCKET = 300_000, 2_000_000
-#: An anchor with more distinct segments than this has its windows dealt one by one.
-HOT_SEGMENTS = 20_000
-#: Up to this many such anchors (8 bytes each) go to every task; beyond, they are joined.
-BROADCAST_ANCHORS = 100_000
+#: Bytes of one collection (a piece more at most), and anchors of one bucket of the sharing test.
+BATCH_BYTES, BUCKET = 400_000, 2_000_000
+#: Windows of one piece; longer runs with one anchor, as periodic text has, are cut.
+PIECE = 64
+#: An anchor with more distinct pieces than this is dealt over several collections.
+HOT_SEGMENTS = 4_000
 _U = np.uint64
 
 
 def segments(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of windows with one anchor: text index, first window's start in the text, windows in the run, anchor."""
+    """Runs of windows with one anchor, of PIECE windows at most: text index, first window's start in the text, windows in the run, anchor."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     offsets = np.cumsum(sizes) - sizes
     buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -60,11 +61,13 @@ def segments(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tupl
     if not len(at):
         return none, none, none, none.astype(_U)
     low, d = low[at], doc[at]
-    first = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (d[1:] != d[:-1]))))
+    new = np.concatenate(([True], (low[1:] != low[:-1]) | (d[1:] != d[:-1])))
+    start = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+    first = np.flatnonzero((np.arange(len(at)) - start) % PIECE == 0)
     return d[first], at[first] - offsets[d[first]], np.diff(np.concatenate((first, [len(at)]))), low[first]
 
 
-_PACK = np.dtype([("rest", "<u4"), ("doc", "<u2"), ("text", "<u4"), ("more", "<u2")])  # 48 bits of the text's hash tell copies from different texts
+_PACK = np.dtype([("rest", "<u4"), ("doc", "<u2"), ("text", "<i8")])  # the text's hash tells copies from different texts
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -81,7 +84,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
             order = np.argsort(bucket, kind="stable")
             packed = np.empty(len(order), dtype=_PACK)
             packed["rest"], packed["doc"] = anchor[order] & _U(0xFFFFFFFF), d[order]
-            packed["text"], packed["more"] = keys[d[order], 1] & 0xFFFFFFFF, (keys[d[order], 1] >> 32) & 0xFFFF
+            packed["text"] = keys[d[order], 1]
             ends = np.searchsorted(bucket[order], np.arange(buckets + 1)) if len(order) else np.zeros(buckets + 1, np.int64)
             rows += [(b, packed[ends[b] : ends[b + 1]].tobytes()) for b in np.unique(bucket).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([serial] * len(rows), pa.int64()), pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["chunk", "bucket", "data"])
@@ -95,7 +98,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         rest = np.concatenate([p["rest"] for _, p in held])
         order = np.argsort(rest, kind="stable")
-        text = np.concatenate([p["text"].astype(np.int64) << 16 | p["more"] for _, p in held])[order]
+        text = np.concatenate([p["text"] for _, p in held])[order]
         new = np.concatenate(([True], rest[order][1:] != rest[order][:-1]))
         other = np.concatenate(([False], text[1:] != text[:-1])) & ~new
         both = np.zeros(len(rest), dtype=bool)
@@ -163,75 +166,133 @@ def _occurrences(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array(ids[d], pa.int64()), pa.array(rows[d], pa.int64()), pa.array(start, pa.int32()), pa.array(anchor.view(np.int64)), pa.array(text, pa.binary())], names=["doc_id", "row", "start", "anchor", "segment"])
 
 
-def equal_windows(buf: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the windows that start at `starts`, and in that order whether each has the whole window in common with the one before."""
-    order = np.arange(len(starts), dtype=np.int32)
-    rank = np.zeros(len(starts), dtype=np.int32)  # grows where the common prefix is shorter than the symbols so far
-    for column in range(window - 1, -1, -1):
-        symbol = buf[starts[order] + column]
-        move = np.argsort(symbol, kind="stable")  # a counting sort: symbols below, then equal symbols before
-        order, rank, symbol = order[move], rank[move], symbol[move]
-        parts = np.concatenate(([False], (symbol[1:] != symbol[:-1]) | (rank[1:] != rank[:-1])))
-        rank = np.cumsum(parts, dtype=np.int32)
-    return order, np.concatenate(([False], rank[1:] == rank[:-1])) if len(rank) else np.zeros(0, dtype=bool)
+#: The symbol before a string's start; no byte of UTF-8.
+_NONE = 255
 
 
-_RUNS = "h1 long, h2 long, runs array<struct<a: int, b: int, first: long>>"
-_RUN_TYPE = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("first", pa.int64())]))
+def _range_minima(values: np.ndarray, most: int) -> list[np.ndarray]:
+    """values, then their minima over 2, 4, 8, ... neighbours, up to `most`."""
+    levels, h = [values], 1
+    while 2 * h <= most:
+        levels.append(np.minimum(levels[-1][:-h], levels[-1][h:]))
+        h *= 2
+    return levels
 
 
-def _first_documents(batches: Iterator[pa.RecordBatch], batch_windows: int) -> Iterator[pa.RecordBatch]:
-    """For each distinct segment, runs of windows with the smallest doc_id that any equal window has; anchors come in order."""
-    held: list[tuple] = []
-    windows, anchor = 0, None
+def collection_order(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, most: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Where the suffixes of all strings buf[begin : begin + size] start, in sorted order (a string's end sorts first, then by string), and each one's common prefix with the one before, counted up to `most`.
 
-    def flush() -> pa.RecordBatch:
-        n = len(held)
-        anchors = np.array([h[0] for h in held])
-        alone = np.ones(n, dtype=bool)
-        alone[1:] &= anchors[1:] != anchors[:-1]
-        alone[:-1] &= anchors[1:] != anchors[:-1]
-        sizes = np.array([len(h[3]) - WINDOW + 1 for h in held])
-        first = np.repeat(np.array([h[4] for h in held]), sizes)
-        lengths = np.array([len(h[3]) for h in held])
-        begin = np.cumsum(lengths) - lengths
-        at = np.cumsum(sizes) - sizes
-        inside = np.arange(int(sizes.sum())) - np.repeat(at, sizes)
-        todo = np.flatnonzero(np.repeat(~alone, sizes))  # an anchor with one segment has nothing to compare
-        if len(todo):
-            buf = np.frombuffer(b"".join(h[3] for h in held), dtype=np.uint8)
-            order, same = equal_windows(buf, (np.repeat(begin, sizes) + inside)[todo])
-            heads = np.flatnonzero(~same)
-            least = np.minimum.reduceat(first[todo[order]], heads)
-            first[todo[order]] = np.repeat(least, np.diff(np.concatenate((heads, [len(order)]))))
-        last = np.repeat(np.array([h[5] for h in held]), sizes)
-        seg = np.repeat(np.arange(n), sizes)
-        useful = first < last  # some document that holds it comes after the first one
-        new = np.concatenate(([True], (seg[1:] != seg[:-1]) | (first[1:] != first[:-1])))
-        heads = np.flatnonzero(new)
-        ends = np.concatenate((heads[1:], [len(seg)]))
-        rows: dict[int, list] = {}
-        for a, b in zip(heads[useful[heads]].tolist(), ends[useful[heads]].tolist(), strict=True):
-            rows.setdefault(int(seg[a]), []).append({"a": int(inside[a]), "b": int(inside[b - 1]) + 1, "first": int(first[a])})
-        return pa.RecordBatch.from_arrays([pa.array([held[i][1] for i in rows], pa.int64()), pa.array([held[i][2] for i in rows], pa.int64()), pa.array(list(rows.values()), _RUN_TYPE)], names=["h1", "h2", "runs"])
+    Column by column: the arrays hold the sorted suffixes of up to j symbols, their common prefixes, and the symbols before them (the collection's
+    transform). The symbols in stable order say which suffix each suffix with one symbol more comes from; those not there yet are put in.
+    """
+    n = len(begin)
+    at, lcp = (begin + size).astype(np.int64), np.zeros(n, dtype=np.uint8)
+    symbol = np.where(size > 0, buf[np.maximum(at - 1, 0)], _NONE).astype(np.uint8)
+    pending, owner = np.flatnonzero(size > 0), np.flatnonzero(size > 0)
+    while len(pending):
+        total = len(at)
+        new = np.zeros(total, dtype=bool)
+        new[pending] = True
+        order = np.argsort(symbol, kind="stable")[: total - int((symbol == _NONE).sum())]
+        put = np.flatnonzero(new[order])  # ranks of the new suffixes among all that start with a symbol
+        source = order[put]
+        # The common prefix of a suffix with the one before it in its symbol's pile: one more than the least between their sources.
+        changed = np.unique(np.concatenate((put, put[put + 1 < len(order)] + 1)))
+        inside = changed[(changed > 0)]
+        inside = inside[symbol[order[inside]] == symbol[order[inside - 1]]]
+        lo, hi = order[inside - 1] + 1, order[inside] + 1
+        width = hi - lo
+        levels = _range_minima(lcp, int(width.max(initial=1)))
+        k = np.frexp(width.astype(np.float64))[1] - 1
+        least = np.empty(len(inside), dtype=np.uint8)
+        for level in np.unique(k).tolist():
+            mine = k == level
+            least[mine] = np.minimum(levels[level][lo[mine]], levels[level][hi[mine] - (1 << level)])
+        # Suffixes so far keep their order around the new ones; the first n places are the ends of strings.
+        stays = np.ones(total + len(put), dtype=bool)
+        stays[n + put] = False
+        here = at[source] - 1
+        who = owner[np.searchsorted(pending, source)]
+        before = np.where(here > begin[who], buf[np.maximum(here - 1, 0)], _NONE)
+        grown = []
+        for old, fresh in ((at, here), (lcp, 0), (symbol, before)):
+            values = np.empty(len(stays), dtype=old.dtype)
+            values[stays] = old
+            values[n + put] = fresh
+            grown.append(values)
+        at, lcp, symbol = grown
+        lcp[n + changed] = 0
+        lcp[n + inside] = np.minimum(least, most - 1) + 1
+        left = here > begin[who]
+        pending, owner = (n + put)[left], who[left]
+    return at, lcp
+
+
+def _least_first(texts: list[bytes], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each window of each text: the text, its place there, the smallest `first` of any text that has an equal window, and whether it is the first of its equals."""
+    lengths = np.array([len(t) for t in texts])
+    begin = np.cumsum(lengths) - lengths
+    buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    at, lcp = collection_order(buf, begin, lengths)
+    who = np.searchsorted(begin, at, "right") - 1
+    at, group = at[len(texts) :], np.cumsum(lcp < WINDOW)[len(texts) :]  # the first places are the texts' ends
+    who = who[len(texts) :]
+    whole = at + WINDOW <= begin[who] + lengths[who]
+    at, group, who = at[whole], group[whole], who[whole]
+    heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else group
+    least = np.repeat(np.minimum.reduceat(first[who], heads), np.diff(np.concatenate((heads, [len(who)])))) if len(group) else group
+    head = np.zeros(len(who), dtype=bool)
+    head[heads] = True
+    order = np.argsort(at)
+    return who[order], (at - begin[who])[order], least[order], head[order]
 
+
+_RUNS = "h1 long, h2 long, runs array<struct<a: int, b: int, first: long>>"
+_RUN_TYPE = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("first", pa.int64())]))
+_SINGLE = "h1 long, h2 long, at int, bytes binary, first long, last long, head boolean"
+
+
+def _collections(batches: Iterator[pa.RecordBatch], batch_bytes: int) -> Iterator[list[tuple]]:
+    """Rows (key, part, h1, h2, segment, first, last), which come in order, in bounded lists that part no key and part."""
+    held, size, key = [], 0, None
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[0] != anchor and windows >= batch_windows:
-                yield flush()
-                held, windows = [], 0
-            anchor = row[0]
+            if row[:2] != key and size >= batch_bytes:
+                yield held
+                held, size = [], 0
+            key = row[:2]
             held.append(row)
-            windows += len(row[3]) - WINDOW + 1
+            size += len(row[4])
     if held:
-        yield flush()
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for h1, h2, seg, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            n = len(seg) - WINDOW + 1
-            yield pa.RecordBatch.from_arrays([pa.array([h1] * n, pa.int64()), pa.array([h2] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([seg[i : i + WINDOW] for i in range(n)], pa.binary()), pa.array([first] * n, pa.int64()), pa.array([last] * n, pa.int64())], names=["h1", "h2", "at", "bytes", "first", "last"])
+        yield held
+
+
+def _first_documents(batches: Iterator[pa.RecordBatch], batch_bytes: int) -> Iterator[pa.RecordBatch]:
+    """For each distinct piece, runs of windows with the smallest doc_id that any equal window has."""
+    for held in _collections(batches, batch_bytes):
+        keys = np.array([h[0] for h in held])
+        edge = keys[1:] != keys[:-1]
+        alone = np.concatenate(([True], edge)) & np.concatenate((edge, [True]))  # an anchor with one piece has nothing to compare
+        rows = {i: [{"a": 0, "b": len(held[i][4]) - WINDOW + 1, "first": held[i][5]}] for i in np.flatnonzero(alone).tolist() if held[i][5] < held[i][6]}
+        some = np.flatnonzero(~alone)
+        if len(some):
+            who, at, least, _ = _least_first([held[i][4] for i in some.tolist()], np.array([held[i][5] for i in some.tolist()]))
+            who = some[who]
+            heads = np.flatnonzero(np.concatenate(([True], (who[1:] != who[:-1]) | (least[1:] != least[:-1]))))
+            ends = np.concatenate((heads[1:], [len(who)]))
+            useful = least[heads] < np.array([h[6] for h in held])[who[heads]]  # some document that holds it comes after the first one
+            for a, b in zip(heads[useful].tolist(), ends[useful].tolist(), strict=True):
+                rows.setdefault(int(who[a]), []).append({"a": int(at[a]), "b": int(at[b - 1]) + 1, "first": int(least[a])})
+        yield pa.RecordBatch.from_arrays([pa.array([held[i][2] for i in rows], pa.int64()), pa.array([held[i][3] for i in rows], pa.int64()), pa.array(list(rows.values()), _RUN_TYPE)], names=["h1", "h2", "runs"])
+
+
+def _first_windows(batches: Iterator[pa.RecordBatch], batch_bytes: int) -> Iterator[pa.RecordBatch]:
+    """For anchors that are dealt over several collections: each window with its bytes and the smallest doc_id in its collection; one of equals is the head."""
+    for held in _collections(batches, batch_bytes):
+        who, at, least, head = _least_first([h[4] for h in held], np.array([h[5] for h in held]))
+        h1, h2, last = (np.array([h[k] for h in held])[who] for k in (2, 3, 6))
+        raw = pa.array([held[i][4][k : k + WINDOW] for i, k in zip(who.tolist(), at.tolist(), strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(at, pa.int32()), raw, pa.array(least, pa.int64()), pa.array(last, pa.int64()), pa.array(head)], names=["h1", "h2", "at", "bytes", "first", "last", "head"])
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,12 +315,13 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
 
-def remove_repeats(docs: DataFrame, hot_segments: int = HOT_SEGMENTS, batch_windows: int = BATCH_WINDOWS) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot_segments: int = HOT_SEGMENTS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept (bytes), spans (removed, end exclusive).
 
     A byte goes if a string of WINDOW bytes that covers it also starts in a document with a smaller doc_id; strings are those of the input, and
     never cross documents. A null text counts as empty; a text shorter than WINDOW loses nothing. Rows that repeat a doc_id don't
     take from each other. A row with a null doc_id has no place in the order: it loses nothing and takes nothing. An empty table gives an empty result; only doc_id and text are read.
+    Copies of whole texts, and equal pieces, are told by 128 bits of hash; that two different texts share an anchor, by 64. Bytes are compared in the construction.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("text")).select("doc_id", "row", "text")
@@ -269,9 +331,11 @@ def remove_repeats(docs: DataFrame, hot_segments: int = HOT_SEGMENTS, batch_wind
     smaller_batches(spark)
     scratch = Scratch(spark)
     # A copy of a text with a smaller doc_id goes as a whole, and adds nothing to what its first copy has.
-    digest = long_.select("doc_id", "row", F.xxhash64(F.lit(1), "text").alias("row2"))
-    again = digest.groupBy("row", "row2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("row", "row2", "first")
-    copies = scratch.save(digest.join(again, ["row", "row2"]).where("doc_id > first").select("doc_id", "row").distinct(), "copies")
+    digest = scratch.save(long_.select("doc_id", "row", F.xxhash64(F.lit(1), "text").alias("row2")), "digests")
+    again = digest.groupBy("row", "row2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
+    again = scratch.save(again.select("row", "row2", "first", "n"), "again")
+    copies = scratch.save(skew_join(digest, again.drop("n"), ["row", "row2"], counts=again).where("doc_id > first").select("doc_id", "row").distinct(), "copies")
+    scratch.drop("digests", "again")
     anchors = scratch.save(long_.mapInArrow(lambda it: _anchors(it, buckets), "chunk long, bucket int, data binary"), "anchors")
     shared = anchors.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").select("chunk", "bucket", "data").mapInArrow(_shared, "chunk long, bucket int, data binary")
     chunks = shared.unionByName(anchors.where("bucket < 0")).repartition("chunk").sortWithinPartitions("chunk", "bucket")
@@ -284,21 +348,23 @@ def remove_repeats(docs: DataFrame, hot_segments: int = HOT_SEGMENTS, batch_wind
     scratch.drop("marked")
     digests = {"h1": F.xxhash64("segment"), "h2": F.xxhash64(F.lit(1), "segment")}
     places = scratch.save(cut.withColumns(digests).select("doc_id", "row", "start", "h1", "h2"), "places")
-    distinct = scratch.save(cut.groupBy("anchor", "segment").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).withColumns(digests), "distinct")
+    distinct = scratch.save(cut.groupBy("anchor", "segment").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).withColumns(digests), "distinct")
     scratch.drop("segments")
-    hot = scratch.save(distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot_segments).select("anchor"), "hot")
-    hot = F.broadcast(hot) if hot.count() <= BROADCAST_ANCHORS else hot
-    cool = distinct.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
-    runs = cool.select("anchor", "h1", "h2", "segment", "first", "last").mapInArrow(lambda it: _first_documents(it, batch_windows), _RUNS)
-    single = distinct.join(hot, "anchor", "left_semi").select("h1", "h2", "segment", "first", "last").mapInArrow(_windows, "h1 long, h2 long, at int, bytes binary, first long, last long")
-    least = single.groupBy("bytes").agg(F.min("first").alias("least"))
-    lone = single.join(least, "bytes").where("least < last").groupBy("h1", "h2").agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b"), F.col("least").alias("first"))).alias("runs"))
+    columns = ["anchor", "part", "h1", "h2", "segment", "first", "last"]
+    hot = scratch.save(distinct.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > hot_segments).select("anchor", F.ceil(F.col("k") / hot_segments).cast("int").alias("parts")), "hot")
+    hot = F.broadcast(hot) if hot.count() <= MOST_HOT else hot
+    told = distinct.join(hot, "anchor", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.col("h1"), F.col("parts"))).cast("int"))
+    batched = lambda df: df.select(*columns).repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    runs = batched(told.where("parts IS NULL")).mapInArrow(lambda it: _first_documents(it, batch_bytes), _RUNS)
+    single = scratch.save(batched(told.where("parts IS NOT NULL")).mapInArrow(lambda it: _first_windows(it, batch_bytes), _SINGLE), "windows")
+    least = scratch.save(single.where("head").groupBy("bytes").agg(F.min("first").alias("least"), F.count("*").alias("n")), "least")
+    lone = skew_join(single, least.drop("n"), ["bytes"]).where("least < last").groupBy("h1", "h2").agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b"), F.col("least").alias("first"))).alias("runs"))
     firsts = scratch.save(runs.unionByName(lone), "firsts")
-    scratch.drop("distinct")
+    counts = distinct.select("h1", "h2", "n")
     covered = F.filter("runs", lambda r: r.first < F.col("doc_id"))
-    ranges = places.join(firsts, ["h1", "h2"]).select("doc_id", "row", F.inline(F.transform(covered, lambda r: F.struct((F.col("start") + r.a).alias("a"), (F.col("start") + r.b + (WINDOW - 1)).alias("b")))))
+    ranges = skew_join(places, firsts, ["h1", "h2"], counts=counts).select("doc_id", "row", F.inline(F.transform(covered, lambda r: F.struct((F.col("start") + r.a).alias("a"), (F.col("start") + r.b + (WINDOW - 1)).alias("b")))))
     per_doc = scratch.save(ranges.groupBy("doc_id", "row").agg(F.collect_set(F.struct("a", "b")).alias("ranges")), "ranges")
-    scratch.drop("places", "firsts")
+    scratch.drop("distinct", "hot", "windows", "least", "places", "firsts")
     all_of_it = copies.select("doc_id", "row", F.array(F.struct(F.lit(0).alias("a"), F.lit(2**31 - 1).alias("b"))).alias("ranges"))
     whole = texts.join(per_doc.unionByName(all_of_it), ["doc_id", "row"], "left").select("doc_id", "text", "ranges")
     return whole.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<a: long, b: long>>")

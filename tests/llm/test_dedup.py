@@ -169,8 +169,8 @@ def test_components(spark):
 
 def test_substrings_against_brute_force(documents, texts):
     want = substrings.brute_force(list(texts.items()))
-    for hot in (20_000, 2):
-        out = substrings.remove_repeats(documents, hot_segments=hot, batch_windows=2_000)
+    for hot, size in ((4_000, 400_000), (2, 5_000)):
+        out = substrings.remove_repeats(documents, hot_segments=hot, batch_bytes=size)
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in out.collect()}
         assert got == want
 
@@ -186,15 +186,23 @@ def test_substrings_odd(odd_documents, no_documents, spark):
     assert substrings.remove_repeats(no_documents).count() == 0
 
 
-def test_equal_windows():
+def test_collection_order_against_sorting():
     import numpy as np
 
-    text = b"abcabcabcx" * 3
-    buf = np.frombuffer(text, np.uint8)
-    starts = np.arange(len(text) - 5 + 1)
-    order, same = substrings.equal_windows(buf, starts, 5)
-    seen = [text[i : i + 5] for i in order]
-    assert seen == sorted(seen) and same.tolist() == [False, *(a == b for a, b in zip(seen, seen[1:]))]
+    rng = np.random.default_rng(2)
+    for letters, most in ((2, 50), (2, 3), (4, 5), (200, 50)):
+        for _ in range(30):
+            strings = [bytes(rng.integers(0, letters, rng.integers(0, 40)).astype(np.uint8)) for _ in range(rng.integers(1, 12))]
+            strings += strings[:2]
+            size = np.array([len(x) for x in strings])
+            begin = np.cumsum(size) - size
+            buf = np.frombuffer(b"".join(strings) or b"x", np.uint8)
+            at, lcp = substrings.collection_order(buf, begin, size, most)
+            want = sorted(((x[k:], i, int(begin[i]) + k) for i, x in enumerate(strings) for k in range(len(x) + 1)), key=lambda r: (r[0], r[1], r[2]))
+            got = [bytes(buf[a:e]) for a, e in zip(at.tolist(), (at + [len(w[0]) for w in want]).tolist())]
+            assert got == [w[0] for w in want] and sorted(at.tolist()) == sorted(w[2] for w in want)
+            common = lambda x, y: next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+            assert lcp.tolist() == [0, *(min(most, common(x[0], y[0])) for x, y in zip(want, want[1:]))]
 
 
 def test_sentences_match_sql(spark, sf_dir, duck):
