@@ -30,8 +30,8 @@ WINDOW, GRAM = 50, 20
 CHUNK = 1_000_000
 #: Bytes of one collection (a piece more at most), and anchors of one bucket of the sharing test.
 BATCH_BYTES, BUCKET = 400_000, 2_000_000
-#: Windows of one piece; longer runs with one anchor, as periodic text has, are cut.
-PIECE = 64
+#: Windows of one piece: as many as can share one place of an anchor; longer runs, as periodic text has, are cut.
+PIECE = WINDOW - GRAM + 1
 #: An anchor with more distinct pieces than this is dealt over several collections.
 HOT_SEGMENTS = 4_000
 _U = np.uint64
@@ -170,13 +170,17 @@ def _occurrences(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
 _NONE = 255
 
 
-def _range_minima(values: np.ndarray, most: int) -> list[np.ndarray]:
-    """values, then their minima over 2, 4, 8, ... neighbours, up to `most`."""
+def _least_between(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least of values[lo:hi] for each pair, from minima over 2, 4, 8, ... neighbours."""
+    width = hi - lo
+    level = np.frexp(width.astype(np.float32))[1] - 1
     levels, h = [values], 1
-    while 2 * h <= most:
+    for _ in range(int(level.max(initial=0))):
         levels.append(np.minimum(levels[-1][:-h], levels[-1][h:]))
         h *= 2
-    return levels
+    every = np.concatenate(levels)
+    start = np.cumsum([0, *(len(x) for x in levels[:-1])])[level]
+    return np.minimum(every[start + lo], every[start + hi - (1 << level)])
 
 
 def collection_order(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, most: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -186,33 +190,34 @@ def collection_order(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, most:
     transform). The symbols in stable order say which suffix each suffix with one symbol more comes from; those not there yet are put in.
     """
     n = len(begin)
-    at, lcp = (begin + size).astype(np.int64), np.zeros(n, dtype=np.uint8)
+    if n + int(size.sum()) >= 1 << 24:
+        raise ValueError("a collection holds less than 2**24 symbols")
+    begin = begin.astype(np.int32)
+    at, lcp = (begin + size).astype(np.int32), np.zeros(n, dtype=np.uint8)
     symbol = np.where(size > 0, buf[np.maximum(at - 1, 0)], _NONE).astype(np.uint8)
     pending, owner = np.flatnonzero(size > 0), np.flatnonzero(size > 0)
     while len(pending):
         total = len(at)
-        new = np.zeros(total, dtype=bool)
-        new[pending] = True
-        order = np.argsort(symbol, kind="stable")[: total - int((symbol == _NONE).sum())]
-        put = np.flatnonzero(new[order])  # ranks of the new suffixes among all that start with a symbol
-        source = order[put]
+        owned = np.zeros(total, dtype=np.int32)
+        owned[pending] = owner + 1
+        # Symbol and place in one number: sorting these is a stable order of the symbols. A collection has far less than 2**24 symbols.
+        placed = np.sort((symbol.astype(np.uint32) << np.uint32(24)) | np.arange(total, dtype=np.uint32))
+        order = (placed[: total - np.count_nonzero(symbol == _NONE)] & np.uint32(0xFFFFFF)).astype(np.int64)
+        found = owned[order]
+        put = np.flatnonzero(found)  # ranks of the new suffixes among all that start with a symbol
+        source, who = order[put], found[put] - 1
         # The common prefix of a suffix with the one before it in its symbol's pile: one more than the least between their sources.
-        changed = np.unique(np.concatenate((put, put[put + 1 < len(order)] + 1)))
-        inside = changed[(changed > 0)]
+        touched = np.zeros(len(order) + 1, dtype=bool)
+        touched[put] = touched[put + 1] = True
+        changed = np.flatnonzero(touched[:-1])
+        inside = changed[1:] if changed[0] == 0 else changed
         inside = inside[symbol[order[inside]] == symbol[order[inside - 1]]]
         lo, hi = order[inside - 1] + 1, order[inside] + 1
-        width = hi - lo
-        levels = _range_minima(lcp, int(width.max(initial=1)))
-        k = np.frexp(width.astype(np.float64))[1] - 1
-        least = np.empty(len(inside), dtype=np.uint8)
-        for level in np.unique(k).tolist():
-            mine = k == level
-            least[mine] = np.minimum(levels[level][lo[mine]], levels[level][hi[mine] - (1 << level)])
+        least = _least_between(lcp, lo, hi)
         # Suffixes so far keep their order around the new ones; the first n places are the ends of strings.
         stays = np.ones(total + len(put), dtype=bool)
         stays[n + put] = False
         here = at[source] - 1
-        who = owner[np.searchsorted(pending, source)]
         before = np.where(here > begin[who], buf[np.maximum(here - 1, 0)], _NONE)
         grown = []
         for old, fresh in ((at, here), (lcp, 0), (symbol, before)):
