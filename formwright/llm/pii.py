@@ -2,24 +2,25 @@
 
 Fixed patterns give the base spans. Looser patterns give further candidates (phones without a plus, written-out
 e-mail addresses, cards and addresses that a fixed pattern cut or split). On every candidate, labelers vote yes, no or
-nothing: the fixed pattern, a check of the digits, a gazetteer, the words before it, and its form. Votes are counted
-by pattern over all documents; expectation-maximisation on the counts estimates how reliable each labeler is, without any
-labels; its posteriors train a logistic span classifier, which decides on the candidates. Base spans always stay.
+nothing: the fixed pattern, a check of the value, a gazetteer, the words before it, and its form. Votes are counted
+by kind and pattern over all documents; for each kind, expectation-maximisation on the counts estimates how reliable each labeler is, without
+labels. Its posteriors train a logistic span classifier that reads the span itself and the words around it, not the votes,
+and decides on the candidates. Base spans always stay.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, smaller_batches, table
+from .common import saved, smaller_batches, table, text_chunks
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -50,6 +51,8 @@ _AGAINST = re.compile(r"version|isbn|token|secret|serial|order|invoice|chapter|s
 #: Characters before a candidate that the context labeler reads.
 CONTEXT = 30
 LABELERS = 5
+#: Hashed features of the span classifier; most candidates that it is trained on, those with the smallest hash of place (all of them are decided on).
+FEATURES, TRAIN_SPANS = 4_096, 100_000
 Span = tuple[str, int, int]
 
 
@@ -94,9 +97,10 @@ def votes(kind: str, text: str, start: int, end: int, base: bool) -> tuple[int,
     value, before = text[start:end], text[max(0, start - CONTEXT) : start]
     digits = _digits(value)
     if kind == "email":
-        check = 1 if re.search(r"@|\bat\b", value) and "." in value + "." * ("dot" in value) else -1
-        gazetteer = 1 if re.split(r"[. \])]+", value)[-1].lower() in _TLDS else -1
-        form = -1 if re.search(r"\s at \s*\w+\s*$", value) or len(value) > 80 else 1 if "@" in value or re.search(r"[(\[](?:at|dot)[)\]]", value) else 0
+        spelled = bool(re.search(r"[(\[](?:at|dot)[)\]]| at .* dot ", value))
+        check = 1 if "@" in value or spelled else -1 if re.search(r"\. ", value) else 0
+        gazetteer = 1 if re.split(r"[. \])]+", value.rstrip(" ])"))[-1].lower() in _TLDS else -1
+        form = -1 if len(value) > 80 or re.search(r"\. ?[A-Z]", value) else 1 if "@" in value or spelled or re.match(r"[A-Za-z]*[0-9._+]", value) else 0
     elif kind == "ip":
         parts = value.split(".")
         check = (1 if all(int(p) <= 255 for p in parts) else -1) if len(parts) == 4 and all(p.isdigit() for p in parts) else 1 if value.count(":") == 7 else 0
@@ -115,29 +119,55 @@ def votes(kind: str, text: str, start: int, end: int, base: bool) -> tuple[int,
 
 
 def loose_spans(text: str, base: list[Span]) -> list[Span]:
-    """Candidates beside the base spans: what the looser patterns find and no base span or earlier candidate overlaps."""
-    taken, out = sorted((a, b) for _, a, b in base), []
+    """Candidates beside the base spans: what the looser patterns find and no base span or earlier candidate overlaps. Linear in spans but for the sort."""
+    taken: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
+    out = []
     for kind, pattern in _LOOSE:
+        k, new = 0, []
         for m in pattern.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b in taken):
-                out.append((kind, m.start(), m.end()))
-                taken.append((m.start(), m.end()))
+            while k < len(taken) and taken[k][1] <= m.start():
+                k += 1
+            if k == len(taken) or m.end() <= taken[k][0]:
+                new.append((m.start(), m.end()))
+        out += [(kind, a, b) for a, b in new]
+        taken = sorted(taken + new)
     return out
 
 
-_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("votes", pa.string())])
-_FOUND = "doc_id long, spans array<struct<kind: string, start: long, end: long, base: boolean, votes: string>>"
+_WORD = re.compile(r"\w+")
+
+
+def features(kind: str, text: str, start: int, end: int) -> list[int]:
+    """Hashed features of a span: its shape, parts and length, and the words around it; each for its kind."""
+    value = text[start:end]
+    shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[0-9]", "9", re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", value))))
+    before, after = _WORD.findall(text[max(0, start - CONTEXT) : start].lower()), _WORD.findall(text[end : end + CONTEXT].lower())
+    digits = _digits(value)
+    names = [
+        "bias", f"shape {shape[:40]}", f"length {min(len(value) // 4, 20)}", f"digits {len(digits)}", f"first {digits[:1]}", f"last {re.split(r'[^A-Za-z0-9]+', value.rstrip(' ])'))[-1].lower()}",
+        f"luhn {len(digits) >= 13 and luhn(digits)}", *(f"has {c}" for c in sorted(set(re.sub(r"[A-Za-z0-9]", "", value)))), *(f"before {w}" for w in before[-3:]), *(f"after {w}" for w in after[:2]),
+    ]
+    return sorted({zlib.crc32(f"{kind} {n}".encode()) % FEATURES for n in names})
+
+
+_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("votes", pa.string()), ("features", pa.list_(pa.int32()))])
+_FOUND = "doc_id long, spans array<struct<kind: string, start: long, end: long, base: boolean, votes: string, features: array<int>>>"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in text_chunks(batches):
         rows = []
         for text in batch.column(1).to_pylist():
             spans = []
             if _HINT.search(text):
                 base = base_spans(text)
                 for is_base, found in ((True, base), (False, loose_spans(text, base))):
-                    spans += [{"kind": k, "start": a, "end": b, "base": is_base, "votes": ",".join(map(str, votes(k, text, a, b, is_base)))} for k, a, b in found]
+                    spans += [{"kind": k, "start": a, "end": b, "base": is_base, "votes": ",".join(map(str, votes(k, text, a, b, is_base))), "features": features(k, text, a, b)} for k, a, b in found]
             rows.append(spans)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(_SPAN))], names=["doc_id", "spans"])
 
@@ -168,44 +198,57 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tup
     return post, rel
 
 
-def _features(kinds: list[str], patterns: np.ndarray) -> np.ndarray:
-    """Kind, and each labeler's yes and no."""
-    which = np.array([[k == x for x in KINDS] for k in kinds], dtype=float).reshape(-1, len(KINDS))
-    return np.concatenate((which, patterns == 1, patterns == -1), axis=1).astype(float)
-
-
-def train(found: DataFrame) -> dict[tuple[str, str], float]:
-    """The span classifier's probability for each kind and vote pattern (at most 4 * 3**5 cells, so all fit one table)."""
-    cells = found.select(F.inline("spans")).groupBy("kind", "votes").agg(F.count("*").alias("n")).orderBy("kind", "votes").collect()
-    if not cells:
-        return {}
-    kinds, n = [c.kind for c in cells], np.array([c.n for c in cells], dtype=float)
-    patterns = np.array([[int(v) for v in c.votes.split(",")] for c in cells])
-    post, _ = estimate(patterns, n)
-    x, w = _features(kinds, patterns), np.zeros(len(KINDS) + 2 * LABELERS)
-    for _ in range(30):  # logistic regression on the posteriors, each cell weighing its count
-        p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (n * (post - p)) - w
-        w += np.clip(np.linalg.solve(x.T @ (x * (n * p * (1 - p))[:, None]) + np.eye(len(w)), grad), -2, 2)
-    every = [",".join(map(str, v)) for v in product((-1, 0, 1), repeat=LABELERS)]
-    grid = np.array([[int(v) for v in e.split(",")] for e in every])
-    return {(k, e): float(1 / (1 + np.exp(-s))) for k in KINDS for e, s in zip(every, _features([k] * len(every), grid) @ w, strict=True)}
+def logistic(cells: list[list[int]], target: np.ndarray, rounds: int = 300, ridge: float = 1e-3) -> np.ndarray:
+    """Weights of a logistic regression on sparse 0/1 features with soft targets, by gradient steps scaled for each feature (Adagrad)."""
+    owner = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+    column = np.concatenate([np.asarray(c, dtype=np.int64) for c in cells])
+    w, seen = np.zeros(FEATURES), np.full(FEATURES, 1e-8)
+    for _ in range(rounds):
+        p = 1.0 / (1.0 + np.exp(-np.clip(np.bincount(owner, w[column], minlength=len(cells)), -30, 30)))
+        grad = np.bincount(column, (p - target)[owner], minlength=FEATURES) / len(cells) + ridge * w
+        seen += grad * grad
+        w -= 0.5 * grad / np.sqrt(seen)
+    return w
+
+
+def train(found: DataFrame, train_spans: int = TRAIN_SPANS) -> np.ndarray | None:
+    """The span classifier's weights, or None without any candidate. EM takes the counts of all candidates (at most 4 * 3**5 cells); the classifier at most train_spans of them."""
+    every = found.select("doc_id", F.inline("spans"))
+    cells = every.groupBy("kind", "votes").agg(F.count("*").alias("n")).orderBy("kind", "votes").collect()
+    posterior = {}
+    for kind in KINDS:
+        own = [c for c in cells if c.kind == kind]
+        if own:
+            post, _ = estimate(np.array([[int(v) for v in c.votes.split(",")] for c in own]), np.array([c.n for c in own], dtype=float))
+            posterior |= {(kind, c.votes): p for c, p in zip(own, post, strict=True)}
+    if not posterior:
+        return None
+    some = every.select("kind", "votes", "features", F.xxhash64("doc_id", "start", "kind").alias("h"), "doc_id", "start").orderBy("h", "doc_id", "start", "kind").limit(train_spans).select("kind", "votes", "features").collect()
+    return logistic([r.features for r in some], np.array([posterior[r.kind, r.votes] for r in some]))
+
+
+def _decide(batches: Iterator[pa.RecordBatch], weights: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+    order = {k: i for i, k in enumerate(KINDS)}
+    kind = pa.list_(pa.struct([*[(n, _SPAN.field(n).type) for n in ("kind", "start", "end", "base", "votes")], ("probability", pa.float64())]))
+    for batch in batches:
+        rows = []
+        for spans in batch.column(1).to_pylist():
+            told = [{n: s[n] for n in ("kind", "start", "end", "base", "votes")} | {"probability": float(1 / (1 + np.exp(-np.clip(weights[s["features"]].sum(), -30, 30))))} for s in spans]
+            rows.append(sorted((s for s in told if s["base"] or s["probability"] >= least), key=lambda s: (order[s["kind"]], s["start"], s["end"])))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "spans"])
 
 
 def personal_data(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """One row per input row: doc_id, spans (kind, start, end, base, votes) by kind and start.
+    """One row per input row: doc_id, spans (kind, start, end, base, votes, probability) by kind and start.
 
     Base spans all stay; a candidate stays where the classifier gives it `least` or more. A null text counts as empty and has no span; repeated rows and null ids stay as
     they come. Without any candidate in the table nothing is trained. Only doc_id and text are read.
     """
     smaller_batches(docs.sparkSession)
-    found = saved(docs.select("doc_id", F.coalesce("text", F.lit(""))).mapInArrow(_find, _FOUND), "spans")
-    good = [f"{k}|{v}" for (k, v), p in train(found).items() if p >= least]
-    stays = lambda s: s.base | F.array_contains(F.array(*map(F.lit, good)) if good else F.array().cast("array<string>"), F.concat_ws("|", s.kind, s.votes))
-    rank = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s.kind)
-    kept = F.filter("spans", stays)
-    keyed = F.array_sort(F.transform(kept, lambda s: F.struct(rank(s).alias("rank"), s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"), s.base.alias("base"), s.votes.alias("votes"))))
-    return found.select("doc_id", F.transform(keyed, lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end"), s.base.alias("base"), s.votes.alias("votes"))).alias("spans"))
+    found = saved(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_find, _FOUND), "spans")
+    weights = train(found)
+    weights = np.zeros(FEATURES) if weights is None else weights
+    return found.mapInArrow(lambda it: _decide(it, weights, least), "doc_id long, spans array<struct<kind: string, start: long, end: long, base: boolean, votes: string, probability: double>>")
 
 
 def op10_personal_data(spark, sf_dir):
