@@ -88,11 +88,15 @@ def exact_groups(docs: DataFrame, keep_largest: bool = False) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, keep_largest: bool = True) -> DataFrame:
-    """The documents without their exact copies, all columns kept; rows that repeat both doc_id and text become one."""
-    kept = exact_groups(docs, keep_largest).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_of"))
-    rows = docs.withColumn("_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    found = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_of")), "left_semi")
-    return found.dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    """The documents without their exact copies, all columns kept, whatever their names.
+
+    Null texts count as empty. Of equal texts the row with the largest doc_id stays, or the smallest; rows that repeat both doc_id and text become one. A null
+    doc_id stays only where its text has no other. An empty table gives an empty result.
+    """
+    kept = exact_groups(docs, keep_largest).where("kept").select(F.col("doc_id").alias("of_id"), F.col("text_sha256").alias("of_text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).withColumn("sha", F.sha2(F.coalesce(F.col("doc.text"), F.lit("")).cast("binary"), 256))
+    found = rows.join(kept, F.col("doc.doc_id").eqNullSafe(F.col("of_id")) & (F.col("sha") == F.col("of_text")), "left_semi")
+    return found.withColumn("id", F.col("doc.doc_id")).dropDuplicates(["id", "sha"]).select("doc.*")
 
 
 def op9_exact_dedup(spark, sf_dir):

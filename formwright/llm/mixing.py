@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, skew_join, table
 
 SEED = 20_26
 #: Target share of a source: its share of characters to this power, normalised. 1 keeps the mix, 0 makes sources equal.
@@ -52,15 +52,21 @@ def poisson_mix(docs: DataFrame, rates: DataFrame | None = None, seed: int = SEE
     steps = F.sequence(F.lit(1), F.ceil(each + 12 * F.sqrt(each) + 30).cast("int"))
     start = F.struct(F.exp(-each).alias("p"), F.array(F.exp(-each)).alias("cdf"))
     cdf = F.aggregate(steps, start, lambda s, k: F.struct((s.p * each / k).alias("p"), F.concat(s.cdf, F.array(F.element_at(s.cdf, -1) + s.p * each / k)).alias("cdf")), lambda s: s.cdf)
-    drawn = rates.where("rate > 0").select(F.col("source").alias("_mix_source"), parts.alias("_mix_parts"), cdf.alias("_mix_cdf"))
-    rows = docs.drop("copy", "shuffle_key").withColumn("_mix_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    drawn = F.broadcast(drawn) if rates.count() <= BROADCAST_SOURCES else drawn
-    joined = rows.join(drawn, rows.source.eqNullSafe(F.col("_mix_source")))
-    draw = lambda i: F.size(F.filter("_mix_cdf", lambda c: c < hashed_uniform(F.lit(str(seed)), F.col("_mix_id"), i.cast("string"))))
-    count = F.aggregate(F.sequence(F.lit(0), F.col("_mix_parts") - 1), F.lit(0), lambda n, i: n + draw(i))
-    copies = joined.withColumn("_mix_n", count).where("_mix_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n"))))
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), "_mix_id", F.col("copy").cast("string")).cast("binary")))
-    return keyed.drop("_mix_id", "_mix_source", "_mix_parts", "_mix_cdf", "_mix_n").orderBy("shuffle_key")
+    drawn = rates.where("rate > 0").select(F.col("source").alias("of_source"), parts.alias("parts"), cdf.alias("cdf"))
+    # The user's columns travel in one struct, so that no name of theirs can clash with a helper's.
+    user = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in user]).alias("doc")).withColumn("id", F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("null")))
+    rows = rows.withColumn("of_source", F.col("doc.source"))
+    if rates.count() <= BROADCAST_SOURCES:
+        joined = rows.join(F.broadcast(drawn), rows.of_source.eqNullSafe(drawn.of_source)).drop("of_source")
+    else:  # null counts as a source: it is joined apart, as it equals nothing
+        named = skew_join(rows.where("of_source IS NOT NULL"), drawn.where("of_source IS NOT NULL"), ["of_source"]).drop("of_source")
+        joined = named.unionByName(rows.where("of_source IS NULL").drop("of_source").crossJoin(F.broadcast(drawn.where("of_source IS NULL").drop("of_source"))))  # one row at most
+    draw = lambda i: F.size(F.filter("cdf", lambda c: c < hashed_uniform(F.lit(str(seed)), F.col("id"), i.cast("string"))))
+    count = F.aggregate(F.sequence(F.lit(0), F.col("parts") - 1), F.lit(0), lambda n, i: n + draw(i))
+    copies = joined.withColumn("n", count).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), "id", F.col("copy").cast("string")).cast("binary")))
+    return keyed.select("doc", "copy", "shuffle_key").orderBy("shuffle_key").select("doc.*", "copy", "shuffle_key")
 
 
 def op8_poisson_mixing(spark, sf_dir):

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Rules up to this number are one mapped file (some 100 bytes each); beyond it they are joined.
-LOCAL_RULES = 5_000_000
+#: Rules up to this number are one mapped file (some 100 bytes each, made on the driver); beyond it they are joined.
+LOCAL_RULES = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rules of the registered query: rule (host and path), verdict.
@@ -49,16 +49,18 @@ def write_rules(stem: Path, rules: list[tuple[str, str]]) -> list[Path]:
         "verdicts": np.array([v == "block" for _, v in known], dtype=np.uint8),
         "strings": np.frombuffer(b"".join(raw) or b"\0", dtype=np.uint8),
         "lengths": np.array(sorted({len(r.partition("/")[2]) + 1 for r, _ in known if "/" in r}), dtype=np.int64),
+        "labels": np.array([max((r.partition("/")[0].count(".") + 1 for r, _ in known), default=0)], dtype=np.int64),
     }
     for name, values in arrays.items():
         np.save(f"{stem}-{name}.npy", values)
     return [Path(f"{stem}-{name}.npy") for name in arrays]
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Keys of all rules that could fit, the longest first."""
-    labels = host.split(".")
-    suffixes = [".".join(labels[k:]) for k in range(len(labels))]
+def candidates(host: str, path: str, lengths: list[int], most_labels: int) -> list[str]:
+    """Keys of all rules that could fit, the longest first. No rule's host has more than most_labels labels, so longer suffixes are not made."""
+    labels = host.rsplit(".", most_labels)
+    tail = labels[-most_labels:]
+    suffixes = [".".join(tail[k:]) for k in range(len(tail))]
     found = [s + path[:n] for s in suffixes for n in lengths if n <= len(path)]
     return sorted(found, key=len, reverse=True)
 
@@ -67,7 +69,7 @@ class DigestArray:
     def __init__(self, stem: str):
         load = lambda name: np.load(f"{stem}-{name}.npy", mmap_mode="r")
         self.digests, self.offsets, self.verdicts, self.strings = map(load, ("digests", "offsets", "verdicts", "strings"))
-        self.lengths = load("lengths").tolist()
+        self.lengths, self.most_labels = load("lengths").tolist(), int(load("labels")[0])
 
     def probe(self, keys: list[bytes]) -> np.ndarray:
         """The place of each key in the array, or -1."""
@@ -86,7 +88,7 @@ def _judge(batches: Iterator[pa.RecordBatch], stem: str, default: str) -> Iterat
     for batch in batches:
         keys, owner = [], []
         for i, (host, path) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-            mine = candidates(host, path, rules.lengths)
+            mine = candidates(host, path, rules.lengths, rules.most_labels)
             keys += mine
             owner += [i] * len(mine)
         found = rules.probe([k.encode() for k in keys])
@@ -113,7 +115,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame | list[tuple[str, str]], defau
         rules = [tuple(r) for r in rules.select("rule", "verdict").collect()]
     stem = f"rules-{uuid.uuid4().hex}"
     for file in write_rules(Path(tempfile.mkdtemp()) / stem, rules):
-        spark.sparkContext.addFile(str(file))  # Spark carries it to every executor
+        spark.sparkContext.addFile(str(file))  # made on the driver; Spark carries it to every executor, none reads the driver's folder
     return parts.mapInArrow(lambda it: _judge(it, stem, default), "page_id long, host string, path string, rule string, verdict string")
 
 
@@ -121,8 +123,11 @@ def _joined(parts: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     """The same answer for rule sets of any size: each distinct host and path meets its candidate rules in a join on digest and string."""
     known = rules.groupBy("rule").agg(F.max(F.col("verdict") == "block").alias("blocks")).withColumn("digest", F.xxhash64("rule"))
     urls = parts.select("host", "path").distinct()
-    suffix = F.transform(F.sequence(F.lit(1), F.size(F.split("host", r"\."))), lambda i: F.array_join(F.slice(F.split("host", r"\."), i, F.size(F.split("host", r"\."))), "."))
-    prefix = F.transform(F.sequence(F.lit(1), F.greatest(F.length("path"), F.lit(1))), lambda n: F.substring("path", 1, n))
+    of_host, of_path = F.substring_index("rule", "/", 1), F.length("rule") - F.length(F.substring_index("rule", "/", 1))
+    most, longest = known.agg(F.coalesce(F.max(F.size(F.split(of_host, r"\."))), F.lit(1)), F.coalesce(F.max(of_path), F.lit(1))).first()
+    labels = F.size(F.split("host", r"\."))
+    suffix = F.transform(F.sequence(F.lit(1), F.least(labels, F.lit(most))), lambda k: F.call_function("substring_index", F.col("host"), F.lit("."), -k))  # no rule has more labels, or a longer path
+    prefix = F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.length("path"), F.lit(longest)), F.lit(1))), lambda n: F.substring("path", 1, n))
     keys = urls.withColumn("s", F.explode(suffix)).withColumn("p", F.explode(prefix)).where("p <> ''")
     keys = keys.select("host", "path", F.concat("s", "p").alias("rule"), F.length("s").alias("n")).withColumn("digest", F.xxhash64("rule"))
     best = keys.join(known, ["digest", "rule"]).groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("size"), "n", "rule", "blocks")).alias("best"))

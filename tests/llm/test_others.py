@@ -121,10 +121,19 @@ def test_url_rules(spark, sf_dir, duck, no_documents):
     assert url_filter.judge_urls(pages, []).where("rule IS NULL").count() == 10 and url_filter.judge_urls(pages.where("false"), rules).count() == 0
 
 
+def test_urls_of_any_length():
+    """A host of very many labels, or a very long path, makes no more keys than the rules' own lengths allow."""
+    import time
+
+    began = time.process_time()
+    keys = url_filter.candidates("a." * 300_000 + "example.com", "/en/7" + "x" * 1_000_000, [4, 5], 2)
+    assert keys == ["example.com/en/7", "example.com/en/", "com/en/7", "com/en/"] and time.process_time() - began < 2
+
+
 def test_url_collisions_are_confirmed(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda b: len(b) % 3)
     files = url_filter.write_rules(tmp_path / "r", [("a.b/c", "block"), ("d.e/f", "allow"), ("g.h/i", "block")])
-    assert len(files) == 5
+    assert len(files) == 6
     found = url_filter.DigestArray(str(tmp_path / "r"))
     at = found.probe([b"d.e/f", b"x.y/z", b"g.h/i"])
     assert at[1] == -1 and found.verdicts[at[0]] == 0 and found.verdicts[at[2]] == 1
@@ -234,11 +243,68 @@ def test_hint_leaves_out_no_span(texts):
     assert all(found.column(1).to_pylist()[:5])
 
 
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Documents with extra columns named as helpers inside the operators are or were."""
+    names = "_id _of _sha sha of_id of_text doc id n parts cdf of_source part__ parts__ _mix_source a b comp node head same bands n0 token".split()
+    rows = [(i, f"lamp river stone {i % 3} market quiet", f"s{i % 2}", *[i] * len(names)) for i in range(12)]
+    return spark.createDataFrame(rows, f"doc_id long, text string, source string, {', '.join(f'{n} long' for n in names)}")
+
+
+def test_clashing_columns(clashing, spark):
+    from formwright.llm import exact_dedup, near_dedup, sentence_spans, substrings, toxicity
+
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    kept = exact_dedup.drop_copies(clashing, keep_largest=False)
+    assert kept.columns == clashing.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2] and all(r._sha == r.doc_id for r in kept.collect())
+    mixed = mixing.poisson_mix(clashing)
+    assert mixed.columns == [*clashing.columns, "copy", "shuffle_key"] and all(r._mix_source == r.doc_id == r.cdf for r in mixed.collect())
+    assert toxicity.drop_toxic(clashing, labels).columns == near_dedup.one_of_each(clashing).columns == clashing.columns
+    for out in (sentence_spans.sentence_dedup(clashing), substrings.remove_repeats(clashing), packing.pack(clashing), pii.personal_data(clashing), fingerprint.edited_neighbours(clashing)):
+        assert out.count() == 12
+
+
+def test_mixing_with_many_sources(spark, monkeypatch):
+    docs = spark.range(600).selectExpr("id as doc_id", "repeat('x', 5) as text", "if(id % 3 = 0, null, concat('s', id % 7)) as source")
+    want = sorted(map(tuple, mixing.poisson_mix(docs).collect()), key=str)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
+    assert sorted(map(tuple, mixing.poisson_mix(docs).collect()), key=str) == want
+
+
+def plain_mix(rows):
+    """Copies by the definition: the rates, one uniform number a document, and the Poisson distribution summed up."""
+    from collections import Counter
+    from math import exp
+
+    mass = Counter()
+    for r in rows:
+        mass[r.source] += len(r.text or "")
+    powers, total = sum(m**mixing.TEMPERATURE for m in mass.values() if m), sum(mass.values())
+    out = Counter()
+    for r in rows:
+        rate = mass[r.source] ** mixing.TEMPERATURE / powers * total / mass[r.source]
+        u = (int(hashlib.md5(f"{mixing.SEED}:{r.doc_id}:0".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        p = c = exp(-rate)
+        k = 0
+        while c < u:
+            k += 1
+            p *= rate / k
+            c += p
+        out[r.doc_id] += k
+    return out
+
+
 def test_pipeline(spark, sf_dir, texts):
+    from collections import Counter
+
     import corpus_pipeline as cp
     from test_dedup import classes
+    from tokenizers import Tokenizer
+
+    from formwright.llm import toxicity
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     kept = docs
     seen = []
     for name, stage in cp.STAGES[:3]:
@@ -246,9 +312,35 @@ def test_pipeline(spark, sf_dir, texts):
         kept = stage(spark, kept, sf_dir)
         assert kept.columns == docs.columns
         seen.append((name, before, {r.doc_id: r.text for r in kept.collect()}))
+    bad = {r.doc_id for r in toxicity.score(docs, model).collect() if r.predicted}
+    assert set(seen[0][2]) == set(texts) - bad
     assert set(seen[1][2]) == {min(i for i, u in seen[1][1].items() if u == t) for t in seen[1][1].values()}
     assert set(seen[2][2]) == set(classes(seen[2][1]).values())
     mixed = cp.STAGES[3][1](spark, kept, sf_dir)
-    assert mixed.columns == docs.columns and 0 < mixed.count() < 3 * kept.count()
-    out = cp.run(spark, sf_dir)
-    assert out.count() >= mixed.count() and {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r.doc_id for r in mixed.select("doc_id").distinct().collect()}
+    copies = plain_mix(kept.collect())
+    assert mixed.columns == docs.columns and Counter(r.doc_id for r in mixed.collect()) == +copies
+    import public_tokenizers
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    size = {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in seen[2][2].items()}
+    places, total = {}, Counter()
+    for r in cp.run(spark, sf_dir).collect():
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        total[r.doc_id] += r.length
+    assert total == Counter({i: n * size[i] for i, n in copies.items() if n})
+    for spans in places.values():
+        spans.sort()
+        assert [o for o, _ in spans] == np.cumsum([0, *(n for _, n in spans[:-1])]).tolist() and sum(n for _, n in spans) <= packing.CAPACITY
+
+
+def test_pipeline_odd(spark, odd_documents, clashing, tmp_path):
+    import corpus_pipeline as cp
+
+    labels = spark.createDataFrame([(i, 0, int(i in (4, 6))) for i in range(12)], "doc_id long, quality int, toxic int")
+    for k, docs in enumerate((odd_documents, clashing, clashing.where("false"), odd_documents.where("doc_id = 9"))):
+        folder = str(tmp_path / str(k))
+        labels.write.parquet(f"{folder}/labels.parquet")
+        docs.write.parquet(f"{folder}/documents.parquet")
+        out = cp.run(spark, folder)
+        assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() >= 0
+        assert (k != 2) or out.count() == 0
