@@ -30,9 +30,9 @@ def measured(df: DataFrame, parts: str = "parts") -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df on at least as many partitions as there are cores: few large files are dealt out before costly work, many are left alone."""
+    """df dealt out before costly work where its files are few: a table of more files than there are cores, or a plan that reads none, is left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    return df.repartition(cores, *keys) if 0 < len(df.inputFiles()) < cores else df
 
 
 def _hull_rows(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:

@@ -63,20 +63,22 @@ def pairs_within(points: DataFrame, point_id: str, distance: float, group: list[
     return left.join(right, [*group, "gx", "gy"]).where("a < b").withColumn("dist", dist).where(F.col("dist") <= distance).select(*group, "a", "b", "dist")
 
 
-def _meets(p: np.ndarray, q: np.ndarray, distance: float) -> bool:
-    """Whether two rings come within distance: sides crossing, one inside the other, or a corner near a side."""
+def _sides(rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the sides of a part's rings, shell and holes."""
+    return np.concatenate(rings), np.concatenate([np.roll(r, -1, axis=0) for r in rings])
 
-    def inside(pt: np.ndarray, r: np.ndarray) -> bool:
-        x1, y1 = r[:, 0], r[:, 1]
-        x2, y2 = np.roll(x1, -1), np.roll(y1, -1)
-        across = (y1 > pt[1]) != (y2 > pt[1])
+
+def _meets(p: tuple[np.ndarray, np.ndarray], q: tuple[np.ndarray, np.ndarray], distance: float) -> bool:
+    """Whether two parts, given by their sides, come within distance: sides crossing, one inside the other (even-odd, so not in a hole of it), or a corner near a side."""
+
+    def inside(pt: np.ndarray, s: np.ndarray, e: np.ndarray) -> bool:
+        across = (s[:, 1] > pt[1]) != (e[:, 1] > pt[1])
         with np.errstate(divide="ignore", invalid="ignore"):
-            return bool((across & (pt[0] < (x2 - x1) * (pt[1] - y1) / (y2 - y1) + x1)).sum() % 2)
+            return bool((across & (pt[0] < (e[:, 0] - s[:, 0]) * (pt[1] - s[:, 1]) / (e[:, 1] - s[:, 1]) + s[:, 0])).sum() % 2)
 
-    if inside(p[0], q) or inside(q[0], p):
+    (a, b), (c, d) = p, q
+    if inside(a[0], c, d) or inside(c[0], a, b):
         return True
-    a, b = p, np.roll(p, -1, axis=0)
-    c, d = q, np.roll(q, -1, axis=0)
     side = lambda o, u, v: (u[..., 0] - o[..., 0]) * (v[..., 1] - o[..., 1]) - (u[..., 1] - o[..., 1]) * (v[..., 0] - o[..., 0])
     A, B, C, D = a[:, None], b[:, None], c[None], d[None]
     if ((side(A, B, C) * side(A, B, D) < 0) & (side(C, D, A) * side(C, D, B) < 0)).any():
@@ -88,11 +90,11 @@ def _meets(p: np.ndarray, q: np.ndarray, distance: float) -> bool:
         t = np.clip(((pts[:, None] - s[None]) * v[None]).sum(axis=2) / n, 0, 1)
         return float(np.sqrt((((s[None] + t[..., None] * v[None]) - pts[:, None]) ** 2).sum(axis=2)).min())
 
-    return min(near(p, c, d), near(q, a, b)) <= distance
+    return min(near(a, c, d), near(c, a, b)) <= distance
 
 
 def touching_pairs(footprints: DataFrame, key: str, distance: float = 0.0, cell: float = 100.0) -> DataFrame:
-    """a < b: pairs of footprints whose shells come within distance of each other (0: share a point)."""
+    """a < b: pairs of footprints that come within distance of each other (0: share a point). What stands free in a courtyard does not touch the building around it."""
     b = with_bounds(footprints).select(F.col(key), "parts", *[F.col(c) for c in ("minx", "miny", "maxx", "maxy")])
     grown = b.select(key, "parts", "minx", "miny", "maxx", "maxy", F.inline(cells(F.col("minx") - distance, F.col("miny") - distance, F.col("maxx") + distance, F.col("maxy") + distance, cell)))
     l, r = (grown.select(F.col(key).alias(k), F.col("parts").alias(f"parts_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in ("minx", "miny", "maxx", "maxy")], "gx", "gy") for k in ("a", "b"))
@@ -102,9 +104,9 @@ def touching_pairs(footprints: DataFrame, key: str, distance: float = 0.0, cell:
     pairs = boxes.where(first).select("a", "b", "parts_a", "parts_b")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shells = lambda parts: [np.array([[p["x"], p["y"]] for p in part[0]]) for part in parts]
+        sides = lambda parts: [_sides([np.array([[p["x"], p["y"]] for p in ring]) for ring in part]) for part in parts]
         for batch in batches:
-            good = [any(_meets(x, y, distance) for x in shells(p) for y in shells(q)) for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            good = [any(_meets(x, y, distance) for x in p for y in q) for p, q in zip(map(sides, batch.column(2).to_pylist()), map(sides, batch.column(3).to_pylist()), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     kind = footprints.schema[key].dataType.simpleString()

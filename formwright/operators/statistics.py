@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import stored
+
 TINY = 1e-12
+#: Up to so many values a quantile is taken in one aggregate.
+SMALL = 5_000_000
 
 
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -124,8 +128,32 @@ def fold_summary(folds: DataFrame, metrics: list[str]) -> DataFrame:
     return long.groupBy("metric").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
 
 
+def exact_quantile(df: DataFrame, column: str, quantile: float, small: int = SMALL) -> float | None:
+    """The quantile of a column's values, linear between neighbours; null values don't count, and without any it is None.
+
+    Up to `small` values it is one aggregate. Beyond, that would hold every distinct value in one task: values are then dealt out by sampled
+    ranges, and the two ranks that are needed are read from the one or two ranges that hold them.
+    """
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    if values.count() <= small:
+        return values.agg(F.percentile("v", F.lit(quantile))).first()[0]
+    dealt = stored(values.withColumn("id", F.monotonically_increasing_id()).repartitionByRange("v", "id").withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = sorted(tuple(r) for r in dealt.groupBy("part").count().collect())  # one row for each partition
+    rank = quantile * (sum(n for _, n in sizes) - 1)
+    found = []
+    for want in (int(rank), min(int(rank) + 1, sum(n for _, n in sizes) - 1)):
+        part = None
+        for part, n in sizes:
+            if want < n:
+                break
+            want -= n
+        order = F.row_number().over(Window.partitionBy("part").orderBy("v", "id"))
+        found.append(dealt.where(F.col("part") == part).withColumn("at", order).where(F.col("at") == want + 1).first().v)
+    return found[0] + (found[1] - found[0]) * (rank - int(rank))
+
+
 def fill_with_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Null, NaN and infinite values become their column's median of the others."""
     good = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c))
-    row = df.agg(*[F.percentile(good(c), F.lit(0.5)).alias(f"_median_{c}") for c in columns])
-    return df.join(F.broadcast(row)).withColumns({c: F.coalesce(good(c), F.col(f"_median_{c}")) for c in columns}).drop(*row.columns)
+    medians = {c: exact_quantile(df.select(good(c).alias("good")), "good", 0.5) for c in columns}
+    return df.withColumns({c: F.coalesce(good(c), F.lit(medians[c])) for c in columns})

@@ -89,10 +89,11 @@ hs AS (SELECT *, coalesce(lead(x) OVER v, first_value(x) OVER v) AS x2, coalesce
 dirs AS (SELECT building_id, i, atan2(y2 - y, x2 - x) AS t FROM hs),
 ext AS (SELECT d.building_id, d.i, max(cos(t) * x + sin(t) * y) - min(cos(t) * x + sin(t) * y) AS u, max(-sin(t) * x + cos(t) * y) - min(-sin(t) * x + cos(t) * y) AS v FROM dirs d JOIN hullv p ON p.building_id = d.building_id GROUP BY d.building_id, d.i),
 best AS (SELECT building_id, min(round(u * v, 6)) AS box FROM ext GROUP BY building_id)
-SELECT building_id, count(DISTINCT round(greatest(u, v) / least(u, v), 6)) AS n_shapes, round(min(greatest(u, v) / least(u, v)), 5) AS elongation_low, round(max(greatest(u, v) / least(u, v)), 5) AS elongation_high
-FROM ext JOIN best USING (building_id) WHERE round(u * v, 6) = box GROUP BY building_id HAVING n_shapes = 1""")
+SELECT building_id, count(DISTINCT round(greatest(u, v) / least(u, v), 6)) AS n_shapes, round(min(greatest(u, v) / least(u, v)), 5) AS elongation_low, round(max(greatest(u, v) / least(u, v)), 5) AS elongation_high,
+  elongation_low AS elongation, any_value(0.75 * w * h >= 60 AND NOT (greatest(u, v) / least(u, v) > 2.03 AND 0.75 * w * h < 150)) AS kept
+FROM ext JOIN best USING (building_id) JOIN bld USING (building_id) WHERE round(u * v, 6) = box GROUP BY building_id HAVING n_shapes = 1""")
 def hull_mbr_elongation(spark, sf_dir):
-    """Side ratio of the smallest rotated rectangle over all hull sides, where rectangles of least area agree on it."""
+    """Side ratio of the smallest rotated rectangle by the kernel, and the cleaning rule on it, where rectangles of least area over all hull sides agree on the ratio."""
     b = buildings(spark, sf_dir).select("building_id", "parts")
     shell = F.filter(b.parts[0][0], lambda p, i: i != 3)
     hull = b.withColumn("hull", shell)
@@ -104,7 +105,9 @@ def hull_mbr_elongation(spark, sf_dir):
     ext = ext.select("building_id", F.round(F.col("u") * F.col("v"), 6).alias("box"), ratio.alias("ratio"))
     best = ext.groupBy("building_id").agg(F.min("box").alias("least"))
     out = ext.join(best, "building_id").where("box = least").groupBy("building_id").agg(F.countDistinct(F.round("ratio", 6)).alias("n_shapes"), F.round(F.min("ratio"), 5).alias("elongation_low"), F.round(F.max("ratio"), 5).alias("elongation_high"))
-    return out.where("n_shapes = 1")
+    kernel = shapes.hull_features(b.withColumn("size", g.area(F.col("parts"))), ["building_id", "size"])
+    rule = shapes.kept_shapes(F.col("size"), F.col("elongation_index"), 60.0, 2.03, 150.0)
+    return out.where("n_shapes = 1").join(kernel.select("building_id", F.round("elongation_index", 5).alias("elongation"), rule.alias("kept")), "building_id")
 
 
 @query(f"""WITH {BLD} SELECT building_id, round(0.75 * w * h, 6) AS area FROM bld WHERE 0.75 * w * h >= 30 AND NOT (greatest(w, h) / least(w, h) > 1.5 AND 0.75 * w * h < 100)""")

@@ -50,6 +50,32 @@ def touching_buildings(spark, sf_dir):
     return spatial.touching_pairs(buildings(spark, sf_dir, placed=True), "building_id")
 
 
+_COURTYARD = "WITH k AS (SELECT s_suppkey::BIGINT AS k FROM supplier) SELECT 2 * k AS a, 2 * k + 1 AS b FROM k WHERE k % 4 {test} UNION ALL SELECT p.k * 2, q.k * 2 FROM k p JOIN k q ON q.k = p.k + 1 WHERE {next}"
+
+
+def courtyards(spark, sf_dir):
+    """For each supplier a square building around a courtyard of 80 by 80, 110 from the next, and a square inside the courtyard: free of it, at its wall, or reaching into it."""
+    key = F.col("s_suppkey").cast("long")
+    x, y = (key * 110).cast("double"), F.lit(0.0)
+    square = lambda at, low, high: g.ring((at + low, y + low), (at + high, y + low), (at + high, y + high), (at + low, y + high))
+    low = F.when(key % 4 == 0, 13.0).when(key % 4 == 1, 10.0).when(key % 4 == 2, 5.0).otherwise(25.0)
+    rows = read(spark, sf_dir, "supplier").select(key.alias("k"), square(x, F.lit(0.0), F.lit(100.0)).alias("shell"), square(x, F.lit(10.0), F.lit(90.0)).alias("yard"), square(x, low, F.lit(40.0)).alias("inner"))
+    around = rows.select((F.col("k") * 2).alias("building_id"), F.array(F.array("shell", "yard")).alias("parts"))
+    return around.unionByName(rows.select((F.col("k") * 2 + 1).alias("building_id"), F.array(F.array("inner")).alias("parts")))
+
+
+@query(_COURTYARD.format(test="IN (1, 2)", next="false"))
+def touching_across_courtyards(spark, sf_dir):
+    """Buildings in a courtyard touch the one around them only where they reach its wall."""
+    return spatial.touching_pairs(courtyards(spark, sf_dir), "building_id")
+
+
+@query(_COURTYARD.format(test="IN (0, 1, 2)", next="true"))
+def close_across_courtyards(spark, sf_dir):
+    """The same within a distance of 10: neighbours in the row, and what stands 3 from the wall of its courtyard, too."""
+    return spatial.touching_pairs(courtyards(spark, sf_dir), "building_id", 10.0)
+
+
 @query(f"""WITH RECURSIVE {_BOXES}, sym AS (SELECT a, b FROM touch UNION ALL SELECT b, a FROM touch),
 reach AS (SELECT building_id AS node, building_id AS label FROM bld UNION SELECT s.b, r.label FROM reach r JOIN sym s ON s.a = r.node WHERE r.label < s.b)
 SELECT node AS building_id, min(label) AS group_id FROM reach GROUP BY node""")

@@ -174,3 +174,13 @@ def test_overlay_areas():
     for _ in range(40):
         p, q = ([[box(*rng.uniform(0, 10, 2), *rng.uniform(1, 6, 2)) @ np.array([[np.cos(t), np.sin(t)], [-np.sin(t), np.cos(t)]])]] for t in rng.uniform(0, 0.4, 2))
         assert area(k.overlay(p + q)) + area(k.overlay(p, q)) == pytest.approx(area(p) + area(q), abs=1e-3)
+
+
+def test_quantile_by_ranks(spark):
+    from formwright.operators import statistics
+
+    for rows in ([3.0], [1.0, 2.0, 2.0, 9.0], [float(i * 37 % 101) for i in range(1000)] + [5.0] * 700):
+        df = spark.createDataFrame([(v,) for v in [*rows, None]], "v double")
+        for q in (0.0, 0.25, 0.5, 0.95, 1.0):
+            assert statistics.exact_quantile(df, "v", q, small=0) == pytest.approx(statistics.exact_quantile(df, "v", q))
+    assert statistics.exact_quantile(df.where("false"), "v", 0.5) is None
