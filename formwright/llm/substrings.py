@@ -30,6 +30,8 @@ WINDOW, GRAM = 50, 20
 CHUNK = 1_000_000
 #: Bytes of one collection (a piece more at most), and anchors of one bucket of the sharing test.
 BATCH_BYTES, BUCKET = 400_000, 2_000_000
+#: Bytes of text for one task of the shuffles; the session's number of partitions is the least.
+TASK_BYTES = 32_000_000
 #: Windows of one piece: as many as can share one place of an anchor; longer runs, as periodic text has, are cut.
 PIECE = WINDOW - GRAM + 1
 #: An anchor with more distinct pieces than this is dealt over several collections.
@@ -333,6 +335,7 @@ def remove_repeats(docs: DataFrame, hot_segments: int = HOT_SEGMENTS, batch_byte
     long_ = texts.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WINDOW))
     size = long_.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(64, int(size / 16 / BUCKET))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     smaller_batches(spark)
     scratch = Scratch(spark)
     # A copy of a text with a smaller doc_id goes as a whole, and adds nothing to what its first copy has.
@@ -342,8 +345,8 @@ def remove_repeats(docs: DataFrame, hot_segments: int = HOT_SEGMENTS, batch_byte
     copies = scratch.save(skew_join(digest, again.drop("n"), ["row", "row2"], counts=again).where("doc_id > first").select("doc_id", "row").distinct(), "copies")
     scratch.drop("digests", "again")
     anchors = scratch.save(long_.mapInArrow(lambda it: _anchors(it, buckets), "chunk long, bucket int, data binary"), "anchors")
-    shared = anchors.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").select("chunk", "bucket", "data").mapInArrow(_shared, "chunk long, bucket int, data binary")
-    chunks = shared.unionByName(anchors.where("bucket < 0")).repartition("chunk").sortWithinPartitions("chunk", "bucket")
+    shared = anchors.where("bucket >= 0").repartition(tasks, "bucket").sortWithinPartitions("bucket").select("chunk", "bucket", "data").mapInArrow(_shared, "chunk long, bucket int, data binary")
+    chunks = shared.unionByName(anchors.where("bucket < 0")).repartition(tasks, "chunk").sortWithinPartitions("chunk", "bucket")
     marked = scratch.save(chunks.mapInArrow(_by_document, "doc_id long, row long, anchors binary"), "marked")
     scratch.drop("anchors")
     lookup = marked.join(copies, ["doc_id", "row"], "left_anti").dropDuplicates(["doc_id", "row"])
@@ -359,7 +362,7 @@ def remove_repeats(docs: DataFrame, hot_segments: int = HOT_SEGMENTS, batch_byte
     hot = scratch.save(distinct.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > hot_segments).select("anchor", F.ceil(F.col("k") / hot_segments).cast("int").alias("parts")), "hot")
     hot = F.broadcast(hot) if hot.count() <= MOST_HOT else hot
     told = distinct.join(hot, "anchor", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.col("h1"), F.col("parts"))).cast("int"))
-    batched = lambda df: df.select(*columns).repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    batched = lambda df: df.select(*columns).repartition(tasks, "anchor", "part").sortWithinPartitions("anchor", "part")
     runs = batched(told.where("parts IS NULL")).mapInArrow(lambda it: _first_documents(it, batch_bytes), _RUNS)
     single = scratch.save(batched(told.where("parts IS NOT NULL")).mapInArrow(lambda it: _first_windows(it, batch_bytes), _SINGLE), "windows")
     least = scratch.save(single.where("head").groupBy("bytes").agg(F.min("first").alias("least"), F.count("*").alias("n")), "least")
