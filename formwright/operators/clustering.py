@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +19,8 @@ from .statistics import zscores
 SAMPLE = 20_000
 #: Rows of one block of a silhouette, rows that it meets at a time, and clusters whose sums it holds.
 BLOCK, SLAB, CLUSTERS = 4_000, 1_000, 1_000
+#: K-means fits that run at a time.
+FITS = 8
 
 
 def matrix(df: DataFrame, columns: list[str]) -> Column:
@@ -52,13 +56,32 @@ def project(x: Column, mean: np.ndarray, components: np.ndarray) -> Column:
     return F.array(*[dot(c) for c in components])
 
 
+def kmeans_each(df: DataFrame, x: str, ks: Iterable[int], restarts: int = 10, iterations: int = 300, seed: int = 42) -> dict[int, list[list[float]]]:
+    """For each k, the centres of the best of several starts, ordered by size of cluster (largest first), then by place, so that ids don't depend on the start.
+
+    All fits share one cached table, FITS of them at a time: each is a row of short jobs that leave most cores idle.
+    """
+    data = df.select(array_to_vector(F.col(x).cast("array<double>")).alias("features")).persist()
+    data.count()
+
+    def one(job: tuple[int, int]) -> tuple[int, float, list[list[float]]]:
+        k, r = job
+        model = KMeans(k=k, maxIter=iterations, tol=1e-4, seed=seed + r).fit(data)
+        centres, sizes = [c.tolist() for c in model.clusterCenters()], model.summary.clusterSizes
+        order = sorted(range(len(centres)), key=lambda c: (-sizes[c], tuple(centres[c])))
+        return k, model.summary.trainingCost, [centres[c] for c in order]
+
+    best: dict[int, tuple[float, list[list[float]]]] = {}
+    with ThreadPoolExecutor(FITS) as pool:
+        for k, cost, centres in pool.map(inheritable_thread_target(df.sparkSession)(one), [(k, r) for k in ks for r in range(restarts)]):
+            if k not in best or cost < best[k][0]:
+                best[k] = cost, centres
+    data.unpersist()
+    return {k: centres for k, (_, centres) in best.items()}
+
+
 def kmeans(df: DataFrame, x: str, k: int, restarts: int = 10, iterations: int = 300, seed: int = 42) -> list[list[float]]:
-    """Centres of the best of several starts, ordered by size of cluster (largest first), then by place, so that ids don't depend on the start."""
-    data = df.select(array_to_vector(F.col(x).cast("array<double>")).alias("features"))
-    models = [KMeans(k=k, maxIter=iterations, tol=1e-4, seed=seed + r).fit(data) for r in range(restarts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    order = sorted(range(len(best.clusterCenters())), key=lambda c: (-best.summary.clusterSizes[c], tuple(best.clusterCenters()[c])))
-    return [best.clusterCenters()[c].tolist() for c in order]
+    return kmeans_each(df, x, [k], restarts, iterations, seed)[k]
 
 
 def _distance_sums(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -140,14 +163,11 @@ def best_k(scores: DataFrame) -> DataFrame:
 def search_k(df: DataFrame, key: str, embedded: str, features: str, ks: range, restarts: int = 10, most: int = SAMPLE) -> DataFrame:
     """k, score, largest_frac: clusters are found in the embedding and scored in the feature space, on one bounded sample."""
     from .components import stored
-    from .spatial import nearest
+    from .spatial import squared_distances
 
     sample = stored(bounded_sample(df.select(key, embedded, features), key, most), "k-sample")
-    labelled = sample
-    for k in ks:
-        found = nearest(sample, [key], F.col(embedded), kmeans(sample, embedded, k, restarts)).select(key, F.col("nearest").alias(f"k{k}"))
-        labelled = labelled.join(found, key)
-    labelled = stored(labelled, "k-labels")
+    away = {f"k{k}": squared_distances(F.col(embedded), centres) for k, centres in kmeans_each(sample, embedded, ks, restarts).items()}
+    labelled = stored(sample.withColumns(away).withColumns({name: F.array_position(name, F.array_min(name)) - 1 for name in away}), "k-labels")
     scores = silhouettes(labelled, key, features, [f"k{k}" for k in ks]).select(F.substring("name", 2, 9).cast("int").alias("k"), "score")
     share = labelled.select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("c")) for k in ks]))).groupBy("k", "c").agg(F.count("*").alias("n"))
     return scores.join(share.groupBy("k").agg((F.max("n") / F.sum("n")).alias("largest_frac")), "k")

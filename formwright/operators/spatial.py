@@ -113,11 +113,15 @@ def touching_pairs(footprints: DataFrame, key: str, distance: float = 0.0, cell:
     return pairs.mapInArrow(test, f"a {kind}, b {kind}")
 
 
+def squared_distances(values: Column, centres: list[list[float]]) -> Column:
+    """The squared distance of values to each centre; centres are few and go into the plan."""
+    sq = lambda c: F.aggregate(F.zip_with(values, F.array(*map(F.lit, c)), lambda v, m: (v - m) * (v - m)), F.lit(0.0), lambda s, d: s + d)
+    return F.array(*[sq([float(x) for x in c]) for c in centres])
+
+
 def nearest(points: DataFrame, keys: list[str], values: Column, centres: list[list[float]]) -> DataFrame:
     """keys, nearest (index of the centre at least distance, the lowest of equals), dist; centres are few and go into the plan."""
-    sq = lambda c: F.aggregate(F.zip_with(values, F.array(*map(F.lit, c)), lambda v, m: (v - m) * (v - m)), F.lit(0.0), lambda s, d: s + d)
-    d = F.array(*[sq([float(x) for x in c]) for c in centres])
-    return points.select(*keys, d.alias("_d")).select(*keys, (F.array_position("_d", F.array_min("_d")) - 1).cast("int").alias("nearest"), F.sqrt(F.array_min("_d")).alias("dist"))
+    return points.select(*keys, squared_distances(values, centres).alias("_d")).select(*keys, (F.array_position("_d", F.array_min("_d")) - 1).cast("int").alias("nearest"), F.sqrt(F.array_min("_d")).alias("dist"))
 
 
 def first_of(df: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ A stage reads what the manifest names, so any stage can run again later, alone,
 from __future__ import annotations
 
 import argparse
+import functools
 import uuid
 from dataclasses import dataclass
 
@@ -87,12 +88,13 @@ def train(run: Run) -> None:
     """Cross-validation; the parameters of the fold with the least validation loss are kept."""
     how, model, g = run.config.training, run.config.model, run.get("graphs")
     width = len(shapes.feature_names(run.config.data.has_height))
+    folds = range(1 if how.quick_fold else how.n_splits)
+    parts = [components.stored(st.train_val_test(g, "y", F.xxhash64("graph_id", F.lit(how.seed)), how.n_splits, fold), "parts").withColumn("fold", F.lit(fold)) for fold in folds]
+    every = functools.reduce(DataFrame.unionByName, parts)
+    batches = gc.mini_batches(every.where("part <> 'test'").withColumn("train", F.col("part") == "train"), how.batch_size, how.seed)
     best, rows = None, []
-    for fold in range(1 if how.quick_fold else how.n_splits):
-        parts = components.stored(st.train_val_test(g, "y", F.xxhash64("graph_id", F.lit(how.seed)), how.n_splits, fold), "parts")
-        made = [components.stored(gc.mini_batches(parts.where(F.col("part") == p), how.batch_size, how.seed), "batches") for p in ("train", "val")]
-        params, stats, loss = gc.fit(*made, width, model, how)
-        m = st.overall_metrics(st.class_report(gc.predict(parts.where("part = 'test'"), params, stats, model), "y", "pred")).first()
+    for fold, (params, stats, loss) in gc.fit(components.stored(batches, "batches"), width, model, how).items():
+        m = st.overall_metrics(st.class_report(gc.predict(parts[fold].where("part = 'test'"), params, stats, model), "y", "pred")).first()
         rows.append((fold, loss, m.accuracy, m.macro_f1, m.weighted_f1))
         best = (loss, params, stats) if best is None or loss < best[0] else best
     run.put("folds", run.spark.createDataFrame(rows, "fold int, best_val_loss double, accuracy double, macro_f1 double, weighted_f1 double"))
