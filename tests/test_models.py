@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from formwright.config import Config, Explainer, Model, from_dict
+from formwright.config import Config, Explainer, Model, Training, from_dict
 from formwright.operators import classifier as gc
 from formwright.operators import clustering as cl
 from formwright.operators import statistics as st
@@ -184,3 +184,21 @@ def test_quantile_by_ranks(spark):
         for q in (0.0, 0.25, 0.5, 0.95, 1.0):
             assert statistics.exact_quantile(df, "v", q, small=0) == pytest.approx(statistics.exact_quantile(df, "v", q))
     assert statistics.exact_quantile(df.where("false"), "v", 0.5) is None
+
+
+def test_folds_train_side_by_side(spark):
+    """Each fold gets its own model, as good as when it is trained alone; a fold without validation graphs is refused."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, i % 2, [[float(4 * (i % 2) - 2), 0.1 * i, 1.0, 0.0]] * 3, [0, 1], [1, 0], [1.0, 1.0]) for i in range(16)]
+    graphs = spark.createDataFrame(rows, gc._GRAPH)
+    folds = graphs.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("fold")).withColumn("train", F.when(F.col("fold") == 0, F.col("graph_id") % 8 < 6).otherwise(F.col("graph_id") % 8 >= 2))
+    model, how = Model(hidden_dim=8, output_dim=2, dropout=0.0), Training(epochs=40, local_epochs=10, batch_size=4, learning_rate=0.02)
+    batches = gc.mini_batches(folds, how.batch_size, how.seed).coalesce(1)
+    both, alone = gc.fit(batches, 4, model, how), gc.fit(batches.where("fold = 1"), 4, model, how)
+    assert sorted(both) == [0, 1] and both[0][2] < 0.6
+    assert both[1][2] == pytest.approx(alone[1][2])
+    pred = gc.predict(graphs, *both[0][:2], model).collect()
+    assert all(r.pred == r.y for r in pred)
+    with pytest.raises(ValueError):
+        gc.fit(batches.where("train"), 4, model, how)
