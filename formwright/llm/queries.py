@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprint, mixing, near_dedup, packing, pii, sentence_spans, substrings, toxicity, url_filter
+from . import conversation_repair, cutting, exact_dedup, fingerprint, mixing, near_dedup, packing, pii, sentence_spans, spelling, substrings, toxicity, url_filter
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_poisson_mixing": mixing.op8_poisson_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_personal_data": pii.op10_personal_data,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_cutting_stock_packing": cutting.op12_cutting_stock_packing,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 ORACLES = {
     "op3_sentence_span_dedup": sentence_spans.ORACLE,
