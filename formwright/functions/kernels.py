@@ -107,18 +107,71 @@ def clip_convex(polygon: np.ndarray, window: np.ndarray) -> np.ndarray:
     for a, b in zip(window, np.roll(window, -1, axis=0), strict=True):
         if not len(out):
             break
-        d = (b[0] - a[0]) * (out[:, 1] - a[1]) - (b[1] - a[1]) * (out[:, 0] - a[0])
-        nxt, dn = np.roll(out, -1, axis=0), np.roll(d, -1)
-        rows = []
-        for p, q, dp, dq in zip(out, nxt, d, dn, strict=True):
-            if dp >= 0:
-                rows.append(p)
-            if (dp > 0 > dq) or (dp < 0 < dq):
-                rows.append(p + (q - p) * (dp / (dp - dq)))
-        out = np.array(rows).reshape(-1, 2)
+        out = _inner(out, (b[0] - a[0]) * (out[:, 1] - a[1]) - (b[1] - a[1]) * (out[:, 0] - a[0]))
     return out
 
 
+def _inner(ring: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The part of a ring where d, linear over the plane and given at its points, is not negative."""
+    if (d >= 0).all():
+        return ring
+    q, dq = np.roll(ring, -1, axis=0), np.roll(d, -1)
+    cross = ((d > 0) & (dq < 0)) | ((d < 0) & (dq > 0))
+    t = np.divide(d, d - dq, out=np.zeros_like(d), where=cross)
+    both = np.stack([ring, ring + (q - ring) * t[:, None]], axis=1)
+    return both[np.stack([d >= 0, cross], axis=1)]
+
+
+def half(ring: np.ndarray, axis: int, limit: float, low: bool) -> np.ndarray:
+    """The part of a ring below (or above) a limit of one coordinate; new points lie on the limit to the last bit."""
+    d = limit - ring[:, axis] if low else ring[:, axis] - limit
+    if (d >= 0).all():
+        return ring
+    q, dq = np.roll(ring, -1, axis=0), np.roll(d, -1)
+    cross = ((d > 0) & (dq < 0)) | ((d < 0) & (dq > 0))
+    # From the lower to the upper end, so that a side is cut at one point from both sides of the limit.
+    turned = (ring[:, axis] > q[:, axis])[:, None]
+    a, b = np.where(turned, q, ring), np.where(turned, ring, q)
+    t = np.divide(limit - a[:, axis], b[:, axis] - a[:, axis], out=np.zeros_like(d), where=cross)
+    new = a + (b - a) * t[:, None]
+    new[:, axis] = limit
+    return np.stack([ring, new], axis=1)[np.stack([d >= 0, cross], axis=1)]
+
+
+def turned_rings(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """All rings, shells counter-clockwise and holes clockwise, so that their signed areas add up."""
+    return [r if (polygon_area(r) > 0) == (n == 0) else r[::-1] for rings in parts for n, r in enumerate(rings) if len(r) >= 3]
+
+
+def area_tiles(parts: list[list[np.ndarray]], size: float):
+    """Yields (gx0, gx1, gy0, gy1, rings): blocks of grid tiles wholly inside (rings is None), and single tiles on the border with their piece of the outline.
+
+    The outline is halved at a line of tiles again and again, so a point takes part in as many cuts as there are halvings, not tiles.
+    """
+    rings = turned_rings(parts)
+    if not rings:
+        return
+    points = np.concatenate(rings)
+    (x0, y0), (x1, y1) = np.floor(points.min(axis=0) / size), np.floor(points.max(axis=0) / size)
+    work = [(rings, int(x0), int(x1) + 1, int(y0), int(y1) + 1)]
+    while work:
+        rings, gx0, gx1, gy0, gy1 = work.pop()
+        box = (gx0 * size, gx1 * size), (gy0 * size, gy1 * size)
+        rim = all(np.logical_or.reduce([(r[:, k] == v) & (np.roll(r[:, k], -1) == v) for k in (0, 1) for v in box[k]]).all() for r in rings)
+        if rim:
+            if sum(map(polygon_area, rings)) > (box[0][1] - box[0][0]) * (box[1][1] - box[1][0]) / 2:
+                yield gx0, gx1, gy0, gy1, None
+        elif gx1 - gx0 == 1 and gy1 - gy0 == 1:
+            yield gx0, gx1, gy0, gy1, rings
+        else:
+            wide = gx1 - gx0 >= gy1 - gy0
+            at = (gx0 + gx1) // 2 if wide else (gy0 + gy1) // 2
+            for low in (True, False):
+                part = [c for r in rings if len(c := half(r, 0 if wide else 1, at * size, low)) >= 3]
+                if part:
+                    work.append((part, at if wide and not low else gx0, at if wide and low else gx1, at if not wide and not low else gy0, at if not wide and low else gy1))
+
+
 def covered_by_circle(a: np.ndarray, b: np.ndarray, radius: np.ndarray) -> np.ndarray:
     """For each directed side a to b (about the centre): the signed area that its triangle with the centre has in common with the circle polygon of that radius.
 
@@ -216,118 +269,157 @@ def hull_metrics(shell: np.ndarray, area: float) -> dict[str, float]:
     }
 
 
+def curve_order(points: np.ndarray, bits: int = 16) -> np.ndarray:
+    """Indexes of the points in the order in which a Hilbert curve over their box meets them."""
+    low, span = points.min(axis=0), max(float(np.ptp(points, axis=0).max()), 1e-300)
+    x, y = ((points - low) / span * (2**bits - 1)).astype(np.int64).T
+    key = np.zeros(len(points), dtype=np.int64)
+    for k in range(bits - 1, -1, -1):
+        bx, by = (x >> k) & 1, (y >> k) & 1
+        key = (key << 2) | ((3 * bx) ^ by)
+        flip = (by == 0) & (bx == 1)
+        mask = (1 << k) - 1
+        x, y = np.where(flip, mask - (x & mask), x & mask), np.where(flip, mask - (y & mask), y & mask)
+        swap = by == 0
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+    return np.argsort(key, kind="stable")
+
+
 def delaunay(points: np.ndarray) -> np.ndarray:
-    """Triangles (rows of three ascending point indexes) by incremental insertion; of cocircular choices the one that point order gives.
+    """Triangles (rows of three ascending point indexes) by incremental insertion; of cocircular choices the one that the order of insertion gives.
 
-    Points must be pairwise distinct. Fewer than three, or all on a line: none. Tests of circle and side are exact for whole-number coordinates up to 2**20.
+    Points go in along a space-filling curve, and each is found by a walk from the last one's triangle, which is near. Points must be pairwise distinct.
+    Fewer than three, or all on a line: none. Tests of circle and side are exact for whole-number coordinates up to 2**20.
     """
     n = len(points)
     if n < 3:
         return np.zeros((0, 3), dtype=np.int64)
     p = points - np.floor(points.min(axis=0))
-    order = np.lexsort((p[:, 1], p[:, 0]))
-    big = 8.0 * max(float(p.max()), 1.0)
-    # A ghost point at infinity (index n) closes the hull, so no far corner bends the circles.
-    q = [tuple(map(float, v)) for v in p]
-    side = lambda a, b, c: (q[b][0] - q[a][0]) * (q[c][1] - q[a][1]) - (q[b][1] - q[a][1]) * (q[c][0] - q[a][0])
+    order = curve_order(p).tolist()
+    q = [tuple(v) for v in p.tolist()]
+
+    def side(a: int, b: int, c: int) -> float:
+        (ax, ay), (bx, by), (cx, cy) = q[a], q[b], q[c]
+        return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+
     start = next((k for k in range(2, n) if side(order[0], order[1], order[k]) != 0), None)
-    if start is None or big <= 0:
+    if start is None:
         return np.zeros((0, 3), dtype=np.int64)
-    a, b, c = int(order[0]), int(order[1]), int(order[start])
+    a, b, c = order[0], order[1], order[start]
     if side(a, b, c) < 0:
         b, c = c, b
-    tri: dict[tuple[int, int], int] = {}  # directed side to the point across from it, counter-clockwise
+    # Directed side to the point across from it, counter-clockwise; a ghost point at infinity (index n) closes the hull, so no far corner bends the circles.
+    tri: dict[tuple[int, int], int] = {}
 
     def add(x: int, y: int, z: int) -> None:
         tri[x, y], tri[y, z], tri[z, x] = z, x, y
 
-    def drop(x: int, y: int, z: int) -> None:
-        del tri[x, y], tri[y, z], tri[z, x]
-
     def inside(x: int, y: int, z: int, d: int) -> bool:
-        if n in (x, y, z):
+        if x == n or y == n or z == n:
             while z != n:
                 x, y, z = y, z, x
             s = side(x, y, d)
             if s != 0:
                 return s > 0
             return min(q[x], q[y]) < q[d] < max(q[x], q[y])
-        (ax, ay), (bx, by), (cx, cy) = ((q[v][0] - q[d][0], q[v][1] - q[d][1]) for v in (x, y, z))
+        dx, dy = q[d]
+        (ax, ay), (bx, by), (cx, cy) = q[x], q[y], q[z]
+        ax, ay, bx, by, cx, cy = ax - dx, ay - dy, bx - dx, by - dy, cx - dx, cy - dy
         return (ax * ax + ay * ay) * (bx * cy - cx * by) - (bx * bx + by * by) * (ax * cy - cx * ay) + (cx * cx + cy * cy) * (ax * by - bx * ay) > 0
 
+    def found(x: int, y: int, d: int) -> tuple[int, int, int]:
+        """A triangle that d spoils, by a walk from the one on the directed side (x, y), which has no ghost."""
+        z = tri[x, y]
+        for _ in range(4 * n):
+            for u, v in ((x, y), (y, z), (z, x)):
+                if side(u, v, d) < 0:
+                    w = tri[v, u]
+                    if w == n:
+                        return v, u, n
+                    x, y, z = v, u, w
+                    break
+            else:
+                return x, y, z
+        return next((u, v, w) for (u, v), w in tri.items() if inside(u, v, w, d))  # rounding can lead a walk in a circle
+
     for t in ((a, b, c), (b, a, n), (c, b, n), (a, c, n)):
         add(*t)
     last = (a, b)
-    for d in [int(k) for i, k in enumerate(order) if i not in (0, 1, start)]:
-        # Sorted insertion puts a new point outside or at the rim: look from the last triangle first, then at all.
-        x, y = last
-        seed = (x, y, tri[x, y]) if (x, y) in tri and inside(x, y, tri[x, y], d) else None
-        if seed is None:
-            seed = next(((u, v, w) for (u, v), w in tri.items() if w == n and inside(u, v, w, d)), None) or next((u, v, w) for (u, v), w in tri.items() if inside(u, v, w, d))
-        bad, stack = {frozenset(seed)}, [seed]
-        rim = []
-        while stack:
-            x, y, z = stack.pop()
-            for u, v in ((x, y), (y, z), (z, x)):
-                w = tri[v, u]
-                if frozenset((v, u, w)) in bad:
-                    continue
-                if inside(v, u, w, d):
-                    bad.add(frozenset((v, u, w)))
-                    stack.append((v, u, w))
-        cut = {}
-        for t in bad:
-            x, y, z = t
-            if tri.get((x, y)) != z:
-                x, y = y, x
-            for u, v in ((x, y), (y, z), (z, x)):
-                cut[u, v] = True
-            rim.append((x, y, z))
-        border = [(u, v) for u, v in cut if (v, u) not in cut]
-        for t in rim:
-            drop(*t)
+    for k in range(2, n):
+        if k == start:
+            continue
+        d = order[k]
+        x, y, z = found(*last, d)
+        if not inside(x, y, z, d):  # on the line of a hull side, beyond it
+            x, y, z = next((u, v, w) for (u, v), w in tri.items() if inside(u, v, w, d))
+        del tri[x, y], tri[y, z], tri[z, x]
+        border, work = [], [(y, x), (z, y), (x, z)]
+        while work:
+            u, v = work.pop()
+            w = tri.get((u, v))
+            if w is None:
+                continue
+            if inside(u, v, w, d):
+                del tri[u, v], tri[v, w], tri[w, u]
+                work += [(w, v), (u, w)]
+            else:
+                border.append((v, u))
         for u, v in border:
             add(u, v, d)
-        last = next((s for s in border if n not in s), border[0])
-    found = {tuple(sorted((u, v, w))) for (u, v), w in tri.items() if n not in (u, v, w)}
-    return np.array(sorted(found), dtype=np.int64).reshape(-1, 3)
+        last = next((u, v) for u, v in border if u != n and v != n)
+        if tri[last] == n:
+            last = last[::-1]
+    triangles = {tuple(sorted((u, v, w))) for (u, v), w in tri.items() if n not in (u, v, w)}
+    return np.array(sorted(triangles), dtype=np.int64).reshape(-1, 3)
 
 
-def voronoi_shares(points: np.ndarray, parcel: np.ndarray) -> np.ndarray:
-    """Area of each point's Voronoi cell within the parcel; parcel area / n for fewer than 4 points or an empty cell.
+def voronoi_shares(points: np.ndarray, parcel: np.ndarray | list[list[np.ndarray]]) -> np.ndarray:
+    """Area of each point's Voronoi cell within the parcel (a ring, or parts of shell and holes); parcel area / n for fewer than 4 points or an empty cell.
 
-    A cell is what the half-planes against the point's Delaunay neighbours leave of the parcel; those of a convex cell are all that bound it.
+    A cell is what the half-planes against the point's Delaunay neighbours leave of the parcel's box; those of a convex cell are all that bound it. The cell is convex, so
+    it cuts every ring of the parcel, and what it cuts from holes counts against what it cuts from shells.
     """
     n = len(points)
     if n == 0:
         return np.zeros(0)
-    total = abs(polygon_area(parcel))
+    rings = turned_rings([[parcel]] if isinstance(parcel, np.ndarray) else parcel)
+    total = sum(map(polygon_area, rings))
     even = total / n
-    if n < 4:
+    if n < 4 or not rings:
         return np.full(n, even)
     near: list[set[int]] = [set() for _ in range(n)]
-    for a, b, c in delaunay(points):
+    for a, b, c in delaunay(points).tolist():
         near[a] |= {b, c}
         near[b] |= {a, c}
         near[c] |= {a, b}
+    every = np.concatenate(rings)
+    (x0, y0), (x1, y1) = every.min(axis=0).tolist(), every.max(axis=0).tolist()
+    q = points.tolist()
     shares = np.full(n, even)
     for i in range(n):
-        cell = parcel
+        cell = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+        px, py = q[i]
         for j in sorted(near[i] or set(range(n)) - {i}):
-            m, d = (points[i] + points[j]) / 2, points[j] - points[i]
-            s = (cell - m) @ d
-            nxt, sn = np.roll(cell, -1, axis=0), np.roll(s, -1)
+            dx, dy = q[j][0] - px, q[j][1] - py
+            mid = dx * (px + dx / 2) + dy * (py + dy / 2)
+            s = [x * dx + y * dy - mid for x, y in cell]
+            if max(s) <= 0:
+                continue
             rows = []
-            for p, q, sp, sq in zip(cell, nxt, s, sn, strict=True):
-                if sp <= 0:
-                    rows.append(p)
+            for k, (x, y) in enumerate(cell):
+                sp, sq = s[k - 1], s[k]
                 if (sp < 0 < sq) or (sq < 0 < sp):
-                    rows.append(p + (q - p) * (sp / (sp - sq)))
-            cell = np.array(rows).reshape(-1, 2)
+                    (ox, oy), t = cell[k - 1], sp / (sp - sq)
+                    rows.append((ox + (x - ox) * t, oy + (y - oy) * t))
+                if sq <= 0:
+                    rows.append((x, y))
+            cell = rows
             if len(cell) < 3:
                 break
-        a = abs(polygon_area(cell)) if len(cell) >= 3 else 0.0
-        shares[i] = a if a > 0 else even
+        if len(cell) >= 3:
+            window = np.array(cell)
+            a = sum(polygon_area(clip_convex(r, window)) for r in rings)
+            shares[i] = a if a > 0 else even
     return shares
 
 
@@ -391,33 +483,41 @@ def overlay(left: list[list[np.ndarray]], right: list[list[np.ndarray]] | None =
         hit = _inside_any(p, left)
         sides.append(hit if right is None else hit & _inside_any(p, right))
     on, off = sides
+    return assemble([(p, q) if l else (q, p) for (p, q), l, r in zip(s.tolist(), on, off, strict=True) if l != r])
+
+
+def assemble(border: list, grid: float | None = None) -> list[list[np.ndarray]]:
+    """Parts of shell and holes from directed sides that have the inside on their left. Points on a side go; with a grid, also those that its lines left there, whose coordinates are rounded."""
     follow: dict[tuple, list[tuple]] = {}
-    for (p, q), l, r in zip(s.tolist(), on, off, strict=True):
-        if l != r:
-            p, q = (tuple(p), tuple(q)) if l else (tuple(q), tuple(p))
-            follow.setdefault(p, []).append(q)
+    for p, q in border:
+        follow.setdefault(tuple(p), []).append(tuple(q))
     rings = []
-    while follow:
-        start = min(follow)
-        ring, here, last = [start], follow[start].pop(), start
-        if not follow[start]:
-            del follow[start]
-        while here != start:
-            ring.append(here)
-            back = math.atan2(last[1] - here[1], last[0] - here[0])
-            # At a point where rings touch, turn as far to the right as can be: rings then touch but never cross.
-            choices = follow.get(here)
-            if not choices:
-                break
-            nxt = min(choices, key=lambda q: (back - math.atan2(q[1] - here[1], q[0] - here[0])) % (2 * math.pi) or 2 * math.pi)
-            choices.remove(nxt)
-            if not choices:
-                del follow[here]
-            here, last = nxt, here
-        if len(ring) >= 3 and here == start:
-            p = np.array(ring)
-            bent = np.abs((p[:, 0] - np.roll(p, 1, 0)[:, 0]) * (np.roll(p, -1, 0)[:, 1] - p[:, 1]) - (p[:, 1] - np.roll(p, 1, 0)[:, 1]) * (np.roll(p, -1, 0)[:, 0] - p[:, 0])) > 1e-12
-            rings.append(p[bent] if bent.sum() >= 3 else p)
+    for start in sorted(follow):
+        while start in follow:
+            ring, here, last = [start], follow[start].pop(), start
+            if not follow[start]:
+                del follow[start]
+            while here != start:
+                ring.append(here)
+                back = math.atan2(last[1] - here[1], last[0] - here[0])
+                # At a point where rings touch, turn as far to the right as can be: rings then touch but never cross.
+                choices = follow.get(here)
+                if not choices:
+                    break
+                nxt = min(choices, key=lambda q: (back - math.atan2(q[1] - here[1], q[0] - here[0])) % (2 * math.pi) or 2 * math.pi)
+                choices.remove(nxt)
+                if not choices:
+                    del follow[here]
+                here, last = nxt, here
+            if len(ring) >= 3 and here == start:
+                p = np.array(ring)
+                before, after = p - np.roll(p, 1, 0), np.roll(p, -1, 0) - p
+                turn = np.abs(before[:, 0] * after[:, 1] - before[:, 1] * after[:, 0])
+                bent = turn > 1e-12
+                if grid is not None:
+                    on_line = (np.abs(p - np.round(p / grid) * grid) < 1e-9).any(axis=1)
+                    bent &= ~on_line | (turn > 4e-6 * np.hypot(*before.T) + 4e-6 * np.hypot(*after.T))
+                rings.append(p[bent] if bent.sum() >= 3 else p)
     shells = [r for r in rings if polygon_area(r) > 0]
     parts = [[r] for r in sorted(shells, key=lambda r: abs(polygon_area(r)))]
     for h in (r for r in rings if polygon_area(r) < 0):
@@ -426,3 +526,38 @@ def overlay(left: list[list[np.ndarray]], right: list[list[np.ndarray]] | None =
         if home is not None:
             home.append(h)
     return parts
+
+
+def cell_border(footprints: list[list[list[np.ndarray]]], gx: int, gy: int, size: float) -> np.ndarray:
+    """Directed sides (rows x1, y1, x2, y2, the inside on the left) of the union of footprints within one grid cell."""
+    inside = []
+    for parts in footprints:
+        for rings in parts:
+            cut = []
+            for r in rings:
+                for axis, limit, low in ((0, (gx + 1) * size, True), (0, gx * size, False), (1, (gy + 1) * size, True), (1, gy * size, False)):
+                    r = half(r, axis, limit, low) if len(r) else r
+                if len(r) >= 3:
+                    cut.append(r)
+            if cut:
+                inside.append(cut)
+    union = overlay(inside)
+    sides = [np.hstack([r, np.roll(r, -1, axis=0)]) for part in union for n, r in enumerate(part)]
+    return np.concatenate(sides) if sides else np.zeros((0, 4))
+
+
+def cancelled(sides: np.ndarray, axis: int) -> np.ndarray:
+    """Of directed sides on one line, along `axis`, what is left when opposite ones cancel."""
+    a, b = sides[:, axis], sides[:, 2 + axis]
+    ends = np.unique(np.concatenate((a, b)))
+    low, high = np.searchsorted(ends, np.minimum(a, b)), np.searchsorted(ends, np.maximum(a, b))
+    net = np.zeros(len(ends), dtype=np.int64)
+    np.add.at(net, low, np.sign(b - a).astype(np.int64))
+    np.add.at(net, high, -np.sign(b - a).astype(np.int64))
+    net = np.cumsum(net)[:-1]
+    at = np.flatnonzero(net)
+    out = np.empty((len(at), 4))
+    out[:, 1 - axis] = out[:, 3 - axis] = sides[0, 1 - axis]
+    out[:, axis] = np.where(net[at] > 0, ends[at], ends[at + 1])
+    out[:, 2 + axis] = np.where(net[at] > 0, ends[at + 1], ends[at])
+    return out

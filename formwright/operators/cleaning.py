@@ -6,13 +6,14 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formwright.functions import kernels as k
 
+from . import components
+
 #: Land-use classes of the source map and the five that they become.
 CLASS_RECODE = {0: 1, 1: 2, 2: 2, 3: 3, 4: 4, 5: 4, 6: 5, 7: 5, 8: 5, 9: 5, 10: 5}
 
@@ -65,42 +66,96 @@ def _points(parts: list[list[np.ndarray]]) -> list:
     return [[[{"x": float(x), "y": float(y)} for x, y in r] for r in part] for part in parts]
 
 
+_ARROW_PARTS = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
 _PARTS = "array<array<array<struct<x: double, y: double>>>>"
 
 
-def dissolve(df: DataFrame, group: str, parts: str = "parts") -> DataFrame:
-    """group, parts: the union of each group's footprints. Groups are clusters of touching buildings, so each is a small set of shapes."""
+_SIDES = pa.list_(pa.float64())
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        every = [rings for p in pdf[parts] for rings in _rings(p)]
-        joined = every if len(every) == 1 else k.overlay(every)
-        return pd.DataFrame({group: [pdf[group].iloc[0]], parts: [_points(joined)]})
+def dissolve(df: DataFrame, group: str, parts: str = "parts", cell: float = 100.0) -> DataFrame:
+    """group, parts: the union of each group's footprints. A footprint alone in its group never moves.
+
+    A group is cut by a grid: a task unites what one cell has of it, however many cells the group spans. Unions of neighbouring cells differ from the whole only by the sides
+    on the line between them, and those are opposite: a grouping by line and cell leaves what does not cancel. The sides that are left, the outline itself, are linked to rings.
+    """
+    from . import spatial
 
     kind = df.schema[group].dataType.simpleString()
-    alone = df.withColumn("_n", F.count("*").over(Window.partitionBy(group)))
-    single = alone.where("_n = 1").select(group, parts)
-    return single.unionByName(alone.where("_n > 1").select(group, parts).groupBy(group).applyInPandas(run, f"{group} {kind}, {parts} {_PARTS}"))
+    several = df.groupBy(group).agg(F.count("*").alias("_n")).where("_n > 1").select(group)
+    single = df.join(several, group, "left_anti").select(group, parts)
+    shapes = spatial.with_bounds(df.join(several, group, "left_semi").select(F.col(group).alias("grp"), F.col(parts).alias("shape")), "shape")
+    cut = shapes.select("grp", "shape", F.inline(spatial.cells(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy"), cell)))
+
+    def unite(rows: pa.Table) -> pa.Table:
+        gx, gy = (rows.column(c)[0].as_py() for c in ("gx", "gy"))
+        border = k.cell_border([spatial.as_rings(p) for p in rows.column("shape").to_pylist()], gx, gy, cell)
+        # Sides on the cell's border carry their line's place: axis they run along, line, cell along it.
+        made = [(None, None, None, border)]
+        for axis, (at, along) in enumerate(((gy, gx), (gx, gy))):
+            for line in (at, at + 1):
+                on = (border[:, 1 - axis] == line * cell) & (border[:, 3 - axis] == line * cell)
+                made.append((axis, line, along, border[on]))
+                border = border[~on]
+        made[0] = (None, None, None, border)
+        made = [m for m in made if len(m[3])]
+        return pa.table({"grp": pa.array([rows.column("grp")[0].as_py()] * len(made), rows.schema.field("grp").type), **{n: pa.array([m[i] for m in made], pa.int64()) for i, n in enumerate(("axis", "line", "along"))}, "sides": pa.array([m[3].ravel().tolist() for m in made], _SIDES)})
+
+    def cancel(rows: pa.Table) -> pa.Table:
+        axis = rows.column("axis")[0].as_py()
+        left = k.cancelled(np.concatenate([np.array(v).reshape(-1, 4) for v in rows.column("sides").to_pylist()]), axis)
+        return rows.slice(0, 1).select(["grp"]).append_column("sides", pa.array([left.ravel().tolist()], _SIDES))
+
+    def link(rows: pa.Table) -> pa.Table:
+        every = np.concatenate([np.array(v, dtype=float).reshape(-1, 4) for v in rows.column("sides").to_pylist()])
+        whole = k.assemble([((a, b), (c, d)) for a, b, c, d in every.tolist()], cell)
+        return pa.table({group: rows.slice(0, 1).column("grp"), parts: pa.array([_points(whole)], _ARROW_PARTS)})
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = lambda d, *keys: d.repartition(n, *keys).groupBy(*keys)
+    united = components.stored(by(cut, "grp", "gx", "gy").applyInArrow(unite, f"grp {kind}, axis long, line long, along long, sides array<double>"), "united")
+    seams = by(united.where("axis IS NOT NULL"), "grp", "axis", "line", "along").applyInArrow(cancel, f"grp {kind}, sides array<double>")
+    outlines = united.where("axis IS NULL").select("grp", "sides").unionByName(seams)
+    return single.unionByName(by(outlines, "grp").applyInArrow(link, f"`{group}` {kind}, `{parts}` {_PARTS}"))
 
 
 def clip_to_areas(df: DataFrame, key: str, areas: DataFrame, cell: float, parts: str = "parts") -> DataFrame:
-    """key, parts: the footprints cut to the union of the areas (parts); those outside go. Only areas whose grid cells a footprint's box touches are tried on it."""
+    """key, parts: the footprints cut to the union of the areas (parts); those outside go.
+
+    Areas are covered by grid tiles. A footprint whose tiles are all inside passes untouched; one that also has border tiles gets those tiles' pieces of outlines, and is cut only if one of their sides comes near it.
+    """
     from . import spatial
 
-    a = spatial.with_bounds(areas.select("parts")).withColumn("area_id", F.monotonically_increasing_id())
+    tiles = spatial.area_tiles(areas.select("parts").withColumn("area_id", F.monotonically_increasing_id()), "area_id", cell)
+    inner = F.bool_or(F.col("rings").isNull())
+    tiles = tiles.groupBy("gx", "gy").agg(inner.alias("inner"), F.collect_list("rings").alias("pieces"))  # areas that meet in a tile
+    tiles = tiles.select("gx", "gy", "inner", F.when(F.col("inner"), F.array().cast("array<array<array<struct<x: double, y: double>>>>")).otherwise(F.col("pieces")).alias("pieces"))
     b = spatial.with_bounds(df.select(key, F.col(parts).alias("parts")))
-    grid = spatial.cells(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy"), cell)
-    near = b.select(key, F.inline(grid)).join(a.select("area_id", F.inline(grid)), ["gx", "gy"]).select(key, "area_id").distinct()
-    pairs = near.join(a.select("area_id", F.col("parts").alias("area")), "area_id").join(b.select(key, "parts"), key)
-    grouped = pairs.groupBy(key).agg(F.first("parts").alias("parts"), F.collect_list("area").alias("areas"))
+    on = b.select(key, F.size(grid := spatial.cells(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy"), cell)).alias("n"), F.inline(grid))
+    met = on.join(tiles, ["gx", "gy"]).groupBy(key, "n").agg(F.count_if("inner").alias("inside"), F.collect_list(F.struct("gx", "gy", "inner", "pieces")).alias("tiles"))
+    met = met.select(key, F.when(F.col("inside") < F.col("n"), F.col("tiles")).alias("tiles"))
+    both = b.select(key, "parts").join(met, key)
+    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+
+    def cut(shape: list, around: list) -> list:
+        mine = spatial.as_rings(shape)
+        areas = [[np.array([[t["gx"], t["gy"]], [t["gx"] + 1, t["gy"]], [t["gx"] + 1, t["gy"] + 1], [t["gx"], t["gy"] + 1]]) * cell] for t in around if t["inner"]]
+        areas += [rings for t in around for rings in spatial.as_rings(t["pieces"])]
+        every = np.concatenate([r for rings in mine for r in rings])
+        low, high = every.min(axis=0), every.max(axis=0)
+        ends = np.concatenate([np.stack([r, np.roll(r, -1, axis=0)], axis=1) for rings in areas for r in rings])
+        if not ((ends.max(axis=1) >= low) & (ends.min(axis=1) <= high)).all(axis=1).any():  # no outline near it: all in or all out
+            return shape if k._inside_any(every[:1], areas)[0] else []
+        return _points(k.overlay(mine, areas))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cut = [_points(k.overlay(_rings(p), [r for x in xs for r in _rings(x)])) for p, xs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.list_(pa.list_(pa.list_(point))))], names=[key, parts])
+            made = [cut(p, t) for p, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.list_(pa.list_(point))))], names=[key, parts])
 
     kind = df.schema[key].dataType.simpleString()
-    return grouped.mapInArrow(run, f"{key} {kind}, {parts} {_PARTS}").where(F.size(parts) > 0)
+    clipped = both.where("tiles IS NOT NULL").mapInArrow(run, f"`{key}` {kind}, `{parts}` {_PARTS}").where(F.size(parts) > 0)
+    return both.where("tiles IS NULL").select(key, F.col("parts").alias(parts)).unionByName(clipped)
 
 
 def repair(df: DataFrame, keys: list[str], parts: str = "parts") -> DataFrame:

@@ -62,7 +62,6 @@ def kmeans_each(df: DataFrame, x: str, ks: Iterable[int], restarts: int = 10, it
     All fits share one cached table, FITS of them at a time: each is a row of short jobs that leave most cores idle.
     """
     data = df.select(array_to_vector(F.col(x).cast("array<double>")).alias("features")).persist()
-    data.count()
 
     def one(job: tuple[int, int]) -> tuple[int, float, list[list[float]]]:
         k, r = job
@@ -72,11 +71,14 @@ def kmeans_each(df: DataFrame, x: str, ks: Iterable[int], restarts: int = 10, it
         return k, model.summary.trainingCost, [centres[c] for c in order]
 
     best: dict[int, tuple[float, list[list[float]]]] = {}
-    with ThreadPoolExecutor(FITS) as pool:
-        for k, cost, centres in pool.map(inheritable_thread_target(df.sparkSession)(one), [(k, r) for k in ks for r in range(restarts)]):
-            if k not in best or cost < best[k][0]:
-                best[k] = cost, centres
-    data.unpersist()
+    try:
+        data.count()
+        with ThreadPoolExecutor(FITS) as pool:
+            for k, cost, centres in pool.map(inheritable_thread_target(df.sparkSession)(one), [(k, r) for k in ks for r in range(restarts)]):
+                if k not in best or cost < best[k][0]:
+                    best[k] = cost, centres
+    finally:
+        data.unpersist()
     return {k: centres for k, (_, centres) in best.items()}
 
 

@@ -32,11 +32,15 @@ def connected(pairs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     links = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     links = stored(links, "links")
     labels = stored(links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
-    while True:
-        seen = links.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hop = labels.join(seen, "node").select("node", "label", F.least("label", "near").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        after = stored(hop.join(jump, "next", "left").select("node", F.col("label").alias("before"), F.least("next", F.coalesce("far", "next")).alias("label")), "labels")
+    def hop(now: DataFrame) -> DataFrame:
+        """node, label from node, label: the smallest label around, then that label's own."""
+        seen = links.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = now.join(seen, "node").select("node", F.least("label", "near").alias("next"))
+        jump = now.select(F.col("node").alias("next"), F.col("label").alias("far"))
+        return near.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("label"))
+
+    while True:  # two hops for each table that is written
+        after = stored(hop(hop(labels)).join(labels.select("node", F.col("label").alias("before")), "node"), "labels")
         if after.where("label <> before").isEmpty():
             break
         labels = after.select("node", "label")

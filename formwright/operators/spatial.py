@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formwright.functions import geometry as g
+from formwright.functions import kernels as k
+
+_RINGS = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
 
 
 def cells(low_x: Column, low_y: Column, high_x: Column, high_y: Column, size: float) -> Column:
@@ -36,17 +39,41 @@ def total_bounds(df: DataFrame, pad: float = 0.0, parts: str = "parts") -> DataF
     return b.agg((F.min("minx") - pad).alias("minx"), (F.min("miny") - pad).alias("miny"), (F.max("maxx") + pad).alias("maxx"), (F.max("maxy") + pad).alias("maxy"))
 
 
+def as_rings(parts: list | None) -> list[list[np.ndarray]]:
+    """A footprint's parts, as Arrow gives them, as arrays of points."""
+    return [[np.array([[p["x"], p["y"]] for p in r], dtype=float).reshape(-1, 2) for r in part] for part in parts or []]
+
+
+def area_tiles(areas: DataFrame, key: str, cell: float, parts: str = "parts") -> DataFrame:
+    """key, gx, gy, rings: the grid tiles that each area covers. rings is null for a tile wholly inside, else the piece of the outline within the tile (even-odd).
+
+    So no outline is copied to what it is compared with: what lies in an inner tile needs no test, and a border tile's piece is as long as the outline is there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, area in zip(batch.column(0), batch.column(1), strict=True):
+                rows = [(*t[:4], None if t[4] is None else [[{"x": x, "y": y} for x, y in r.tolist()] for r in t[4]]) for t in k.area_tiles(as_rings(area.as_py()), cell)]
+                for at in range(0, len(rows), 1_000):
+                    columns = list(zip(*rows[at : at + 1_000], strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array([one.as_py()] * len(columns[0]), batch.schema.field(0).type), *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], _RINGS)], names=[key, "gx0", "gx1", "gy0", "gy1", "rings"])
+
+    kind = areas.schema[key].dataType.simpleString()
+    blocks = areas.select(key, parts).mapInArrow(run, f"`{key}` {kind}, gx0 long, gx1 long, gy0 long, gy1 long, rings array<array<struct<x: double, y: double>>>")
+    columns = blocks.select(key, F.explode(F.sequence("gx0", F.col("gx1") - 1)).alias("gx"), "gy0", "gy1", "rings")
+    return columns.select(key, "gx", F.explode(F.sequence("gy0", F.col("gy1") - 1)).alias("gy"), "rings")
+
+
 def points_within(points: DataFrame, areas: DataFrame, point_id: str, area_id: str, cell: float, order: str | None = None) -> DataFrame:
     """point_id, area_id: the first area (by `order`, or area_id) that holds each point; points in none are dropped.
 
-    points: point_id, x, y. areas: area_id, parts. An area's holes are outside it. Cells bound how many candidates a point has, and points of a crowded cell spread by AQE.
+    points: point_id, x, y. areas: area_id, parts. An area's holes are outside it. A point meets only what areas have of its grid tile: inner tiles hold it without a test, border tiles by their piece of the outline. Points of a crowded tile spread by AQE.
     """
-    a = with_bounds(areas).withColumn("_order", F.col(order or area_id))
-    a = a.select(F.col(area_id), "parts", "_order", F.inline(cells(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy"), cell)))
+    tiles = area_tiles(areas, area_id, cell)
+    ranked = tiles.join(areas.select(area_id, F.col(order).alias("_order")), area_id) if order else tiles.withColumn("_order", F.col(area_id))
     p = points.select(F.col(point_id), "x", "y", F.floor(F.col("x") / cell).cast("long").alias("gx"), F.floor(F.col("y") / cell).cast("long").alias("gy"))
-    hits = lambda rings: F.aggregate(rings, F.lit(0), lambda n, r: n + F.when(g.contains(r, F.col("x"), F.col("y")), 1).otherwise(0))
-    inside = F.exists("parts", lambda rings: hits(rings) % 2 == 1)
-    found = p.join(a, ["gx", "gy"]).where(inside)
+    hits = F.aggregate("rings", F.lit(0), lambda n, r: n + F.when(g.contains(r, F.col("x"), F.col("y")), 1).otherwise(0))
+    found = p.join(ranked, ["gx", "gy"]).where(F.col("rings").isNull() | (hits % 2 == 1))
     return found.groupBy(point_id).agg(F.min_by(area_id, F.struct("_order", area_id)).alias(area_id))
 
 
@@ -63,54 +90,83 @@ def pairs_within(points: DataFrame, point_id: str, distance: float, group: list[
     return left.join(right, [*group, "gx", "gy"]).where("a < b").withColumn("dist", dist).where(F.col("dist") <= distance).select(*group, "a", "b", "dist")
 
 
-def _sides(rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the sides of a part's rings, shell and holes."""
-    return np.concatenate(rings), np.concatenate([np.roll(r, -1, axis=0) for r in rings])
+def on_side_cells(rows: DataFrame, distance: float, size: float) -> DataFrame:
+    """rows (ax, ay, bx, by) with gx and gy: a row for each grid cell that the side a to b, grown by distance, may touch: those of its box whose square lies near enough to its line."""
+    grown = distance * (1 + 1e-9) + 1e-9
+    at = lambda f, v, sign: F.expr(f"CAST(floor(({f}(a{v}, b{v}) {sign} {grown!r}D) / {size!r}D) AS BIGINT)")
+    dealt = rows.withColumns({"_x0": at("least", "x", "-"), "_x1": at("greatest", "x", "+"), "_y0": at("least", "y", "-"), "_y1": at("greatest", "y", "+")})
+    columns = dealt.select("*", F.explode(F.expr("sequence(_x0, _x1)")).alias("gx"))
+    tiles = columns.select("*", F.explode(F.expr("sequence(_y0, _y1)")).alias("gy"))
+    off = f"abs((bx - ax) * ((gy + 0.5D) * {size!r}D - ay) - (by - ay) * ((gx + 0.5D) * {size!r}D - ax))"
+    reach = f"({size / 2!r}D * (abs(bx - ax) + abs(by - ay)) + {grown!r}D * sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))) * (1 + 1e-9D) + 1e-6D"
+    return tiles.where(f"{off} <= {reach}").select(*rows.columns, "gx", "gy")
+
 
+def sides(footprints: DataFrame, key: str, parts: str = "parts") -> DataFrame:
+    """key, ax, ay, bx, by: a row for each side of all rings."""
+    each = F.flatten(F.transform(F.flatten(F.col(parts)), g.edges))
+    return footprints.select(key, F.explode(each).alias("s")).select(key, *[F.col(f"s.{e}.{v}").alias(f"{e}{v}") for e in "ab" for v in "xy"])
 
-def _meets(p: tuple[np.ndarray, np.ndarray], q: tuple[np.ndarray, np.ndarray], distance: float) -> bool:
-    """Whether two parts, given by their sides, come within distance: sides crossing, one inside the other (even-odd, so not in a hole of it), or a corner near a side."""
 
-    def inside(pt: np.ndarray, s: np.ndarray, e: np.ndarray) -> bool:
-        across = (s[:, 1] > pt[1]) != (e[:, 1] > pt[1])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return bool((across & (pt[0] < (e[:, 0] - s[:, 0]) * (pt[1] - s[:, 1]) / (e[:, 1] - s[:, 1]) + s[:, 0])).sum() % 2)
+def _sides_meet(distance: float) -> str:
+    """Whether the sides (ax, ay)-(bx, by) and (cx, cy)-(dx, dy) cross, or an end of one comes within distance of the other."""
+    turn = lambda o, u, v: f"(({u}x - {o}x) * ({v}y - {o}y) - ({u}y - {o}y) * ({v}x - {o}x))"
 
-    (a, b), (c, d) = p, q
-    if inside(a[0], c, d) or inside(c[0], a, b):
-        return True
-    side = lambda o, u, v: (u[..., 0] - o[..., 0]) * (v[..., 1] - o[..., 1]) - (u[..., 1] - o[..., 1]) * (v[..., 0] - o[..., 0])
-    A, B, C, D = a[:, None], b[:, None], c[None], d[None]
-    if ((side(A, B, C) * side(A, B, D) < 0) & (side(C, D, A) * side(C, D, B) < 0)).any():
-        return True
+    def near(p: str, s: str, e: str) -> str:
+        dx, dy = f"({e}x - {s}x)", f"({e}y - {s}y)"
+        t = f"least(greatest((({p}x - {s}x) * {dx} + ({p}y - {s}y) * {dy}) / greatest({dx} * {dx} + {dy} * {dy}, 1e-300D), 0D), 1D)"
+        x, y = f"({s}x + {t} * {dx} - {p}x)", f"({s}y + {t} * {dy} - {p}y)"
+        return f"sqrt({x} * {x} + {y} * {y}) <= {distance!r}D"
 
-    def near(pts: np.ndarray, s: np.ndarray, e: np.ndarray) -> float:
-        v = e - s
-        n = np.maximum((v * v).sum(axis=1), 1e-300)
-        t = np.clip(((pts[:, None] - s[None]) * v[None]).sum(axis=2) / n, 0, 1)
-        return float(np.sqrt((((s[None] + t[..., None] * v[None]) - pts[:, None]) ** 2).sum(axis=2)).min())
+    cross = f"({turn('a', 'b', 'c')} * {turn('a', 'b', 'd')} < 0 AND {turn('c', 'd', 'a')} * {turn('c', 'd', 'b')} < 0)"
+    return " OR ".join([cross, near("a", "c", "d"), near("b", "c", "d"), near("c", "a", "b"), near("d", "a", "b")])
 
-    return min(near(a, c, d), near(c, a, b)) <= distance
+
+def box_pairs(footprints: DataFrame, key: str, distance: float, cell: float) -> DataFrame:
+    """a < b: pairs of footprints whose boxes come within distance of each other, each once; only keys and bounds are shuffled."""
+    low, high = ("minx", "miny"), ("maxx", "maxy")
+    grown = distance * (1 + 1e-9) + 1e-9
+    b = with_bounds(footprints).select(F.col(key).alias("k"), *low, *high)
+    # The cell of the grown corner is a column of its own: a pair counts in the greater of two such, the same integers by which it was dealt.
+    b = b.select("*", *[F.floor((F.col(c) - grown) / cell).cast("long").alias(f"c{c[-1]}") for c in low])
+    last = [F.floor((F.col(c) + grown) / cell).cast("long") for c in high]
+    b = b.select("*", F.explode(F.sequence("cx", last[0])).alias("gx"), F.sequence("cy", last[1]).alias("ys")).select("*", F.explode("ys").alias("gy")).drop("ys")
+    l, r = (b.select("gx", "gy", *[F.col(c).alias(f"{c}_{n}") for c in ("k", *low, *high, "cx", "cy")]) for n in "ab")
+    near = [(F.col(f"min{v}_a") - grown <= F.col(f"max{v}_b")) & (F.col(f"min{v}_b") - grown <= F.col(f"max{v}_a")) for v in "xy"]
+    once = (F.col("gx") == F.greatest("cx_a", "cx_b")) & (F.col("gy") == F.greatest("cy_a", "cy_b"))
+    return l.join(r, ["gx", "gy"]).where("k_a < k_b").where(near[0] & near[1] & once).select(F.col("k_a").alias("a"), F.col("k_b").alias("b"))
 
 
 def touching_pairs(footprints: DataFrame, key: str, distance: float = 0.0, cell: float = 100.0) -> DataFrame:
-    """a < b: pairs of footprints that come within distance of each other (0: share a point). What stands free in a courtyard does not touch the building around it."""
-    b = with_bounds(footprints).select(F.col(key), "parts", *[F.col(c) for c in ("minx", "miny", "maxx", "maxy")])
-    grown = b.select(key, "parts", "minx", "miny", "maxx", "maxy", F.inline(cells(F.col("minx") - distance, F.col("miny") - distance, F.col("maxx") + distance, F.col("maxy") + distance, cell)))
-    l, r = (grown.select(F.col(key).alias(k), F.col("parts").alias(f"parts_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in ("minx", "miny", "maxx", "maxy")], "gx", "gy") for k in ("a", "b"))
-    boxes = l.join(r, ["gx", "gy"]).where("a < b").where((F.col("minx_a") - distance <= F.col("maxx_b")) & (F.col("minx_b") - distance <= F.col("maxx_a")) & (F.col("miny_a") - distance <= F.col("maxy_b")) & (F.col("miny_b") - distance <= F.col("maxy_a")))
-    # A pair meets in every cell that both touch: it counts in the first of them only.
-    first = (F.col("gx") == F.floor(F.greatest(F.col("minx_a"), F.col("minx_b")) / cell - distance / cell)) & (F.col("gy") == F.floor(F.greatest(F.col("miny_a"), F.col("miny_b")) / cell - distance / cell))
-    pairs = boxes.where(first).select("a", "b", "parts_a", "parts_b")
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = lambda parts: [_sides([np.array([[p["x"], p["y"]] for p in ring]) for ring in part]) for part in parts]
-        for batch in batches:
-            good = [any(_meets(x, y, distance) for x in p for y in q) for p, q in zip(map(sides, batch.column(2).to_pylist()), map(sides, batch.column(3).to_pylist()), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+    """a < b: pairs of footprints that come within distance of each other (0: share a point). What stands free in a courtyard does not touch the building around it.
 
-    kind = footprints.schema[key].dataType.simpleString()
-    return pairs.mapInArrow(test, f"a {kind}, b {kind}")
+    First keys and boxes alone give candidate pairs. For those there is an index over sides: each side goes to the grid cells near its line, the sides of a grown by the distance, so two sides within it
+    share a cell whatever the rounding. Where no sides meet, one footprint can only hold a part of the other whole: a point of each part is tested. All are column expressions; whole shapes move only for the last test.
+    """
+    from .components import stored
+
+    distance, cell = float(distance), float(cell)
+    pairs = stored(box_pairs(footprints, key, distance, cell), "box-pairs")
+    ends = ("ax", "ay", "bx", "by")
+
+    def index(name: str, names: tuple, by: float) -> DataFrame:
+        wanted = footprints.select(F.col(key).alias(name), "parts").join(pairs.select(name).distinct(), name, "left_semi")
+        return on_side_cells(sides(wanted, name), by, cell).select(F.col(name), *[F.col(c).alias(n) for c, n in zip(ends, names, strict=True)], "gx", "gy")
+
+    l, r = index("a", ends, distance), index("b", ("cx", "cy", "dx", "dy"), 0.0)
+    slack = distance * (1 + 1e-9) + 1e-9
+    boxes = " AND ".join(f"greatest(a{v}, b{v}) + {slack!r}D >= least(c{v}, d{v}) AND greatest(c{v}, d{v}) + {slack!r}D >= least(a{v}, b{v})" for v in "xy")
+    sides_near = pairs.join(l, "a").join(r, ["b", "gx", "gy"]).where(boxes)
+    meet = stored(sides_near.where(_sides_meet(distance)).select("a", "b").distinct(), "meeting")
+    apart = pairs.join(meet, ["a", "b"], "left_anti")
+    both = apart.select(F.col("a").alias("held"), F.col("b").alias("whole")).unionByName(apart.select(F.col("b").alias("held"), F.col("a").alias("whole")))
+    corner = F.transform("parts", lambda part: part[0][0])
+    points = footprints.select(F.col(key).alias("held"), F.explode(corner).alias("p")).select("held", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    box = with_bounds(footprints).select(F.col(key).alias("whole"), "minx", "miny", "maxx", "maxy")
+    boxed = both.join(points, "held").join(box, "whole").where(F.col("x").between(F.col("minx"), F.col("maxx")) & F.col("y").between(F.col("miny"), F.col("maxy")))
+    inside = F.exists("parts", lambda rings: F.aggregate(rings, F.lit(0), lambda n, r: n + F.when(g.contains(r, F.col("x"), F.col("y")), 1).otherwise(0)) % 2 == 1)
+    held = boxed.select("held", "whole", "x", "y").join(footprints.select(F.col(key).alias("whole"), "parts"), "whole").where(inside)
+    return meet.unionByName(held.select(F.least("held", "whole").alias("a"), F.greatest("held", "whole").alias("b")).distinct())
 
 
 def squared_distances(values: Column, centres: list[list[float]]) -> Column:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formwright.config import Config, load
+from formwright.config import CLASS_NAMES, Config, load
 from formwright.operators import classifier as gc
 from formwright.operators import cleaning, components, graphs, shapes, spatial, transfer
 from formwright.operators import clustering as cl
@@ -63,7 +63,7 @@ def build(run: Run, buildings: DataFrame, parcels: DataFrame) -> None:
     c = run.config.graph
     labels = run.put("labels", st.label_index(parcels, "label"))
     b = cleaning.big_enough(buildings.join(parcels.select("block_id"), "block_id", "left_semi"), "block_id", c.min_buildings_per_block)
-    b = components.stored(b.join(F.broadcast(parcels.select("block_id", F.col("label").cast("string").alias("label"))), "block_id"), "kept")
+    b = components.stored(b.join(parcels.select("block_id", F.col("label").cast("string").alias("label")), "block_id"), "kept")
     centres = components.stored(shapes.measured(b).select("block_id", F.col("building_id").alias("node"), F.col("cx").alias("x"), F.col("cy").alias("y")), "centres")
     cover = graphs.voronoi_cells(centres, parcels).select(F.col("node").alias("building_id"), "cell_area")
     feats = shapes.building_features(b, ["building_id"], cover)
@@ -131,8 +131,8 @@ def cluster(run: Run) -> None:
     key = components.stored(st.fill_with_median(key, names).withColumn("x", cl.matrix(key, names)), "key")
     mean, axes = cl.pca(key, "x", len(names))
     placed = components.stored(key.withColumn("e", cl.project(F.col("x"), mean, axes)), "placed")
-    search = run.put("k_search", cl.search_k(placed, "building_id", "e", "x", range(c.min_k, c.max_k + 1), restarts=2, most=c.k_search_max_samples))
-    centres = cl.kmeans(placed, "e", cl.best_k(search).first().k, restarts=3)
+    search = run.put("k_search", cl.search_k(placed, "building_id", "e", "x", range(c.min_k, c.max_k + 1), most=c.k_search_max_samples))
+    centres = cl.kmeans(placed, "e", cl.best_k(search).first().k)
     typed = placed.join(spatial.nearest(placed, ["building_id"], F.col("e"), centres).select("building_id", (F.col("nearest") + 1).alias("kind")), "building_id")
     typed = run.put("key_types", typed.select("building_id", "block_id", "label", "kind", "e", *names))
     z = components.stored(cl.type_zmeans(typed, "kind", names), "z")
@@ -146,7 +146,7 @@ def cluster(run: Run) -> None:
 def types(run: Run) -> DataFrame:
     """Every parcel dominated by one type, or diverse."""
     p = run.config.parcel_types
-    homes = pt.is_residential(F.col("label"), list(p.residential_names), {})
+    homes = pt.is_residential(F.col("label"), list(p.residential_names), CLASS_NAMES)
     out = run.put("parcel_types", pt.parcel_types(run.get("types"), "block_id", "kind", "label", "row_pos", homes, p.general_threshold, p.residential_threshold, p.min_buildings))
     run.put("config_counts", pt.config_counts(out))
     return out

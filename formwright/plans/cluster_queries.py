@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from formwright.config import Clustering
+from formwright.config import CLASS_NAMES, Clustering
 from formwright.operators import clustering as cl
 from formwright.operators import explaining as ex
-from formwright.operators import layout as lo
 from formwright.operators import parcel_types as pt
 from formwright.operators import spatial
 
@@ -69,20 +68,6 @@ def k_search(spark, sf_dir):
     return out.select("k", F.round("score", 4).alias("score"), F.round("largest_frac", 4).alias("largest_frac"))
 
 
-@query()
-def neighbour_layout(spark, sf_dir):
-    """Every row placed in two dimensions among its neighbours."""
-    out = lo.embed(vectors(spark, sf_dir), "vec_id", "x", epochs=50, most=2_000)
-    return out.select("vec_id", F.round("embed_x", 3).alias("embed_x"), F.round("embed_y", 3).alias("embed_y"))
-
-
-@query()
-def layout_scan(spark, sf_dir):
-    """The best K of each pair of layout parameters, and of those the best that is sound."""
-    grid = lo.scan(vectors(spark, sf_dir), "vec_id", "x", [4, 5, 6], epochs=30, restarts=2, most=1_000)
-    return cl.guarded_best(grid.select("n_neighbors", "min_dist", "k", F.round("score", 4).alias("score"), F.round("largest_frac", 4).alias("largest_frac")))
-
-
 @query(f"""WITH {_E}, d AS (SELECT vec_id, x[1] - avg(x[1]) OVER () AS a, x[2] - avg(x[2]) OVER () AS b FROM e), c AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb FROM d),
 l AS (SELECT *, (aa + bb) / 2 + sqrt((aa - bb) * (aa - bb) / 4 + ab * ab) AS top FROM c), u AS (SELECT ab / sqrt(ab * ab + (top - aa) * (top - aa)) AS vx, (top - aa) / sqrt(ab * ab + (top - aa) * (top - aa)) AS vy FROM l)
 SELECT vec_id, round((a * vx + b * vy) * sign(CASE WHEN abs(vx) >= abs(vy) THEN vx ELSE vy END), 6) AS score FROM d, u""")
@@ -167,8 +152,8 @@ _W = f"{BLD}, w AS (SELECT building_id, block_id, CASE WHEN (building_id * 31) %
 
 @query(f"""WITH {_W}, c AS (SELECT block_id, kind, count(*) AS n, min(building_id) AS first, any_value(level) AS level FROM w GROUP BY block_id, kind),
 r AS (SELECT *, sum(n) OVER (PARTITION BY block_id) AS total, row_number() OVER (PARTITION BY block_id ORDER BY n DESC, first) AS k FROM c)
-SELECT block_id, (level::INT || '.0') AS level1, total::BIGINT AS num_buildings, kind AS dominant_type, n AS dominant_count, round_even(n::DOUBLE / total, 4) AS dominant_frac, level = 2 AS is_residential,
-  CASE WHEN level = 2 THEN 0.6 ELSE 0.5 END::DOUBLE AS threshold_used, CASE WHEN n >= 2 AND n::DOUBLE / total > CASE WHEN level = 2 THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END THEN 'dominant' ELSE 'diverse' END AS config_type FROM r WHERE k = 1""")
+SELECT block_id, (level::INT || '.0') AS level1, total::BIGINT AS num_buildings, kind AS dominant_type, n AS dominant_count, round_even(n::DOUBLE / total, 4) AS dominant_frac, level = 1 AS is_residential,
+  CASE WHEN level = 1 THEN 0.6 ELSE 0.5 END::DOUBLE AS threshold_used, CASE WHEN n >= 2 AND n::DOUBLE / total > CASE WHEN level = 1 THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END THEN 'dominant' ELSE 'diverse' END AS config_type FROM r WHERE k = 1""")
 def plot_config(spark, sf_dir):
     """Each parcel dominated by one type or diverse; homes need a larger share."""
     return _plots(spark, sf_dir)
@@ -177,12 +162,12 @@ def plot_config(spark, sf_dir):
 def _plots(spark, sf_dir):
     b = buildings(spark, sf_dir).drop("parts").join(parcels(spark, sf_dir).select("block_id", F.col("level1").cast("string").alias("level1")), "block_id")
     kind = F.when((F.col("building_id") * 31) % 10 < 4 + F.col("block_id") % 4, 1 + F.col("block_id") % 3).otherwise(1 + F.col("building_id") % 7)
-    homes = pt.is_residential(F.col("level1"), ["居住"], {1.0: "商业", 2.0: "居住", 3.0: "工业", 4.0: "交通", 5.0: "公共"})
+    homes = pt.is_residential(F.col("level1"), ["居住"], CLASS_NAMES)
     return pt.parcel_types(b.withColumn("kind", kind), "block_id", "kind", "level1", "row_pos", homes)
 
 
 @query(f"""WITH {_W}, c AS (SELECT block_id, kind, count(*) AS n, any_value(level) AS level FROM w GROUP BY block_id, kind), r AS (SELECT block_id, max(n) AS n, sum(n) AS total, any_value(level) AS level FROM c GROUP BY block_id)
-SELECT CASE WHEN n >= 2 AND n::DOUBLE / total > CASE WHEN level = 2 THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END THEN 'dominant' ELSE 'diverse' END AS config_type, count(*) AS n FROM r GROUP BY 1""")
+SELECT CASE WHEN n >= 2 AND n::DOUBLE / total > CASE WHEN level = 1 THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END THEN 'dominant' ELSE 'diverse' END AS config_type, count(*) AS n FROM r GROUP BY 1""")
 def config_type_counts(spark, sf_dir):
     """How many parcels of each kind."""
     return pt.config_counts(_plots(spark, sf_dir))

@@ -147,20 +147,6 @@ def test_shapefile_round_trip(spark, tmp_path):
     assert row.attributes == {"name": "tower"} and len(row.parts[0][0]) == 4
 
 
-def test_layout_keeps_neighbours():
-    from formwright.operators import layout as lo
-
-    rng = np.random.default_rng(0)
-    x = np.concatenate([rng.standard_normal((40, 6)) + 8 * c for c in range(4)])
-    at = lo.layout(x, 10, 0.1, 60)
-    group = np.repeat(np.arange(4), 40)
-    assert (group[lo.neighbours(at, at, 6)[0][:, 1:]] == group[:, None]).mean() > 0.95
-    label = lo.lloyd(at, 4, 5)
-    assert len({tuple(sorted(np.flatnonzero(label == c) // 40)) for c in range(4)}) == 4 and lo.mean_silhouette(x, label) > 0.5
-    a, b = lo.curve(0.1)
-    assert a == pytest.approx(1.577, abs=0.05) and b == pytest.approx(0.895, abs=0.03)
-
-
 def test_overlay_areas():
     from formwright.functions import kernels as k
 
