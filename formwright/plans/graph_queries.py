@@ -88,11 +88,23 @@ def _block_centres(spark, sf_dir):
     return points(spark, sf_dir).select("block_id", "node", (F.col("x") + SIDE * (F.col("block_id") % 5)).alias("x"), (F.col("y") + SIDE * F.floor(F.col("block_id") / 5)).alias("y"))
 
 
-@query(f"""WITH {BLD} SELECT block_id, count(*) AS n_nodes, {SIDE * SIDE}::DOUBLE AS total_area, TRUE AS within FROM bld GROUP BY block_id""")
+@query(f"""WITH {_EDGES}, p AS (SELECT block_id, node, x::DOUBLE + {SIDE} * (block_id % 5) AS x, y::DOUBLE + {SIDE} * (block_id // 5) AS y FROM pts),
+near AS (SELECT block_id, a AS i, b AS j FROM edge UNION ALL SELECT block_id, b, a FROM edge),
+box AS (SELECT block_id, node, unnest([0, 1, 2, 3]) AS k, {SIDE} * (block_id % 5) AS x0, {SIDE} * (block_id // 5) AS y0 FROM p),
+line AS (SELECT i, q.x - p.x AS nx, q.y - p.y AS ny, (q.x * q.x + q.y * q.y - p.x * p.x - p.y * p.y) / 2 AS c FROM near JOIN p ON p.node = i JOIN p q ON q.node = j
+  UNION ALL SELECT node, [-1, 1, 0, 0][k + 1], [0, 0, -1, 1][k + 1], [-x0, x0 + {SIDE}, -y0, y0 + {SIDE}][k + 1] FROM box),
+meet AS (SELECT a.i, a.nx, a.ny, a.c, -a.ny AS dx, a.nx AS dy, a.c * a.nx / (a.nx * a.nx + a.ny * a.ny) AS px, a.c * a.ny / (a.nx * a.nx + a.ny * a.ny) AS py, b.nx AS mx, b.ny AS my, b.c AS d FROM line a JOIN line b ON a.i = b.i AND (a.nx, a.ny, a.c) <> (b.nx, b.ny, b.c)),
+span AS (SELECT i, nx, ny, c, px * dy - py * dx AS area2, max(CASE WHEN mx * dx + my * dy < -1e-12 THEN (d - mx * px - my * py) / (mx * dx + my * dy) ELSE -1e18 END) AS lo,
+  min(CASE WHEN mx * dx + my * dy > 1e-12 THEN (d - mx * px - my * py) / (mx * dx + my * dy) WHEN abs(mx * dx + my * dy) <= 1e-12 AND d - mx * px - my * py < -1e-9 THEN -1e19 ELSE 1e18 END) AS hi
+  FROM meet GROUP BY i, nx, ny, c, px, py, dx, dy),
+cell AS (SELECT i AS node, sum(CASE WHEN hi > lo THEN area2 * (hi - lo) ELSE 0 END) / 2 AS area FROM span GROUP BY i),
+same AS (SELECT block_id, x0, y0, count(*) AS n, min(building_id) AS node FROM bld GROUP BY ALL), few AS (SELECT block_id, count(*) AS n FROM same GROUP BY block_id)
+SELECT b.block_id, b.building_id AS node, round(CASE WHEN few.n < 4 THEN {SIDE * SIDE}::DOUBLE / few.n ELSE cell.area END / same.n, 3) AS cell_area
+FROM bld b JOIN same ON same.block_id = b.block_id AND same.x0 = b.x0 AND same.y0 = b.y0 JOIN few ON few.block_id = b.block_id LEFT JOIN cell ON cell.node = same.node""")
 def voronoi_cover(spark, sf_dir):
-    """Cells of a block's buildings: together they are the parcel, and none exceeds it."""
+    """The cell of each building in its parcel; the SQL measures every cell from the spans of its own border lines."""
     cells = graphs.voronoi_cells(_block_centres(spark, sf_dir), parcels(spark, sf_dir))
-    return cells.groupBy("block_id").agg(F.count("*").alias("n_nodes"), F.round(F.sum("cell_area"), 2).alias("total_area"), ((F.min("cell_area") > 0) & (F.max("cell_area") <= SIDE * SIDE)).alias("within"))
+    return cells.select("block_id", "node", F.round("cell_area", 3).alias("cell_area"))
 
 
 _X = f"""{_PAIRS}, feat AS (SELECT block_id, building_id AS node, ((building_id * 31) % 17)::DOUBLE / 16 AS f0, ((building_id * 7) % 13)::DOUBLE / 12 AS f1 FROM bld),

@@ -131,16 +131,46 @@ def enclosing_circle_dcm(spark, sf_dir):
     return rounded(shapes.hull_features(buildings(spark, sf_dir), ["building_id"]), "dcm", digits=5).select("building_id", "dcm")
 
 
-@query()
+#: The share of the circle of equal area that an L-shape covers, by its width and height: the border of the common area is what of each border lies inside the other.
+_EXCHANGE = """
+g AS (SELECT DISTINCT w, h, 5 * w / 12 AS cx, 5 * h / 12 AS cy, sqrt(0.75 * w * h / pi()) AS r FROM bld),
+arc AS (SELECT w, h, k, cx + r * cos(2 * pi() * k / 256) AS px, cy + r * sin(2 * pi() * k / 256) AS py, r * (cos(2 * pi() * (k + 1) / 256) - cos(2 * pi() * k / 256)) AS vx, r * (sin(2 * pi() * (k + 1) / 256) - sin(2 * pi() * k / 256)) AS vy FROM g, range(256) AS t(k)),
+el AS (SELECT w, h, i, fx * w AS ax, fy * h AS ay, gx * w AS dx, gy * h AS dy FROM g, (VALUES (0, 0::DOUBLE, 0::DOUBLE, 1::DOUBLE, 0::DOUBLE), (1, 1, 0, 0, 0.5), (2, 1, 0.5, -0.5, 0), (3, 0.5, 0.5, 0, 0.5), (4, 0.5, 1, -0.5, 0), (5, 0, 1, 0, -1)) AS t(i, fx, fy, gx, gy)),
+cut AS (SELECT w, h, i, ax * dy - ay * dx AS area2, vx * (ay - py) - vy * (ax - px) AS c0, vx * dy - vy * dx AS c1 FROM el JOIN arc USING (w, h)),
+shell AS (SELECT w, h, any_value(area2) * greatest(0, least(1, min(CASE WHEN c1 < 0 THEN -c0 / c1 WHEN c1 = 0 AND c0 < 0 THEN -1 ELSE 1 END)) - greatest(0, max(CASE WHEN c1 > 0 THEN -c0 / c1 ELSE 0 END))) AS part FROM cut GROUP BY w, h, i),
+rim AS (SELECT w, h, px * vy - py * vx AS area2, CASE WHEN vx > 0 THEN (x1 - px) / vx WHEN vx < 0 THEN (x2 - px) / vx ELSE 0 END AS t1, CASE WHEN vx > 0 THEN (x2 - px) / vx WHEN vx < 0 THEN (x1 - px) / vx ELSE 1 END AS t2,
+  CASE WHEN vy > 0 THEN (y1 - py) / vy WHEN vy < 0 THEN (y2 - py) / vy ELSE 0 END AS t3, CASE WHEN vy > 0 THEN (y2 - py) / vy WHEN vy < 0 THEN (y1 - py) / vy ELSE 1 END AS t4
+  FROM (SELECT *, 0 AS x1, w AS x2, 0 AS y1, h / 2 AS y2 FROM arc UNION ALL SELECT *, 0, w / 2, h / 2, h FROM arc)),
+common AS (SELECT w, h, sum(part) / 2 AS area FROM (SELECT w, h, part FROM shell UNION ALL SELECT w, h, area2 * greatest(0, least(1, t2, t4) - greatest(0, t1, t3)) FROM rim) GROUP BY w, h),
+exchange AS (SELECT w, h, 1 - common.area / (r * r * 128 * sin(2 * pi() / 256)) AS exchange_index FROM common JOIN g USING (w, h))"""
+
+
+@query(f"""WITH {VTX}, {_EXCHANGE},
+rad AS (SELECT building_id, area, x - cx AS dx, y - cy AS dy, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS d FROM vtx JOIN shape USING (building_id)),
+tot AS (SELECT *, sum(d) OVER (PARTITION BY building_id) AS total, count(*) OVER (PARTITION BY building_id) AS n FROM rad),
+stat AS (SELECT building_id, avg(d) AS mean_radius, sqrt(any_value(area) / pi()) / max(d) AS max_circularity, sum(abs(100 * d / total - 100.0::DOUBLE / n)) AS bci, sum(dx * dy) AS cross_moment_mu11, (sum(dx * dx) + sum(dy * dy)) / count(*) AS variance_spreading FROM tot GROUP BY building_id),
+turn AS (SELECT building_id, sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) AS len, CASE WHEN atan2(y2 - y, x2 - x) < 0 THEN atan2(y2 - y, x2 - x) + pi() ELSE atan2(y2 - y, x2 - x) END AS a FROM side),
+lean AS (SELECT building_id, sum(len * CASE WHEN a >= pi() THEN 0 ELSE a END) / sum(len) AS weighted_orientation FROM turn GROUP BY building_id),
+hullv AS (SELECT building_id, i, x, y FROM vtx WHERE i <> 3),
+hs AS (SELECT *, coalesce(lead(x) OVER v, first_value(x) OVER v) AS x2, coalesce(lead(y) OVER v, first_value(y) OVER v) AS y2 FROM hullv WINDOW v AS (PARTITION BY building_id ORDER BY i)),
+ext AS (SELECT d.building_id, d.i, any_value(t) AS t, max(cos(t) * x + sin(t) * y) - min(cos(t) * x + sin(t) * y) AS u, max(-sin(t) * x + cos(t) * y) - min(-sin(t) * x + cos(t) * y) AS v FROM (SELECT building_id, i, atan2(y2 - y, x2 - x) AS t FROM hs) d JOIN hullv p ON p.building_id = d.building_id GROUP BY d.building_id, d.i),
+box AS (SELECT building_id, arg_min({{'t': CASE WHEN u >= v THEN t ELSE t + pi() / 2 END, 'e': greatest(u, v) / least(u, v)}}, {{'a': round(u * v, 9), 'i': i}}) AS m FROM ext GROUP BY building_id),
+chord AS (SELECT building_id, sqrt(w * w + h * h) AS c, atan2(h, -w) AS a FROM bld),
+across AS (SELECT building_id, any_value(c) AS c, any_value(a) AS a, (max(-sin(a) * x + cos(a) * y) - min(-sin(a) * x + cos(a) * y)) / any_value(c) AS ellipticity FROM vtx JOIN chord USING (building_id) GROUP BY building_id)
+SELECT building_id, block_id, round(area, 6) AS area, round(perimeter, 6) AS perimeter, round(c, 6) AS longest_chord, round(mean_radius, 6) AS mean_radius, 1.0::DOUBLE AS covered_area_ratio,
+  round(CASE WHEN m.t - pi() * floor(m.t / pi()) >= pi() THEN 0 ELSE m.t - pi() * floor(m.t / pi()) END, 6) AS sbro, round(across.a, 6) AS lco, round(pi() / 4, 6) AS bisector_orientation, round(weighted_orientation, 6) AS weighted_orientation,
+  round(perimeter / area, 6) AS complexity_index, round(4 * pi() * area / (perimeter * perimeter), 6) AS ipq, round(1 - ln(area) / (2 * ln(perimeter)), 6) AS fractality, round(max_circularity, 6) AS max_circularity, round(4 * area / (pi() * c * c), 6) AS gibbs_compactness,
+  round(m.e, 6) AS elongation_index, round(ellipticity, 6) AS ellipticity, round(area / (w * h * 7 / 8), 6) AS solidity, round(4 * area / (pi() * c * c), 6) AS dcm, round(exchange_index, 6) AS exchange_index, round(bci, 6) AS bci, round(cross_moment_mu11, 6) AS cross_moment_mu11, round(variance_spreading, 6) AS variance_spreading
+FROM shape JOIN bld USING (building_id, block_id) JOIN stat USING (building_id) JOIN lean USING (building_id) JOIN box USING (building_id) JOIN across USING (building_id) JOIN exchange USING (w, h)""")
 def building_feature_matrix(spark, sf_dir):
-    """All 22 features of every building."""
+    """All 22 features of every building; for an L-shape many have closed forms, and the SQL states each on its own."""
     out = shapes.building_features(buildings(spark, sf_dir), ["building_id", "block_id"])
     return rounded(out, *shapes.FEATURES)
 
 
-@query(f"""WITH {BLD} SELECT building_id, 0.0::DOUBLE AS cx, 0.0::DOUBLE AS cy, round(0.75 * w * h, 6) AS area FROM bld""")
+@query(f"""WITH {BLD} SELECT building_id, round(-5 * w / 12, 6) AS minx, round(-5 * h / 12, 6) AS miny, round(7 * w / 12, 6) AS maxx, round(7 * h / 12, 6) AS maxy, round(0.75 * w * h, 6) AS area FROM bld""")
 def moved_to_origin(spark, sf_dir):
-    """Footprints moved to their own centroid: the gallery of samples."""
+    """Footprints moved to their own centroid, with the box that they then have: the gallery of samples."""
     b = buildings(spark, sf_dir).select("building_id", g.translate_to_origin(F.col("parts")).alias("parts"))
-    c = g.centroid(F.col("parts"))
-    return b.select("building_id", F.abs(F.round(c.x, 6)).alias("cx"), F.abs(F.round(c.y, 6)).alias("cy"), F.round(g.area(F.col("parts")), 6).alias("area"))
+    box = g.bounds(F.col("parts"))
+    return b.select("building_id", *[F.round(box[c], 6).alias(c) for c in ("minx", "miny", "maxx", "maxy")], F.round(g.area(F.col("parts")), 6).alias("area"))

@@ -145,6 +145,53 @@ def test_shapefile_round_trip(spark, tmp_path):
     (tmp_path / "t.dbf").write_bytes(b"\3\0\0\0" + struct.pack("<IHH", 1, 65, 9) + b"\0" * 20 + field + b"\r" + b" " + b"tower   ")
     row = read_shapefiles(spark, f"file://{tmp_path}").first()
     assert row.attributes == {"name": "tower"} and len(row.parts[0][0]) == 4
+    (tmp_path / "t.shp").write_bytes((tmp_path / "t.shp").read_bytes() + struct.pack(">ii", 2, len(body) // 2) + body)  # more shapes than records
+    assert sorted((r.record, r.attributes) for r in read_shapefiles(spark, f"file://{tmp_path}").collect()) == [(0, {"name": "tower"}), (1, {})]
+
+
+def test_shapefile_layer(spark, tmp_path):
+    """Holes by containment wherever they stand, several ranges of a tile, chosen columns, too long values, and a reader that needs no mounted folder."""
+    from formwright.sources import shapefiles
+
+    sq = lambda x, y, w: [(x, y), (x + w, y), (x + w, y + w), (x, y + w)]
+    rows = [(k, f"n{k}", "é" * (k % 5), [[sq(10.0 * k, 0.0, 9.0), sq(10.0 * k + 1, 1.0, 2.0)], [sq(10.0 * k, 20.0, 5.0)]]) for k in range(23)] + [(23, None, "x", None)]
+    df = spark.createDataFrame(rows, "id int, name string, note string, parts array<array<array<struct<x: double, y: double>>>>")
+    shapefiles.write_shapefiles(df.repartition(2), f"file://{tmp_path}/layer")
+    back = shapefiles.read_shapefiles(spark, f"{tmp_path}/layer", ["id", "note"], records=4)
+    assert back.rdd.getNumPartitions() >= 6
+    got = {int(r.attributes["id"]): r for r in back.collect()}
+    assert len(got) == 24 and got[23].parts is None and got[4].attributes == {"id": "4", "note": "é" * 4}
+    for k in range(23):
+        assert sorted(len(p) for p in got[k].parts) == [1, 2] and {len(r) for p in got[k].parts for r in p} == {4}
+        assert [set(map(tuple, r)) for r in next(p for p in got[k].parts if len(p) == 2)] == [set(sq(10.0 * k, 0.0, 9.0)), set(sq(10.0 * k + 1, 1.0, 2.0))]
+    assert shapefiles.read_remote_tiles(spark, f"file://{tmp_path}/layer").count() == 24
+    with pytest.raises(Exception, match="raise the option width"):
+        shapefiles.write_shapefiles(df, f"{tmp_path}/narrow", width=2)
+
+
+def test_stored_layer_skips_row_groups(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from formwright.operators import spatial
+    from formwright.plans.standins import buildings
+    from formwright.sources import tables
+
+    b = buildings(spark, "/root/testdata/sf0.1", placed=True).select("building_id", "block_id", "parts")
+    tables.write_footprints(b, f"file://{tmp_path}/layer", row_group_bytes=32_000)
+    box = (1_200.0, 1_200.0, 1_700.0, 1_600.0)
+    found = tables.read_footprints(spark, [f"file://{tmp_path}/layer"], box)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    plan = found.select("building_id")._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(minx" in plan and "GreaterThanOrEqual(maxy" in plan
+    groups = []
+    for f in tmp_path.glob("layer/*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        at = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
+        groups += [{n: meta.row_group(k).column(at[n]).statistics for n in ("minx", "maxx", "miny", "maxy")} for k in range(meta.num_row_groups)]
+    met = [s for s in groups if s["minx"].min <= box[2] and s["maxx"].max >= box[0] and s["miny"].min <= box[3] and s["maxy"].max >= box[1]]
+    assert len(groups) > 40, len(groups)
+    assert len(met) < len(groups) / 5, (len(met), len(groups))
+    assert found.count() == spatial.with_bounds(b).where(spatial.in_box(*box)).count() > 0
 
 
 def test_overlay_areas():
