@@ -26,6 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .common import saved, smaller_batches, table
+from .spelling import CRC_TABLE, crc_sql
 
 #: Rows of a conversation that one task takes together; longer ones are parsed in stretches of this many rows.
 LONGEST = 2_000
@@ -406,3 +407,39 @@ def repair_conversations(rows: DataFrame, longest: int = LONGEST) -> DataFrame:
 
 def op11_conversation_repair(spark, sf_dir):
     return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+def _oracle() -> str:
+    """The contract for DuckDB. A state (nothing yet, after s, after u, after a) is a text of its cost, audit and repaired lines, so that least() is by cost, then audit."""
+    mark = "chr(1)"
+
+    def edit(x: str, cost: str, letter: str, line: str = "''") -> str:
+        return f"lpad((substr({x}, 1, 9)::INT + {cost})::VARCHAR, 9, '0') || substr({x}, 10, position({mark} IN {x}) - 10) || '{letter}' || substr({x}, position({mark} IN {x})) || {line}"
+
+    def least(*ways: str) -> str:
+        return f"least({', '.join(ways)})"
+
+    insert = lambda x, role: edit(x, "2", "I", f"chr(10) || '{role}:'")
+    keep = lambda x, initial: f"CASE WHEN NOT forced AND initial = '{initial}' THEN {edit(x, 'late', 'K', 'chr(10) || role || chr(58) || text')} END"
+    rerole = lambda x, role: f"CASE WHEN NOT forced THEN {edit(x, '2 + late', 'R', f'chr(10) || {chr(39)}{role}:{chr(39)} || text')} END"
+    drop = lambda x: edit(x, "3", "D")
+    before_u = ("s0", "s1", "a")
+    return f"""WITH RECURSIVE {CRC_TABLE},
+drawn AS (SELECT conv_id, turn, role, text, {crc_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS d FROM (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations), crc),
+kept AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE WHEN d = 1 THEN '' WHEN d = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS copy FROM drawn WHERE d <> 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k FROM kept),
+fault AS (SELECT *, substr(role, 1, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 't' ELSE '-' END AS fault,
+  lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY k) || substr(role, 1, 1) AS pair FROM ranked),
+line AS (SELECT conv_id, k, role, text, initial, fault IN ('b', 'd') AS forced, (fault = 't')::INT AS late FROM fault),
+tally AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS n FROM fault GROUP BY conv_id),
+begun AS (SELECT conv_id, 0::BIGINT AS k, '000000000' || {mark} AS s0, NULL::VARCHAR AS s1, NULL::VARCHAR AS u0, NULL::VARCHAR AS a0 FROM tally),
+way AS (SELECT conv_id, k, s0, s1, {insert("s0", "user")} AS u, {insert("u1", "assistant")} AS a FROM (SELECT *, {insert("s0", "user")} AS u1 FROM begun)
+  UNION ALL SELECT conv_id, k, s0, s1, u1, {least("a0", insert("u1", "assistant"))} FROM (SELECT *, {least("u0", insert("s0", "user"), insert("s1", "user"), insert("a0", "user"))} AS u1 FROM (
+    SELECT way.conv_id, line.k, {drop("s0")} AS s0, {least(drop("s1"), keep("s0", "s"))} AS s1, {least(drop("u"), *(keep(x, "u") for x in before_u), *(rerole(x, "user") for x in before_u))} AS u0, {least(drop("a"), keep("u", "a"), rerole("u", "assistant"))} AS a0
+    FROM way JOIN line ON line.conv_id = way.conv_id AND line.k = way.k + 1))),
+done AS (SELECT tally.*, least(s0, a) AS x FROM way JOIN tally ON tally.conv_id = way.conv_id AND tally.n = way.k)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(substr(x, 1, 9)::BIGINT, 0) AS cost,
+  coalesce(substr(x, 10, position({mark} IN x) - 10), '') AS audit, sha256(coalesce(substr(x, position({mark} IN x) + 2), '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN done USING (conv_id)"""
+
+
+ORACLE = _oracle()

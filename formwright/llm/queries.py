@@ -24,4 +24,6 @@ ORACLES = {
     "op6_url_filter": url_filter.ORACLE,
     "op8_poisson_mixing": mixing.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
+    "op11_conversation_repair": conversation_repair.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }

@@ -206,3 +206,26 @@ def group_spellings(docs: DataFrame, round_blocks: int = ROUND_BLOCKS) -> DataFr
 
 def op13_spelling_variants(spark, sf_dir):
     return group_spellings(table(spark, sf_dir, "documents"))
+
+
+#: crc32 of a text, for DuckDB: the byte table by its rule, and a fold over the text's bytes.
+CRC_TABLE = "crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i)))"
+
+
+def crc_sql(text: str) -> str:
+    """SQL for the crc32 of the SQL expression text; t is CRC_TABLE's."""
+    byte = f"('0x' || substr(hex({text}), 2 * k + 1, 2))::BIGINT"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(range(length(hex({text})) // 2), lambda k: {byte})), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+ORACLE = f"""WITH RECURSIVE {CRC_TABLE},
+run AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS r FROM documents) GROUP BY ALL),
+drawn AS (SELECT run, c, {crc_sql("doc_id || ':' || run")} AS h FROM run, crc),
+vocab AS (SELECT w AS word, sum(c)::BIGINT AS n FROM (SELECT c, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS w FROM drawn) WHERE length(w) >= 5 GROUP BY w HAVING sum(c) >= 3),
+gap AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM vocab)),
+less AS (SELECT DISTINCT g.word, v.word AS near FROM gap g JOIN vocab v ON v.word = g.a || g.b),
+near AS (SELECT p.word, q.word AS near FROM gap p JOIN gap q ON p.i = q.i AND p.a = q.a AND p.b = q.b AND p.word <> q.word UNION SELECT word, near FROM less UNION SELECT near, word FROM less),
+best AS (SELECT near.word, count(*) AS n_near, arg_min({{'w': near, 'n': v.n}}, {{'n': -v.n, 'w': near}}) AS f FROM near JOIN vocab v ON v.word = near.near GROUP BY near.word),
+form AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN f.n >= 2 * v.n THEN f.w END AS form, CASE WHEN f.n >= 2 * v.n THEN f.n END AS form_n FROM vocab v LEFT JOIN best USING (word)),
+way AS (SELECT word, word AS at FROM form UNION ALL SELECT way.word, form.form FROM way JOIN form ON form.word = way.at WHERE form.form IS NOT NULL)
+SELECT form.word, form.form, way.at AS root, form.n, form.n_near, form.form_n FROM form JOIN way ON way.word = form.word JOIN form last ON last.word = way.at AND last.form IS NULL"""
