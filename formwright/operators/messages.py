@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from formwright.config import Model
+
+from .components import stored
+
 
 def affine(values: Column, weights: list[list[float]], bias: list[float]) -> Column:
     """values W + b for a fixed small matrix: the weights go into the plan."""
@@ -44,3 +48,64 @@ def induced(edges: DataFrame, kept: DataFrame, block: str = "block_id") -> DataF
 def readout(nodes: DataFrame, width: int, block: str = "block_id") -> DataFrame:
     """block, out: means then greatest values of the first `width` features."""
     return nodes.groupBy(block).agg(F.array(*[F.avg(F.col("x")[i]) for i in range(width)], *[F.max(F.col("x")[i]) for i in range(width)]).alias("out"))
+
+
+def model_row(params: DataFrame, stats: DataFrame) -> DataFrame:
+    """One row, p: the model's arrays by name, from tables of name, shape, data. Its size is the model's, whatever the graphs'."""
+    both = params.unionByName(stats).select("name", F.struct("shape", F.col("data").cast("array<double>").alias("data")).alias("v"))
+    return both.agg(F.map_from_entries(F.collect_list(F.struct("name", "v"))).alias("p"))
+
+
+def product(x: Column, w: Column) -> Column:
+    """x W for a matrix as STRUCT<shape, data>, row by row in data."""
+    wide = w.shape[1]
+    dot = lambda j: F.aggregate(F.transform(x, lambda v, i: v * w.data[i * wide + j]), F.lit(0.0), lambda s, v: s + v)
+    return F.transform(F.sequence(F.lit(0), wide - 1), dot)
+
+
+def _normed(x: Column, p: Column, name: str) -> Column:
+    """Normalised by the running statistics, scaled, shifted, and cut at 0."""
+    at = lambda part, i: p[f"{name}_{part}"].data[i]
+    return F.transform(x, lambda v, i: F.greatest((v - at("mean", i)) / F.sqrt(at("var", i) + 1e-5) * at("g", i) + at("b", i), F.lit(0.0)))
+
+
+def _summed(sent: DataFrame, width: int, block: str) -> DataFrame:
+    """block, node, m: sums by position of what is sent to each node (dst), combined before the shuffle."""
+    return sent.groupBy(block, F.col("dst").alias("node")).agg(F.array(*[F.sum(F.col("x")[i]) for i in range(width)]).alias("m"))
+
+
+def forward(nodes: DataFrame, edges: DataFrame, params: DataFrame, stats: DataFrame, model: Model, block: str = "block_id") -> DataFrame:
+    """block, logits: the whole network over node and edge tables, as joins and sums; a graph may be larger than a task.
+
+    nodes: block, node, x; edges: block, src, dst, dist in both directions. Three rounds of convolution, normalisation, pooling by score and readout: the edges between the nodes that are left
+    go on to the next round, whose degrees and weights are computed anew; the rounds' readouts lie side by side before the last layers. params and stats: the model as tables.
+    """
+    row = stored(model_row(params, stats), "model")
+    with_model = lambda df: df.crossJoin(F.broadcast(row))  # noqa: E731  one row
+    p, width = F.col("p"), model.hidden_dim
+    nodes, edges = nodes.select(block, "node", F.col("x").cast("array<double>").alias("x")), edges.select(block, "src", "dst", "dist")
+    weight = {"none": F.lit(1.0), "inverse": 1 / (F.col("dist") + 1e-6), "raw": F.col("dist")}[model.edge_weight]
+    result = None
+    for k in range(3):
+        own = nodes.select(block, F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1.0).alias("w"))
+        every = edges.select(block, "src", "dst", weight.alias("w")).unionByName(own)
+        degree = every.groupBy(block, F.col("dst").alias("node")).agg(F.sum("w").alias("degree"))
+        moved = with_model(nodes.join(degree, [block, "node"])).select(block, F.col("node").alias("src"), F.transform(product(F.col("x"), p[f"gcn{k}_w"]), lambda v: v / F.sqrt("degree")).alias("x"))
+        sent = every.join(moved, [block, "src"]).select(block, "dst", F.transform("x", lambda v: v * F.col("w")).alias("x"))
+        got = with_model(_summed(sent, width, block).join(degree, [block, "node"]))
+        bias = p[f"gcn{k}_b"].data
+        moved = F.zip_with("m", bias, lambda v, b: v / F.sqrt("degree") + b)
+        h = stored(got.select(block, "node", _normed(moved, p, f"bn{k}").alias("x")), "convolved")
+        around = edges.join(h.select(block, F.col("node").alias("src"), "x"), [block, "src"])
+        near = h.join(_summed(around, width, block), [block, "node"], "left").withColumn("m", F.coalesce("m", F.array(*[F.lit(0.0)] * width)))
+        scored = with_model(near).select(block, "node", "x", (product(F.col("x"), p[f"pool{k}_root"])[0] + product(F.col("m"), p[f"pool{k}_near"])[0] + p[f"pool{k}_b"].data[0]).alias("score"))
+        nodes = stored(top_share(scored, model.pool_ratio, block).select(block, "node", F.transform("x", lambda v: v * F.tanh("score")).alias("x")), "pooled")
+        edges = stored(induced(edges, nodes, block), "induced")
+        out = readout(nodes, width, block).withColumnRenamed("out", f"out{k}")
+        result = out if result is None else result.join(out, block)
+    z = with_model(result).select(block, "p", F.concat("out0", "out1", "out2").alias("z"))
+    layer = lambda z, w, b: F.zip_with(product(z, p[w]), p[b].data, lambda v, c: v + c)
+    z = z.select(block, "p", layer(F.col("z"), "jk_w", "jk_b").alias("z"))
+    for k in range(2):
+        z = z.select(block, "p", _normed(layer(F.col("z"), f"fc{k}_w", f"fc{k}_b"), p, f"hbn{k}").alias("z"))
+    return z.select(block, layer(F.col("z"), "out_w", "out_b").alias("logits"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from formwright.operators import graphs, messages
+from formwright.config import Model
+from formwright.operators import classifier, graphs, messages
 
 from .registry import query
 from .standins import BLD, SIDE, buildings, parcels
@@ -156,3 +157,41 @@ def adjacency(spark, sf_dir):
     e = graphs.symmetric(near(spark, sf_dir))
     lists = e.groupBy("block_id", F.col("src").alias("node")).agg(F.array_sort(F.collect_list("dst")).alias("n"))
     return lists.select("block_id", "node", F.array_join(F.transform("n", lambda v: v.cast("string")), ",").alias("neighbours"))
+
+
+#: A small network with fixed weights, drawn by a rule.
+_SMALL = Model(hidden_dim=2, output_dim=2)
+_WEIGHTS, _STATS = classifier.start(2, _SMALL, seed=7)
+_WEIGHTS = {n: v + 0.05 * (len(n) % 3 + 1) * (1 if v.ndim == 1 else 0) for n, v in _WEIGHTS.items()}
+_STATS = {n: v + (0.1 if n.endswith("mean") else 0.5) for n, v in _STATS.items()}
+
+
+def _forward_sql() -> str:
+    """The network of _SMALL and its weights in SQL, one column for each of a node's two numbers."""
+    num = lambda name, *at: f"({float(_WEIGHTS[name][at] if name in _WEIGHTS else _STATS[name][at])!r})::FLOAT::DOUBLE"
+    dot = lambda columns, name, j: " + ".join(f"{c} * {num(name, i, j)}" for i, c in enumerate(columns))
+    norm = lambda e, name, j: f"greatest(0, (({e}) - {num(name + '_mean', j)}) / sqrt({num(name + '_var', j)} + 1e-5) * {num(name + '_g', j)} + {num(name + '_b', j)})"
+    sql = f"WITH {_X}, n0 AS (SELECT block_id, node, f0 AS x0, f1 AS x1 FROM feat), e0 AS (SELECT block_id, a AS src, b AS dst FROM near UNION ALL SELECT block_id, b, a FROM near)"
+    for k in range(3):
+        pair = ", ".join(f"{norm(dot(('a0', 'a1'), f'gcn{k}_w', j) + f' + {num(f"gcn{k}_b", j)}', f'bn{k}', j)} AS h{j}" for j in (0, 1))
+        sql += f""", l{k} AS (SELECT block_id, src, dst FROM e{k} UNION ALL SELECT block_id, node, node FROM n{k}), d{k} AS (SELECT dst AS node, count(*)::DOUBLE AS d FROM l{k} GROUP BY dst),
+g{k} AS (SELECT l.block_id, l.dst AS node, sum(x0 / sqrt(s.d * t.d)) AS a0, sum(x1 / sqrt(s.d * t.d)) AS a1 FROM l{k} l JOIN n{k} n ON n.node = l.src JOIN d{k} s ON s.node = l.src JOIN d{k} t ON t.node = l.dst GROUP BY l.block_id, l.dst),
+h{k} AS (SELECT block_id, node, {pair} FROM g{k}), q{k} AS (SELECT e.dst AS node, sum(h0) AS q0, sum(h1) AS q1 FROM e{k} e JOIN h{k} h ON h.node = e.src GROUP BY e.dst),
+s{k} AS (SELECT h.*, {dot(('h0', 'h1'), f'pool{k}_root', 0)} + {dot(('coalesce(q0, 0)', 'coalesce(q1, 0)'), f'pool{k}_near', 0)} + {num(f'pool{k}_b', 0)} AS score FROM h{k} h LEFT JOIN q{k} USING (node)),
+r{k} AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY score DESC, node) AS place, count(*) OVER (PARTITION BY block_id) AS n FROM s{k}),
+n{k + 1} AS (SELECT block_id, node, h0 * tanh(score) AS x0, h1 * tanh(score) AS x1 FROM r{k} WHERE place <= ceil({_SMALL.pool_ratio} * n)), e{k + 1} AS (SELECT * FROM e{k} WHERE src IN (SELECT node FROM n{k + 1}) AND dst IN (SELECT node FROM n{k + 1})),
+o{k} AS (SELECT block_id, avg(x0) AS o{4 * k}, avg(x1) AS o{4 * k + 1}, max(x0) AS o{4 * k + 2}, max(x1) AS o{4 * k + 3} FROM n{k + 1} GROUP BY block_id)"""
+    z = [f"o{i}" for i in range(12)]
+    sql += ", z0 AS (SELECT block_id, " + ", ".join(f"{dot(z, 'jk_w', j)} + {num('jk_b', j)} AS z{j}" for j in range(4)) + " FROM o0 JOIN o1 USING (block_id) JOIN o2 USING (block_id))"
+    for k, wide in enumerate((2, 1)):
+        columns = [f"z{i}" for i in range(4 if k == 0 else 2)]
+        sql += f", z{k + 1} AS (SELECT block_id, " + ", ".join(f"{norm(dot(columns, f'fc{k}_w', j) + f' + {num(f"fc{k}_b", j)}', f'hbn{k}', j)} AS z{j}" for j in range(wide)) + f" FROM z{k})"
+    return sql + " SELECT block_id, " + ", ".join(f"round({dot(['z0'], 'out_w', j)} + {num('out_b', j)}, 6) AS logit{j}" for j in (0, 1)) + " FROM z2"
+
+
+@query(_forward_sql())
+def graph_forward(spark, sf_dir):
+    """The whole network over every block's graph, with fixed weights, as joins and sums."""
+    e = graphs.symmetric(near(spark, sf_dir))
+    out = messages.forward(_features(spark, sf_dir), e, classifier.parameter_table(spark, _WEIGHTS), classifier.parameter_table(spark, _STATS), _SMALL)
+    return out.select("block_id", *[F.round(F.col("logits")[j], 6).alias(f"logit{j}") for j in (0, 1)])

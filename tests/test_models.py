@@ -235,3 +235,27 @@ def test_folds_train_side_by_side(spark):
     assert all(r.pred == r.y for r in pred)
     with pytest.raises(ValueError):
         gc.fit(batches.where("train"), 4, model, how)
+
+
+def test_forward_as_joins_equals_the_classifier(spark):
+    """Two paths and a lone node, random weights: the tables give the logits of the batch code."""
+    from formwright.functions import tape as t
+    from formwright.operators import messages
+
+    rng = np.random.default_rng(4)
+    model = Model(hidden_dim=4, output_dim=3, edge_weight="inverse")
+    params, stats = gc.start(3, model, seed=3)
+    params = {k: (v + rng.normal(0, 0.2, v.shape)).astype(np.float32).astype(float) for k, v in params.items()}
+    stats = {k: (v + rng.uniform(0, 0.3, v.shape)).astype(np.float32).astype(float) for k, v in stats.items()}
+    graphs, nodes, edges = [], [], []
+    for gid, n in enumerate((12, 7, 1)):
+        x = rng.normal(size=(n, 3)).astype(np.float32)
+        src, dst = [*range(n - 1), *range(1, n)], [*range(1, n), *range(n - 1)]
+        dist = [*(1.0 + k % 3 for k in range(n - 1))] * 2
+        graphs.append({"graph_id": gid, "y": 0, "x": x.tolist(), "src": src, "dst": dst, "dist": dist})
+        nodes += [(gid, k, x[k].tolist()) for k in range(n)]
+        edges += [(gid, *e) for e in zip(src, dst, dist, strict=True)]
+    want, _ = gc.forward(gc.side_by_side(graphs), {k: t.Node(v) for k, v in params.items()}, stats, model)
+    out = messages.forward(spark.createDataFrame(nodes, "block_id long, node int, x array<float>"), spark.createDataFrame(edges, "block_id long, src int, dst int, dist double"), gc.parameter_table(spark, params), gc.parameter_table(spark, stats), model)
+    got = {r.block_id: r.logits for r in out.collect()}
+    assert np.abs(np.array([got[k] for k in range(3)]) - want.value).max() < 1e-5
