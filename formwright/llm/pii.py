@@ -2,7 +2,8 @@
 
 Fixed patterns give the base spans. Looser patterns give further candidates (phones without a plus, written-out
 e-mail addresses, cards and addresses that a fixed pattern cut or split). On every candidate, labelers vote yes, no or
-nothing: the fixed pattern, a check of the value, a gazetteer, the words before it, and its form. Votes are counted
+nothing: the fixed pattern, a check of the value, a gazetteer
+(numbering plans, issuers' ranges, address blocks, top-level domains), the words and names before it, and its form. Votes are counted
 by kind and pattern over all documents; for each kind, expectation-maximisation on the counts estimates how reliable each labeler is, without
 labels. Its posteriors train a logistic span classifier that reads the span itself and the words around it, not the votes,
 and decides on the candidates. Base spans always stay.
@@ -37,10 +38,28 @@ _LOOSE = (
 )
 #: Every pattern's match holds one of these: texts without any are not looked at further.
 _HINT = re.compile(r"[0-9@]|:[0-9A-Fa-f]{1,4}:|(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63} ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]")
-# Top-level domains, dialling codes and first card digits that the gazetteer knows.
-_TLDS = frozenset("com org net edu gov int info biz io co de fr es uk us eu it nl ch at be pt pl se no dk fi ru cn jp in br".split())
-_DIAL = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "98")
-_CARD_FIRST = frozenset("3456")
+# Generic and country top-level domains.
+_TLDS = frozenset(
+    "com org net edu gov mil int info biz name pro mobi app dev online site shop store blog cloud xyz tech email me tv io ai co cc "
+    "ad ae af ag al am ao ar at au az ba bb bd be bg bh bo br by bz ca ch ci cl cm cn cr cu cy cz de dk do dz ec ee eg es et eu fi fj fr gb ge gh gr gt hk hn hr hu id ie il in iq ir is it jm jo jp ke kg kh kr kw kz la lb lk lt lu lv "
+    "ma md mk ml mm mn mo mt mu mv mx my na ng ni nl no np nz om pa pe ph pk pl pr ps pt py qa ro rs ru rw sa se sg si sk sn sv sy th tn tr tw tz ua ug uk us uy uz ve vn za zm zw".split()
+)
+# Dialling codes with the least and most digits of a national number behind them.
+_DIAL = {
+    "1": (10, 10), "7": (10, 10), "20": (8, 10), "27": (9, 9), "30": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9), "36": (8, 9), "39": (6, 11), "40": (9, 9), "41": (9, 9), "43": (6, 13),
+    "44": (9, 10), "45": (8, 8), "46": (7, 10), "47": (8, 8), "48": (9, 9), "49": (6, 11), "51": (8, 9), "52": (10, 10), "54": (10, 11), "55": (10, 11), "56": (9, 9), "57": (8, 10), "58": (10, 10), "60": (8, 10),
+    "61": (9, 9), "62": (8, 12), "63": (8, 10), "64": (8, 10), "65": (8, 8), "66": (8, 9), "81": (9, 10), "82": (8, 10), "84": (9, 10), "86": (10, 11), "90": (10, 10), "91": (10, 10), "92": (9, 10), "98": (10, 10),
+    "212": (9, 9), "216": (8, 8), "234": (8, 10), "254": (9, 9), "351": (9, 9), "352": (6, 9), "353": (7, 9), "354": (7, 9), "358": (6, 10), "359": (8, 9), "370": (8, 8), "371": (8, 8), "372": (7, 8), "380": (9, 9), "381": (8, 9),
+    "385": (8, 9), "386": (8, 8), "420": (9, 9), "421": (9, 9), "852": (8, 8), "880": (8, 10), "886": (8, 9), "961": (7, 8), "962": (8, 9), "966": (8, 9), "971": (8, 9), "972": (8, 9),
+}
+# Ranges of first digits of card issuers, and the lengths of their numbers.
+_ISSUERS = (
+    ("4", "4", (13, 16, 19)), ("51", "55", (16,)), ("2221", "2720", (16,)), ("34", "34", (15,)), ("37", "37", (15,)), ("300", "305", (14, 16, 17, 18, 19)), ("36", "36", (14, 15, 16, 17, 18, 19)), ("38", "39", (14, 16, 17, 18, 19)),
+    ("3528", "3589", (16, 17, 18, 19)), ("6011", "6011", (16, 17, 18, 19)), ("62", "62", (16, 17, 18, 19)), ("644", "649", (16, 17, 18, 19)), ("65", "65", (16, 17, 18, 19)), ("50", "50", (13, 14, 15, 16, 17, 18, 19)), ("56", "59", (13, 14, 15, 16, 17, 18, 19)),
+)
+# Address blocks that no host on the public net has: this net, loopback, link-local, documentation, benchmarks, multicast and reserved.
+_RESERVED = ("0.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "192.0.2.0/24", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/3")
+_PRIVATE = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16")
 _FOR = {
     "email": re.compile(r"mail|contact|write|reach|schreib|correo|courriel", re.I),
     "ip": re.compile(r"\bip\b|address|host|server|client|adresse", re.I),
@@ -92,6 +111,50 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def _known_phone(value: str, digits: str) -> int:
+    """By numbering plans: a dialling code with a national number of its length; without a plus, a trunk 0 or an area and exchange that may not begin with 0 or 1."""
+    if value[0] == "+":
+        return 1 if any(_DIAL[digits[:n]][0] <= len(digits) - n <= _DIAL[digits[:n]][1] for n in (1, 2, 3) if digits[:n] in _DIAL) else -1
+    if digits[:1] == "0":
+        return 1 if 9 <= len(digits) <= 12 else 0
+    return 1 if len(digits) == 10 and digits[0] in "23456789" and digits[3] in "23456789" else 0
+
+
+def _known_card(digits: str) -> int:
+    """By issuer: a number in a range of first digits that has one of that range's lengths."""
+    return 1 if any(low <= digits[: len(low)] <= high and len(digits) in sizes for low, high, sizes in _ISSUERS) else -1
+
+
+def _known_address(value: str) -> int:
+    """By address blocks: no for reserved ones, nothing for private ones, yes for what a public host may have."""
+    if ":" in value:
+        first = value.split(":")[0].lower().rjust(4, "0")
+        return 1 if first[0] in "23" and not value.lower().startswith("2001:db8") else -1
+    parts = [int(p) for p in value.split(".")]
+    if len(parts) != 4 or max(parts) > 255:
+        return -1
+    inside = lambda blocks: any(_number(parts) >> (32 - bits) == net >> (32 - bits) for net, bits in blocks)
+    return -1 if inside(_NO_HOST) else 0 if inside(_HOME) else 1
+
+
+def _number(parts: list[int]) -> int:
+    return parts[0] << 24 | parts[1] << 16 | parts[2] << 8 | parts[3]
+
+
+def _blocks(shown: tuple[str, ...]) -> list[tuple[int, int]]:
+    return [(_number([int(p) for p in net.split(".")]), int(bits)) for net, bits in (x.split("/") for x in shown)]
+
+
+_NO_HOST, _HOME = _blocks(_RESERVED), _blocks(_PRIVATE)
+
+
+def _named(value: str, before: str) -> bool:
+    """Whether a piece of the mailbox stands as a capitalised word before it, as a name does."""
+    box = re.split(r"@|\(at\)|\[at\]| at ", value)[0]
+    pieces = {p.lower() for p in re.findall("[A-Za-z]{3,}", box)}
+    return any(w.lower() in pieces for w in re.findall(r"\b[A-Z][a-z]{2,}", before))
+
+
 def votes(kind: str, text: str, start: int, end: int, base: bool) -> tuple[int, ...]:
     """Yes (1), no (-1) or nothing (0) of each labeler: fixed pattern, digit check, gazetteer, context, form."""
     value, before = text[start:end], text[max(0, start - CONTEXT) : start]
@@ -104,17 +167,17 @@ def votes(kind: str, text: str, start: int, end: int, base: bool) -> tuple[int,
     elif kind == "ip":
         parts = value.split(".")
         check = (1 if all(int(p) <= 255 for p in parts) else -1) if len(parts) == 4 and all(p.isdigit() for p in parts) else 1 if value.count(":") == 7 else 0
-        gazetteer = -1 if value.startswith(("0.", "127.", "255.")) else 0
+        gazetteer = _known_address(value)
         form = -1 if any(len(p) > 1 and p[0] == "0" for p in parts) or value.count(":") not in (0, 7) else 1
     elif kind == "card":
         check = 1 if 13 <= len(digits) <= 19 and luhn(digits) else -1
-        gazetteer = 1 if digits[:1] in _CARD_FIRST else -1
+        gazetteer = _known_card(digits)
         form = 1 if len({c for c in value if not c.isdigit()}) <= 1 else -1
     else:
         check = 1 if 9 <= len(digits) <= 15 else -1 if not 7 <= len(digits) <= 15 else 0
-        gazetteer = (1 if digits.startswith(_DIAL) else -1) if value[0] == "+" else 0
+        gazetteer = _known_phone(value, digits)
         form = 1 if value.count("(") == value.count(")") and ".." not in value else -1
-    context = 1 if _FOR[kind].search(before) else -1 if _AGAINST.search(before) else 0
+    context = 1 if _FOR[kind].search(before) or (kind == "email" and _named(value, before)) else -1 if _AGAINST.search(before) else 0
     return (1 if base else 0, check, gazetteer, context, form)
 
 
