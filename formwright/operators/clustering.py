@@ -17,8 +17,8 @@ from .statistics import zscores
 
 #: Points that the search for K and the layout are run on, those with the smallest hash of their key.
 SAMPLE = 20_000
-#: Rows of one block of a silhouette, rows that it meets at a time, and clusters whose sums it holds.
-BLOCK, SLAB, CLUSTERS = 4_000, 1_000, 1_000
+#: For silhouettes: numbers that a round sends to every task (64 MB), rows that a task compares with so many of them at a time, and clusters whose sums it holds.
+SENT, SLAB, BLOCK, CLUSTERS = 8_000_000, 1_000, 4_000, 1_000
 #: K-means fits that run at a time.
 FITS = 8
 
@@ -86,67 +86,61 @@ def kmeans(df: DataFrame, x: str, k: int, restarts: int = 10, iterations: int =
     return kmeans_each(df, x, [k], restarts, iterations, seed)[k]
 
 
-def _distance_sums(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """For rows that come as (block, then first the block's own rows, then all rows to compare them with): row, name, own, cluster, s.
+def _distance_sums(batches: Iterator[pa.RecordBatch], sent, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """row, name, own, cluster, s: for each row the summed distance to those of each cluster among the rows that were sent.
 
-    s: the summed distance of the row to those of a cluster. Sums leave when a block ends or meets its CLUSTERS-th cluster, so one row may come in parts.
+    Sums leave when a slab has met all of them, or its CLUSTERS-th cluster, so one row may come in parts.
     """
-    block, ids, points, own = None, np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros((0, 0), np.int64)
-    sums: dict[tuple[int, int], np.ndarray] = {}
-    fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for (j, cluster), total in sums.items():
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([names[j]] * n, pa.string()), pa.array(own[:, j]), pa.array(np.full(n, cluster)), pa.array(total)], names=["row", "name", "own", "cluster", "s"])
-        sums.clear()
-
+    ids, points, codes = sent.value
+    norms = (points**2).sum(axis=1)
     for batch in batches:
-        blocks, first, rows = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        xs = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-        codes = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-        cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (first[1:] != first[:-1])) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(blocks)], strict=True):
-            if blocks[a] != block:
-                yield from flush()
-                block, fresh = blocks[a], []
-            if first[a]:
-                fresh.append((rows[a:b], xs[a:b], codes[a:b]))
-                continue
-            if fresh:
-                ids, points, own = (np.concatenate(v) for v in zip(*fresh, strict=True))
-                order, fresh = np.argsort(ids), []
-                ids, points, own = ids[order], points[order], own[order]
-            for c in range(a, b, SLAB):
-                r, x, code = rows[c : min(c + SLAB, b)], xs[c : min(c + SLAB, b)], codes[c : min(c + SLAB, b)]
-                d = np.sqrt(np.maximum((points**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None] - 2 * points @ x.T, 0))
-                at = np.minimum(np.searchsorted(ids, r), len(ids) - 1)
-                same = np.flatnonzero(ids[at] == r)
-                d[at[same], same] = 0
+        rows = batch.column(0).to_numpy(zero_copy_only=False)
+        xs = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        own = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        for a in range(0, len(rows), SLAB):
+            r, x, mine = rows[a : a + SLAB], xs[a : a + SLAB], own[a : a + SLAB]
+            sums: dict[tuple[int, int], np.ndarray] = {}
+
+            def flush() -> Iterator[pa.RecordBatch]:
+                for (j, cluster), total in sums.items():  # noqa: B023
+                    yield pa.RecordBatch.from_arrays([pa.array(r), pa.array([names[j]] * len(r), pa.string()), pa.array(mine[:, j]), pa.array(np.full(len(r), cluster)), pa.array(total)], names=["row", "name", "own", "cluster", "s"])  # noqa: B023
+                sums.clear()  # noqa: B023
+
+            for c in range(0, len(ids), BLOCK):
+                i, q, code = ids[c : c + BLOCK], points[c : c + BLOCK], codes[c : c + BLOCK]
+                d = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + norms[None, c : c + BLOCK] - 2 * x @ q.T, 0))
+                at = np.minimum(np.searchsorted(i, r), len(i) - 1)
+                same = np.flatnonzero(i[at] == r)
+                d[same, at[same]] = 0
                 for j in range(len(names)):
                     for cluster in np.unique(code[:, j]).tolist():
                         part = d[:, code[:, j] == cluster].sum(axis=1)
                         sums[j, cluster] = sums[j, cluster] + part if (j, cluster) in sums else part
                 if len(sums) >= CLUSTERS:
                     yield from flush()
-    yield from flush()
+            yield from flush()
 
 
 def silhouettes(df: DataFrame, key: str, x: str, labels: list[str]) -> DataFrame:
     """name, score: for each label column, the mean Euclidean silhouette over all rows.
 
-    A point alone in its cluster scores 1; fewer than two clusters score 0. Rows are dealt in blocks of about BLOCK; each block meets all rows in a stream, so the work grows
-    with the square of the rows, spread over tasks, and no task or driver holds them. A null label is a cluster of its own.
+    A point alone in its cluster scores 1; fewer than two clusters score 0. A null label is a cluster of its own. The work grows with the square of the rows. Rows are sent to all tasks in rounds of about
+    SENT numbers, a size that does not depend on the table, and every round is a pass over the stored rows: no row is shuffled, only each row's sums for its clusters.
     """
     from .components import stored
 
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(x).cast("array<double>").alias("x"), F.array(*[F.xxhash64(name) for name in labels]).alias("codes"))
+    spread = df.select(x, *labels).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = spread.select(F.monotonically_increasing_id().alias("row"), F.col(x).cast("array<double>").alias("x"), F.array(*[F.xxhash64(name) for name in labels]).alias("codes"))
     rows = stored(rows, "silhouette-rows")
-    blocks = -(-rows.count() // BLOCK) or 1
-    own = rows.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"), F.lit(True).alias("first"), "row", "x", "codes")
-    others = rows.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(False).alias("first"), "row", "x", "codes")
-    dealt = own.unionByName(others).repartition(blocks, "block").sortWithinPartitions("block", F.desc("first"))
-    sums = dealt.mapInArrow(lambda it: _distance_sums(it, labels), "row long, name string, own long, cluster long, s double")
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("width")).first()
+    rounds = -(-size.n * ((size.width or 0) + len(labels)) // SENT) or 1
+    sums = None
+    for k in range(rounds):
+        part = rows.where(F.pmod(F.xxhash64("row"), F.lit(rounds)) == k).toArrow().sort_by("row")
+        flat = lambda c, width: part.column(c).combine_chunks().flatten().to_numpy().reshape(part.num_rows, width)  # noqa: B023, E731
+        sent = df.sparkSession.sparkContext.broadcast((part.column("row").to_numpy(), flat("x", size.width or 0), flat("codes", len(labels))))
+        made = rows.mapInArrow(lambda it, sent=sent: _distance_sums(it, sent, labels), "row long, name string, own long, cluster long, s double")
+        sums = made if sums is None else sums.unionByName(made)
     sums = sums.groupBy("row", "name", "own", "cluster").agg(F.sum("s").alias("s"))
     sizes = rows.select(F.inline(F.arrays_zip(F.array(*map(F.lit, labels)).alias("name"), F.col("codes").alias("cluster")))).groupBy("name", "cluster").agg(F.count("*").alias("n"))
     at = sums.join(sizes, ["name", "cluster"])

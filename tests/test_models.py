@@ -259,3 +259,25 @@ def test_forward_as_joins_equals_the_classifier(spark):
     out = messages.forward(spark.createDataFrame(nodes, "block_id long, node int, x array<float>"), spark.createDataFrame(edges, "block_id long, src int, dst int, dist double"), gc.parameter_table(spark, params), gc.parameter_table(spark, stats), model)
     got = {r.block_id: r.logits for r in out.collect()}
     assert np.abs(np.array([got[k] for k in range(3)]) - want.value).max() < 1e-5
+
+
+def test_silhouettes_in_rounds(spark, monkeypatch):
+    """Many small rounds, slabs and flushes give the definition's scores; an empty table gives none."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(90, 3)) + 4 * rng.integers(0, 3, (90, 1))
+    labels = np.stack([rng.integers(0, 4, 90), np.where(np.arange(90) == 7, 99, x[:, 0] > 3)], axis=1).astype(int)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = []
+    for own in labels.T:
+        each = []
+        for i, c in enumerate(own):
+            means = {k: d[i, own == k].sum() / max((own == k).sum() - (k == c), 1) for k in set(own)}
+            a, b = means.pop(c), min(means.values())
+            each.append(1.0 if (own == c).sum() == 1 else (b - a) / max(a, b))
+        want.append(np.mean(each))
+    df = spark.createDataFrame([(i, x[i].tolist(), *map(int, labels[i])) for i in range(90)], "k int, x array<double>, one int, two int")
+    for names in (("SENT", 60), ("BLOCK", 7), ("SLAB", 5), ("CLUSTERS", 2)):
+        monkeypatch.setattr(cl, *names)
+    got = {r.name: r.score for r in cl.silhouettes(df, "k", "x", ["one", "two"]).collect()}
+    assert [got["one"], got["two"]] == pytest.approx(want)
+    assert cl.silhouettes(df.where("false"), "k", "x", ["one"]).count() == 0
