@@ -141,7 +141,7 @@ def silhouettes(df: DataFrame, key: str, x: str, labels: list[str]) -> DataFrame
         sent = df.sparkSession.sparkContext.broadcast((part.column("row").to_numpy(), flat("x", size.width or 0), flat("codes", len(labels))))
         made = rows.mapInArrow(lambda it, sent=sent: _distance_sums(it, sent, labels), "row long, name string, own long, cluster long, s double")
         sums = made if sums is None else sums.unionByName(made)
-    sums = sums.groupBy("row", "name", "own", "cluster").agg(F.sum("s").alias("s"))
+    sums = stored(sums.groupBy("row", "name", "own", "cluster").agg(F.sum("s").alias("s")), "silhouette-sums")
     sizes = rows.select(F.inline(F.arrays_zip(F.array(*map(F.lit, labels)).alias("name"), F.col("codes").alias("cluster")))).groupBy("name", "cluster").agg(F.count("*").alias("n"))
     at = sums.join(sizes, ["name", "cluster"])
     mine, inner = F.col("own") == F.col("cluster"), F.col("s") / F.greatest(F.col("n") - 1, F.lit(1))
