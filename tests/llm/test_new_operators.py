@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from row_checks import same_rows
 
 from formwright.llm import conversation_repair, cutting, packing, spelling
 
@@ -222,3 +223,8 @@ def test_spelling_filters_miss_nothing(monkeypatch, spark):
     assert len(once) == len(set(once)) == 3 * (8 + sum(int((spelling.LETTERS > x).sum()) for x in hub.encode()))
     monkeypatch.setattr(spelling, "PROBES", 200)
     assert found() == once
+
+
+def test_new_operators_match_sql(spark, sf_dir, duck):
+    same_rows(conversation_repair.op11_conversation_repair(spark, sf_dir).toPandas(), duck.sql(conversation_repair.ORACLE).df())
+    same_rows(spelling.op13_spelling_variants(spark, sf_dir).toPandas(), duck.sql(spelling.ORACLE).df())
