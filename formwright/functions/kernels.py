@@ -373,6 +373,39 @@ def delaunay(points: np.ndarray) -> np.ndarray:
     return np.array(sorted(triangles), dtype=np.int64).reshape(-1, 3)
 
 
+def sure_triangles(points: np.ndarray, fans: list[list[tuple]], box: tuple[np.ndarray, float] | None) -> np.ndarray:
+    """Triangles (rows of three point indexes, counter-clockwise) of the points that stay whatever lies outside the box (low corner, side; None: nothing does).
+
+    fans holds for each point the triangles around it that are already known, as the places (bx, by, cx, cy) of their other corners, counter-clockwise; the points within those
+    may be missing here. A new triangle that covers known ones goes.
+    """
+    t = delaunay(points)
+    if not len(t):
+        return t
+    a, b, c = points[t[:, 0]], points[t[:, 1]], points[t[:, 2]]
+    turn = (b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0])
+    t = np.where(turn[:, None] > 0, t, t[:, [0, 2, 1]])
+    if box is not None:
+        u, v = b - a, c - a
+        uu, vv = (u * u).sum(axis=1), (v * v).sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            middle = np.stack([v[:, 1] * uu - u[:, 1] * vv, u[:, 0] * vv - v[:, 0] * uu], axis=1) / (2 * turn[:, None])
+            radius = np.hypot(*middle.T)[:, None]
+            (low, side), slack = box, 1e-9 * box[1]
+            near = a + middle - low
+            inside = ((near - radius > slack) & (near + radius < side - slack)).all(axis=1)
+        t = t[inside]
+    keep = np.ones(len(t), dtype=bool)
+    for i, corners in enumerate(t.tolist()):
+        gx, gy = points[corners].mean(axis=0)
+        for at in corners:
+            x, y = points[at]
+            if any((bx - x) * (gy - y) - (by - y) * (gx - x) >= 0 and (gx - x) * (cy - y) - (gy - y) * (cx - x) >= 0 for bx, by, cx, cy in fans[at]):
+                keep[i] = False
+                break
+    return t[keep]
+
+
 def voronoi_shares(points: np.ndarray, parcel: np.ndarray | list[list[np.ndarray]]) -> np.ndarray:
     """Area of each point's Voronoi cell within the parcel (a ring, or parts of shell and holes); parcel area / n for fewer than 4 points or an empty cell.
 

@@ -55,8 +55,8 @@ def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[parent[moved]]
 
 
-def united(pairs: DataFrame) -> DataFrame:
-    """node, label (label < node): stars that connect what the pairs (a, b) connect, one for each component of at most CHUNK pairs of a task.
+def united(pairs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """node, label (label < node): stars that connect what the pairs (a, b) connect, one for each component of at most some `chunk` pairs of a task.
 
     Never more rows than pairs. Few pairs are one task's, so their stars are the components; of many pairs, ranges of a are united, which are near each other where keys follow a layer's order.
     """
@@ -73,7 +73,7 @@ def united(pairs: DataFrame) -> DataFrame:
 
         for batch in batches:
             held.append(batch)
-            if sum(h.num_rows for h in held) >= CHUNK:
+            if sum(h.num_rows for h in held) >= chunk:
                 yield flush()
         if held:
             yield flush()
@@ -81,13 +81,13 @@ def united(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select("a", F.col("b").cast(kind).alias("b")).repartitionByRange("a").mapInArrow(run, f"node {kind}, label {kind}")
 
 
-def connected(pairs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+def connected(pairs: DataFrame, nodes: DataFrame, key: str, chunk: int = CHUNK) -> DataFrame:
     """key, group_id: the smallest key that pairs (a, b) lead to; nodes without pairs are groups of their own.
 
     Tasks first unite the pairs that they hold. Where their stars meet, every round passes the smallest label over each star's sides and then to the label's own label, so chains halve; rounds end
     when no label moves. Pairs with a null are no pairs.
     """
-    stars = stored(united(stored(pairs.select("a", "b").dropna(), "pairs")), "stars")
+    stars = stored(united(stored(pairs.select("a", "b").dropna(), "pairs"), chunk), "stars")
     several = stars.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
     inner = stars.select(F.col("label").alias("node")).join(stars.select("node"), "node", "left_semi")
     labels = stars if several.unionByName(inner).isEmpty() else _passed(stars)
