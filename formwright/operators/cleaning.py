@@ -22,6 +22,11 @@ def mapped(value: Column, table: dict) -> Column:
     return F.create_map(*map(F.lit, chain(*table.items())))[value]
 
 
+def named(value: Column, table: dict) -> Column:
+    """The text that table has for a value, else the value itself as text; null stays null."""
+    return F.coalesce(mapped(value, table), value.cast("string"))
+
+
 def unmapped(df: DataFrame, column: str, table: dict) -> DataFrame:
     """Distinct values of the column that the table lacks."""
     return df.where(~F.col(column).isin(*table)).select(column).distinct()

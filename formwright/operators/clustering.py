@@ -161,7 +161,7 @@ def search_k(df: DataFrame, key: str, embedded: str, features: str, ks: range, r
     from .components import stored
     from .spatial import squared_distances
 
-    sample = stored(bounded_sample(df.select(key, embedded, features), key, most), "k-sample")
+    sample = stored(bounded_sample(df.select(*dict.fromkeys((key, embedded, features))), key, most), "k-sample")
     away = {f"k{k}": squared_distances(F.col(embedded), centres) for k, centres in kmeans_each(sample, embedded, ks, restarts).items()}
     labelled = stored(sample.withColumns(away).withColumns({name: F.array_position(name, F.array_min(name)) - 1 for name in away}), "k-labels")
     scores = silhouettes(labelled, key, features, [f"k{k}" for k in ks]).select(F.substring("name", 2, 9).cast("int").alias("k"), "score")
@@ -182,6 +182,19 @@ def type_zmeans(df: DataFrame, kind: str, columns: list[str]) -> DataFrame:
     return means.select(kind, F.inline(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("feature"), F.col(c).alias("z")) for i, c in enumerate(columns)])))
 
 
+def type_means(df: DataFrame, kind: str, columns: list[str]) -> DataFrame:
+    """kind, n and the mean of each (scaled) feature in each type; nulls don't count, a type of none has a null mean."""
+    return df.groupBy(kind).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in columns])
+
+
+def feature_subset(names: list[str], source: str, explained: list[str] = (), custom: list[str] = ()) -> list[str]:
+    """The features that types are made of, in the order of names: those that explanations found (fs_from_explainer), all, or the listed ones (custom). Unknown names are dropped; none left: all."""
+    if source not in ("fs_from_explainer", "all", "custom"):
+        raise ValueError(f"unknown feature source {source}")
+    wanted = {"fs_from_explainer": explained, "all": names, "custom": custom}[source]
+    return [n for n in names if n in set(wanted)] or list(names)
+
+
 def top_by(df: DataFrame, group: str, order: list, n: int, rank: str = "rank") -> DataFrame:
     """The first n rows of each group, with their rank from 1. Spark cuts each group to n rows before the shuffle where the plan allows."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col(rank) <= n)

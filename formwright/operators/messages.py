@@ -74,6 +74,13 @@ def _summed(sent: DataFrame, width: int, block: str) -> DataFrame:
     return sent.groupBy(block, F.col("dst").alias("node")).agg(F.array(*[F.sum(F.col("x")[i]) for i in range(width)]).alias("m"))
 
 
+def predicted(df: DataFrame, logits: str = "logits") -> DataFrame:
+    """df with pred (index of the greatest logit, the first of equals) and prob (its softmax); both null without logits."""
+    top = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda s, v: s + F.exp(v - top))
+    return df.withColumns({"pred": F.nullif(F.array_position(logits, top).cast("int"), F.lit(0)) - 1, "prob": F.try_divide(F.lit(1.0), total)})
+
+
 def forward(nodes: DataFrame, edges: DataFrame, params: DataFrame, stats: DataFrame, model: Model, block: str = "block_id") -> DataFrame:
     """block, logits: the whole network over node and edge tables, as joins and sums; a graph may be larger than a task.
 

@@ -123,9 +123,8 @@ def explain(run: Run) -> None:
 def cluster(run: Run) -> None:
     """Core form types from key buildings, their names, features and representatives; then the type of every building."""
     c, names = run.config.clustering, shapes.feature_names(run.config.data.has_height)
-    if c.feature_source == "fs_from_explainer":
-        found = {r.feature for r in run.get("global_features").select("feature").collect()}  # at most all features
-        names = [n for n in names if n in found] or names
+    found = [r.feature for r in run.get("global_features").select("feature").collect()] if c.feature_source == "fs_from_explainer" else []  # at most all features
+    names = cl.feature_subset(names, c.feature_source, found, c.custom_features)
     rows = run.get("examine")
     key = rows.join(run.get("key_buildings").select("building_id").distinct(), "building_id", "left_semi") if c.use_gs_buildings else rows
     key = components.stored(st.fill_with_median(key, names).withColumn("x", cl.matrix(key, names)), "key")

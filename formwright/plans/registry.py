@@ -21,4 +21,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from . import cluster_queries, graph_queries, model_queries, shape_queries, spatial_queries, stats_queries  # noqa: E402, F401
+from . import cluster_queries, graph_queries, model_queries, shape_queries, spatial_queries, stats_queries, step_queries  # noqa: E402, F401

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from formwright.functions import geometry as g
-from formwright.operators import cleaning, components, spatial
+from formwright.operators import cleaning, components, shapes, spatial
 
 from formwright.sources import tables
 
@@ -103,13 +103,13 @@ reach AS (SELECT building_id AS node, building_id AS label FROM bld UNION SELECT
 grp AS (SELECT node AS building_id, min(label) AS group_id FROM reach GROUP BY node),
 r AS (SELECT group_id, 2 * lx AS x1, 2 * hx AS x2, 2 * ly AS y1, 2 * hy AS y2 FROM rect JOIN grp USING (building_id)),
 cell AS (SELECT DISTINCT group_id, x, y FROM r, range(0, 60) AS i(dx), range(0, 40) AS j(dy), LATERAL (SELECT x1 + dx AS x, y1 + dy AS y) WHERE x1 + dx < x2 AND y1 + dy < y2)
-SELECT group_id, round(count(*) / 4.0, 4)::DOUBLE AS area FROM cell GROUP BY group_id""")
+SELECT group_id, round(count(*) / 4.0, 4)::DOUBLE AS area, round(avg(x + 0.5) / 2 + 1e-7, 4) AS cx, round(avg(y + 0.5) / 2 + 1e-7, 4) AS cy FROM cell GROUP BY group_id""")
 def dissolved_groups(spark, sf_dir):
-    """The union of each group of touching buildings; the SQL counts quarter units."""
+    """The union of each group of touching buildings, its area and centroid; the SQL counts quarter units."""
     b = buildings(spark, sf_dir, placed=True)
     groups = components.connected(spatial.touching_pairs(b, "building_id"), b, "building_id")
     out = cleaning.dissolve(b.select("building_id", "parts").join(groups, "building_id"), "group_id")
-    return out.select("group_id", F.round(g.area(F.col("parts")), 4).alias("area"))
+    return shapes.measured(out).select("group_id", F.round("area", 4).alias("area"), *[F.round(F.col(c) + 1e-7, 4).alias(c) for c in ("cx", "cy")])
 
 
 @query(f"""WITH {_BOXES}, x AS (SELECT building_id, h, w, greatest(0, least(w, 3000 - lx)) AS cw, lx, ly FROM box WHERE lx < 3000 AND ly < 3300)
