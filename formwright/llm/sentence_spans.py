@@ -2,9 +2,9 @@
 
 From every sentence a run starts: the shortest one of several whole sentences that together reach a least number of words,
 so that neither short shouts nor stock phrases count, and two long sentences are enough. A run is told by 128 bits of hash of its
-sentences' 128-bit hashes. A global aggregation finds the first place of every run that occurs more than once; sentences that any other
-occurrence covers are removed. Only hashes and places are shuffled for this; texts move once, to be rebuilt. The first
-places of very common runs go to every task, so no task gets all occurrences of one run.
+sentences' 128-bit hashes. A run that a text repeats is one row with all its places there. A global aggregation finds the first place of every run
+that occurs more than once; sentences that any other occurrence covers are removed. Only hashes and places are shuffled for this; texts move once,
+to be rebuilt. The first places of very common runs go to every task, so no task gets all occurrences of one run.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from .common import WHITE, mix, saved, smaller_batches, table, text_chunks
 
 #: A run has this many sentences at least, and this many words at least.
 SENTENCES, WORDS = 2, 20
-#: A run with more occurrences than this is hot; the first places of up to so many hot runs (40 bytes each) go to every task.
+#: A run in more documents than this is hot; the first places of up to so many hot runs (40 bytes each) go to every task.
 HOT_RUN, BROADCAST_RUNS = 2_000, 200_000
 _U = np.uint64
 #: A sentence is a stretch up to and with its closing marks or line end; sentences join up to the whole text.
@@ -65,6 +65,7 @@ def _run_hash(sentence: np.ndarray, at: np.ndarray, to: np.ndarray, base: np.uin
 
 
 def _runs(batches: Iterator[pa.RecordBatch], sentences: int, words: int) -> Iterator[pa.RecordBatch]:
+    """Each document's different runs, with the ascending indexes of the sentences that they start at."""
     for batch in text_chunks(batches, "text"):
         raw = [t.encode() for t in batch.column(2).to_pylist()]
         starts, ends, counts, first = _cut(raw)
@@ -77,8 +78,14 @@ def _runs(batches: Iterator[pa.RecordBatch], sentences: int, words: int) -> Iter
         to = np.maximum(np.searchsorted(before, before[:-1] + words, "left"), n + sentences)
         whole = np.flatnonzero(to <= first[1:][doc]) if len(n) else n
         h1, h2 = (_run_hash(both[:, k], whole, to[whole], base).view(np.int64) for k, base in ((0, _B1), (1, _B2)))
+        order = np.lexsort((h2, h1, doc[whole]))
+        whole, h1, h2 = whole[order], h1[order], h2[order]
         owner = doc[whole]
-        cols = [pa.array(h1), pa.array(h2), batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array((whole - first[owner]).astype(np.int32)), pa.array((to[whole] - whole).astype(np.int32))]
+        new = np.ones(len(whole), dtype=bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        head = np.flatnonzero(new)
+        at = pa.ListArray.from_arrays(pa.array(np.append(head, len(whole)).astype(np.int32)), pa.array((whole - first[owner]).astype(np.int32)))
+        cols = [pa.array(h1[head]), pa.array(h2[head]), batch.column(0).take(pa.array(owner[head])), batch.column(1).take(pa.array(owner[head])), at, pa.array((to[whole] - whole)[head].astype(np.int32))]
         yield pa.RecordBatch.from_arrays(cols, names=["h1", "h2", "doc_id", "row", "at", "n"])
 
 
@@ -91,8 +98,9 @@ def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = int(first[i]), int(first[i + 1])
             gone = np.zeros(b - a + 1, dtype=np.int64)
             for r in ranges or []:
-                gone[r["at"]] += 1
-                gone[r["at"] + r["n"]] -= 1
+                for at in r["at"]:
+                    gone[at] += 1
+                    gone[at + r["n"]] -= 1
             out = np.cumsum(gone)[:-1] > 0
             removed.append(np.flatnonzero(out).astype(np.int32))
             stays = np.flatnonzero(~out) + a
@@ -112,19 +120,21 @@ def sentence_dedup(docs: DataFrame, sentences: int = SENTENCES, words: int = WOR
     smaller_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("row"), text.alias("text"))
-    places = saved(rows.mapInArrow(lambda it: _runs(it, sentences, words), "h1 long, h2 long, doc_id long, row long, at int, n int"), "sentence-runs")
-    place = F.struct("doc_id", "row", "at")
-    first = saved(places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1"), "repeated-runs")
-    hot = first.where(F.col("times") > hot_run).drop("times")
+    places = saved(rows.mapInArrow(lambda it: _runs(it, sentences, words), "h1 long, h2 long, doc_id long, row long, at array<int>, n int"), "sentence-runs")
+    place = F.struct("doc_id", "row", F.col("at")[0].alias("at"))
+    first = saved(places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.sum(F.size("at")).alias("times"), F.count("*").alias("docs")).where("times > 1").drop("times"), "repeated-runs")
+    hot = first.where(F.col("docs") > hot_run).drop("docs")
     small = hot.count() <= BROADCAST_RUNS
     if small:  # common runs meet their first place where they are; the others are joined
         told = places.join(F.broadcast(hot.withColumnRenamed("first", "hot")), ["h1", "h2"], "left")
         known = told.where("hot IS NOT NULL").select("doc_id", "row", "at", "n", F.col("hot").alias("first"))
-        rest, cold = told.where("hot IS NULL").drop("hot"), first.where(F.col("times") <= hot_run).drop("times")
+        rest, cold = told.where("hot IS NULL").drop("hot"), first.where(F.col("docs") <= hot_run).drop("docs")
     else:
-        known, rest, cold = None, places, first.drop("times")
+        known, rest, cold = None, places, first.drop("docs")
     others = rest.join(cold, ["h1", "h2"]).select("doc_id", "row", "at", "n", "first")
-    others = (others if known is None else others.unionByName(known)).where(~place.eqNullSafe(F.col("first")))
+    others = others if known is None else others.unionByName(known)
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))  # all places of a run go but its first one
+    others = others.withColumn("at", F.when(own, F.slice("at", 2, F.size("at"))).otherwise(F.col("at"))).where(F.size("at") > 0)
     per_doc = others.groupBy("doc_id", "row").agg(F.collect_set(F.struct("at", "n")).alias("ranges"))
     per_doc = per_doc.select(F.col("doc_id").alias("of_id"), F.col("row").alias("of_row"), "ranges")
     joined = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("row") == F.col("of_row")), "left")

@@ -253,6 +253,23 @@ def test_sentences_against_brute_force(documents, texts):
             assert {i: set(r) for i, r in got.items() if r} == dict(want)
 
 
+def test_sentences_repeated_line_goes_once_from_each_document(spark):
+    import pyarrow as pa
+
+    line = " ".join(f"word{k}" for k in range(12)) + ".\n"
+    rows = [(i, line * (3 + i) + f"Number {i} ends here, not like any other one does." + line * i) for i in range(6)]
+    data = pa.record_batch([pa.array([i for i, _ in rows]), pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["doc_id", "row", "text"])
+    runs = [r for b in sentence_spans._runs(iter([data]), 2, 20) for r in b.to_pylist()]
+    keys = [(r["doc_id"], r["h1"], r["h2"]) for r in runs]
+    assert len(keys) == len(set(keys))  # so a join makes no more rows than documents have different runs
+    assert max((r["at"] for r in runs if r["doc_id"] == 5), key=len) == [0, 1, 2, 3, 4, 5, 6, 9, 10, 11, 12]
+    want = slow_sentences(rows, 2, 20)
+    twice = spark.createDataFrame([*rows, rows[0], rows[5]], "doc_id long, text string")
+    for hot in (2_000, 1):
+        got = sentence_spans.sentence_dedup(twice, hot_run=hot).collect()
+        assert len(got) == 8 and all(set(r.removed) == want[r.doc_id] for r in got)
+
+
 def test_sentences_catch_planted_passages(spark):
     """Passages of over 50 words, put anywhere into other texts, cut sentences at both ends; clean texts with shouts and stock lines stay."""
     import random
