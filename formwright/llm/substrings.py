@@ -34,6 +34,8 @@ BATCH_BYTES, BUCKET = 400_000, 2_000_000
 TASK_BYTES = 32_000_000
 #: Windows of one piece: as many as can share one place of an anchor; longer runs, as periodic text has, are cut.
 PIECE = WINDOW - GRAM + 1
+#: Of pieces with one anchor, windows whose runs of NEAR bytes have a smallest hash that no other piece has are equal to none, and stay out of the construction.
+NEAR = 40
 #: An anchor with more distinct pieces than this is dealt over several collections.
 HOT_SEGMENTS = 4_000
 _U = np.uint64
@@ -59,14 +61,17 @@ def segments(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tupl
         low = np.minimum(low[: -(width - span)], low[width - span :])
     doc = np.repeat(np.arange(len(texts)), sizes)
     whole = doc[: len(low)] == doc[window - 1 :]
-    at = np.flatnonzero(whole)
-    if not len(at):
+    if not whole.any():
         return none, none, none, none.astype(_U)
-    low, d = low[at], doc[at]
-    new = np.concatenate(([True], (low[1:] != low[:-1]) | (d[1:] != d[:-1])))
-    start = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-    first = np.flatnonzero((np.arange(len(at)) - start) % PIECE == 0)
-    return d[first], at[first] - offsets[d[first]], np.diff(np.concatenate((first, [len(at)]))), low[first]
+    change, begins, ends = low[1:] != low[:-1], whole.copy(), whole.copy()  # no windows across texts: a gap parts those of two texts
+    begins[1:] &= change | ~whole[:-1]
+    ends[:-1] &= change | ~whole[1:]
+    begin = np.flatnonzero(begins)
+    count = np.flatnonzero(ends) + 1 - begin
+    pieces = (count + PIECE - 1) // PIECE
+    before = PIECE * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    first = np.repeat(begin, pieces) + before
+    return doc[first], first - offsets[doc[first]], np.minimum(np.repeat(count, pieces) - before, PIECE), low[first]
 
 
 _PACK = np.dtype([("rest", "<u4"), ("doc", "<u2"), ("text", "<i8")])  # the text's hash tells copies from different texts
@@ -174,15 +179,16 @@ _NONE = 255
 
 def _least_between(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """The least of values[lo:hi] for each pair, from minima over 2, 4, 8, ... neighbours."""
-    width = hi - lo
-    level = np.frexp(width.astype(np.float32))[1] - 1
-    levels, h = [values], 1
-    for _ in range(int(level.max(initial=0))):
-        levels.append(np.minimum(levels[-1][:-h], levels[-1][h:]))
-        h *= 2
-    every = np.concatenate(levels)
-    start = np.cumsum([0, *(len(x) for x in levels[:-1])])[level]
-    return np.minimum(every[start + lo], every[start + hi - (1 << level)])
+    level = np.frexp((hi - lo).astype(np.float32))[1] - 1
+    n, most = len(values), int(level.max(initial=0))
+    every = np.empty((most + 1, n), dtype=values.dtype)
+    every[0] = values
+    for k in range(most):
+        h = 1 << k
+        np.minimum(every[k, : n - 2 * h + 1], every[k, h : n - h + 1], out=every[k + 1, : n - 2 * h + 1])
+    flat = every.reshape(-1)
+    start = level.astype(np.int64) * n
+    return np.minimum(flat[start + lo], flat[start + hi - (1 << level)])
 
 
 def collection_order(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, most: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -200,21 +206,21 @@ def collection_order(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, most:
     pending, owner = np.flatnonzero(size > 0), np.flatnonzero(size > 0)
     while len(pending):
         total = len(at)
-        owned = np.zeros(total, dtype=np.int32)
-        owned[pending] = owner + 1
         # Symbol and place in one number: sorting these is a stable order of the symbols. A collection has far less than 2**24 symbols.
         placed = np.sort((symbol.astype(np.uint32) << np.uint32(24)) | np.arange(total, dtype=np.uint32))
-        order = (placed[: total - np.count_nonzero(symbol == _NONE)] & np.uint32(0xFFFFFF)).astype(np.int64)
-        found = owned[order]
-        put = np.flatnonzero(found)  # ranks of the new suffixes among all that start with a symbol
-        source, who = order[put], found[put] - 1
+        ranked = total - np.count_nonzero(symbol == _NONE)
+        wanted = (symbol[pending].astype(np.uint32) << np.uint32(24)) | pending.astype(np.uint32)
+        order = np.argsort(wanted)
+        wanted, source, who = wanted[order], pending[order], owner[order]
+        put = np.searchsorted(placed, wanted)  # ranks of the new suffixes among all that start with a symbol
         # The common prefix of a suffix with the one before it in its symbol's pile: one more than the least between their sources.
-        touched = np.zeros(len(order) + 1, dtype=bool)
-        touched[put] = touched[put + 1] = True
-        changed = np.flatnonzero(touched[:-1])
+        after = put + 1
+        changed = np.sort(np.concatenate((put, after[np.append(after[:-1] != put[1:], after[-1] < ranked)])))
         inside = changed[1:] if changed[0] == 0 else changed
-        inside = inside[symbol[order[inside]] == symbol[order[inside - 1]]]
-        lo, hi = order[inside - 1] + 1, order[inside] + 1
+        last, this = placed[inside - 1], placed[inside]
+        same = (last ^ this) < np.uint32(1 << 24)
+        inside, last, this = inside[same], last[same], this[same]
+        lo, hi = ((x & np.uint32(0xFFFFFF)).astype(np.int64) + 1 for x in (last, this))
         least = _least_between(lcp, lo, hi)
         # Suffixes so far keep their order around the new ones; the first n places are the ends of strings.
         stays = np.ones(total + len(put), dtype=bool)
@@ -274,6 +280,23 @@ def _collections(batches: Iterator[pa.RecordBatch], batch_bytes: int) -> Iterato
         yield held
 
 
+def _meeting(texts: list[bytes], anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece, the first and the end of the stretch of its windows that may be equal to one of another piece with its anchor; begin and end are equal where none may."""
+    d, start, count, near = segments(texts, gram=NEAR)
+    key = mix(near) ^ anchors.view(_U)[d]
+    order = np.lexsort((d, key))
+    new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+    other = np.concatenate(([False], d[order][1:] != d[order][:-1])) & ~new
+    group = np.cumsum(new) - 1
+    meets = np.zeros(len(d), dtype=bool)
+    meets[order] = (np.bincount(group, other) > 0)[group]
+    d, start, end = d[meets], start[meets], (start + count)[meets]  # a piece's stretches come in order
+    heads = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1]))) if len(d) else d
+    begins, ends = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+    begins[d[heads]], ends[d[heads]] = start[heads], end[np.append(heads[1:], len(d)) - 1] if len(d) else end
+    return begins, ends
+
+
 def _first_documents(batches: Iterator[pa.RecordBatch], batch_bytes: int) -> Iterator[pa.RecordBatch]:
     """For each distinct piece, runs of windows with the smallest doc_id that any equal window has."""
     for held in _collections(batches, batch_bytes):
@@ -283,8 +306,16 @@ def _first_documents(batches: Iterator[pa.RecordBatch], batch_bytes: int) -> Ite
         rows = {i: [{"a": 0, "b": len(held[i][4]) - WINDOW + 1, "first": held[i][5]}] for i in np.flatnonzero(alone).tolist() if held[i][5] < held[i][6]}
         some = np.flatnonzero(~alone)
         if len(some):
-            who, at, least, _ = _least_first([held[i][4] for i in some.tolist()], np.array([held[i][5] for i in some.tolist()]))
-            who = some[who]
+            texts, first = [held[i][4] for i in some.tolist()], np.array([held[i][5] for i in some.tolist()])
+            windows = np.array([len(x) for x in texts]) - WINDOW + 1
+            offset = np.cumsum(windows) - windows
+            who, at, least = np.repeat(some, windows), np.arange(windows.sum()) - np.repeat(offset, windows), np.repeat(first, windows)
+            begin, end = _meeting(texts, keys[some])
+            meet = np.flatnonzero(begin < end)
+            if len(meet):
+                parts = [texts[i][a : b + WINDOW - 1] for i, a, b in zip(meet.tolist(), begin[meet].tolist(), end[meet].tolist(), strict=True)]
+                part, place, low, _ = _least_first(parts, first[meet])
+                least[(offset + begin)[meet][part] + place] = low
             heads = np.flatnonzero(np.concatenate(([True], (who[1:] != who[:-1]) | (least[1:] != least[:-1]))))
             ends = np.concatenate((heads[1:], [len(who)]))
             useful = least[heads] < np.array([h[6] for h in held])[who[heads]]  # some document that holds it comes after the first one

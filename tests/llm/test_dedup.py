@@ -186,6 +186,34 @@ def test_substrings_odd(odd_documents, no_documents, spark):
     assert substrings.remove_repeats(no_documents).count() == 0
 
 
+def test_pieces_that_share_no_window_stay_out_of_the_construction(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    rnd = random.Random(3)
+    letters = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    phrases, passages = [letters(26) for _ in range(6)], [letters(58) for _ in range(6)]
+    texts = [(letters(70) + rnd.choice(phrases) + letters(70) + (rnd.choice(passages) + letters(60) if i % 8 == 0 else "")).encode() for i in range(240)] + [b"ab" * 90, b"x" + b"ab" * 60]
+    owners, starts, counts, anchors = substrings.segments(texts)
+    places = defaultdict(list)
+    for i, s, c, anchor in zip(owners.tolist(), starts.tolist(), counts.tolist(), anchors.view("int64").tolist()):
+        places[anchor, texts[i][s : s + c + 49]].append(i)
+    keys = sorted(k for k in places if len({i for (a, _), own in places.items() if a == k[0] for i in own}) > 1)
+    rows = [(a, 0, h, h, piece, min(places[a, piece]), max(places[a, piece])) for h, (a, piece) in enumerate(keys)]
+    data = pa.table([pa.array(c) for c in zip(*rows)], names=["anchor", "part", "h1", "h2", "segment", "first", "last"])
+    plain, sent = substrings._least_first, []
+    monkeypatch.setattr(substrings, "_least_first", lambda some, first: (sent.append(sum(map(len, some))), plain(some, first))[1])
+    got = {r["h1"]: {k: x["first"] for x in r["runs"] for k in range(x["a"], x["b"])} for b in substrings._first_documents(iter(data.to_batches()), 400_000) for r in b.to_pylist()}
+    least = {}
+    for _, _, _, _, piece, first, _ in rows:
+        for k in range(len(piece) - 49):
+            least[piece[k : k + 50]] = min(first, least.get(piece[k : k + 50], first))
+    want = {h: {k: v for k in range(len(piece) - 49) if (v := least[piece[k : k + 50]]) < last} for _, _, h, _, piece, _, last in rows}
+    assert got == {h: runs for h, runs in want.items() if runs} and len(got) > 20
+    assert 0 < sum(sent) < 0.5 * sum(len(r[4]) for r in rows)
+
+
 def test_collection_order_against_sorting():
     import numpy as np
 
