@@ -80,14 +80,11 @@ def points_within(points: DataFrame, areas: DataFrame, point_id: str, area_id: s
 def pairs_within(points: DataFrame, point_id: str, distance: float, group: list[str] = ()) -> DataFrame:
     """group, a, b, dist for all pairs a < b of points (of one group) no farther apart than distance.
 
-    Each point is dealt to its own cell and, on one side of the join, to the cells around it: an equi-join whose candidates are within twice the distance.
+    Pairs are found tile by tile, each from the candidates in a strip around a few points: see `neighbours`.
     """
-    at = lambda c: F.floor(F.col(c) / distance).cast("long")
-    left = points.select(*group, F.col(point_id).alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), at("x").alias("gx"), at("y").alias("gy"))
-    around = F.flatten(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda j: F.struct((at("x") + i).alias("gx"), (at("y") + j).alias("gy")))))
-    right = points.select(*group, F.col(point_id).alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.inline(around))
-    dist = F.sqrt((F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by")))
-    return left.join(right, [*group, "gx", "gy"]).where("a < b").withColumn("dist", dist).where(F.col("dist") <= distance).select(*group, "a", "b", "dist")
+    from .neighbours import pairs
+
+    return pairs(points, point_id, distance, list(group))
 
 
 def on_side_cells(rows: DataFrame, distance: float, size: float) -> DataFrame:
