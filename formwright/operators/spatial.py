@@ -65,15 +65,20 @@ def area_tiles(areas: DataFrame, key: str, cell: float, parts: str = "parts") ->
 
 
 def points_within(points: DataFrame, areas: DataFrame, point_id: str, area_id: str, cell: float, order: str | None = None) -> DataFrame:
-    """point_id, area_id: the first area (by `order`, or area_id) that holds each point; points in none are dropped.
+    """point_id, area_id: the first area (by `order`, or area_id) that each point lies within; points in none are dropped.
 
-    points: point_id, x, y. areas: area_id, parts. An area's holes are outside it. A point meets only what areas have of its grid tile: inner tiles hold it without a test, border tiles by their piece of the outline. Points of a crowded tile spread by AQE.
+    points: point_id, x, y. areas: area_id, parts. An area's holes are outside it, and so is its outline: a point on a side is not within. A point meets only what areas have of its grid tile: inner tiles hold it without a test, border tiles by their piece of the outline. Points of a crowded tile spread by AQE.
     """
     tiles = area_tiles(areas, area_id, cell)
     ranked = tiles.join(areas.select(area_id, F.col(order).alias("_order")), area_id) if order else tiles.withColumn("_order", F.col(area_id))
     p = points.select(F.col(point_id), "x", "y", F.floor(F.col("x") / cell).cast("long").alias("gx"), F.floor(F.col("y") / cell).cast("long").alias("gy"))
     hits = F.aggregate("rings", F.lit(0), lambda n, r: n + F.when(g.contains(r, F.col("x"), F.col("y")), 1).otherwise(0))
-    found = p.join(ranked, ["gx", "gy"]).where(F.col("rings").isNull() | (hits % 2 == 1))
+    # A tile's piece of the outline is cut at the tile's border, so whether a point is on the outline is told by the sides themselves.
+    outline = on_side_cells(sides(areas, area_id), 0.0, cell).groupBy(area_id, "gx", "gy").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("sides"))
+    ranked = ranked.join(outline, [area_id, "gx", "gy"], "left")
+    between = lambda v, a, b: v.between(F.least(a, b), F.greatest(a, b))
+    on = lambda s: between(F.col("x"), s.ax, s.bx) & between(F.col("y"), s.ay, s.by) & ((s.bx - s.ax) * (F.col("y") - s.ay) == (s.by - s.ay) * (F.col("x") - s.ax))
+    found = p.join(ranked, ["gx", "gy"]).where((F.col("rings").isNull() | (hits % 2 == 1)) & ~F.coalesce(F.exists("sides", on), F.lit(False)))
     return found.groupBy(point_id).agg(F.min_by(area_id, F.struct("_order", area_id)).alias(area_id))
 
 

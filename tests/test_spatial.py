@@ -135,3 +135,14 @@ def test_triangulation_by_walking():
         t = k.delaunay(p)
         assert sum(abs(k.polygon_area(p[list(x)])) for x in t) == pytest.approx(abs(k.polygon_area(k.convex_hull(p))))
         assert len(t) <= 2 * len(p) - 5
+
+
+@pytest.mark.parametrize("cell", [10.0, 4.0, 7.3])
+def test_points_on_an_outline_are_not_within(spark, cell):
+    """Whatever the tiles: on sides, corners and the rim of a hole; inner tile borders and points next to a side count."""
+    areas = shapes(spark, [(1, [[box(0, 0, 10, 10), box(4, 4, 2, 2)]]), (2, [[box(10, 0, 10, 10)]]), (3, [[np.array([[0, 20], [20, 20], [20, 40]], dtype=float)]])])
+    on = [(0, 5), (5, 0), (10, 5), (5, 10), (0, 0), (10, 0), (4, 5), (5, 4), (6, 5), (5, 6), (4, 4), (10, 30), (0, 20), (20, 30)]
+    within = {(5, 2): 1, (4, 3): 1, (8, 8): 1, (1e-9, 5): 1, (10 + 1e-9, 5): 2, (11, 30 + 0.5): 3, (12, 28): 3}
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate([*on, *within])], "p long, x double, y double")
+    got = {r.p: r.k for r in spatial.points_within(points, areas, "p", "k", cell).collect()}
+    assert got == {len(on) + i: a for i, a in enumerate(within.values())}
