@@ -124,31 +124,54 @@ def _sides_meet(distance: float) -> str:
     return " OR ".join([cross, near("a", "c", "d"), near("b", "c", "d"), near("c", "a", "b"), near("d", "a", "b")])
 
 
-def box_pairs(footprints: DataFrame, key: str, distance: float, cell: float) -> DataFrame:
-    """a < b: pairs of footprints whose boxes come within distance of each other, each once; only keys and bounds are shuffled."""
+def box_pairs(footprints: DataFrame, key: str, distance: float, cell: float, large: Column | None = None) -> DataFrame:
+    """a < b: pairs of footprints whose boxes come within distance of each other, each once; only keys and bounds are shuffled. large: only pairs of which one has this."""
     low, high = ("minx", "miny"), ("maxx", "maxy")
     grown = distance * (1 + 1e-9) + 1e-9
-    b = with_bounds(footprints).select(F.col(key).alias("k"), *low, *high)
+    b = with_bounds(footprints).select(F.col(key).alias("k"), *low, *high, (F.lit(True) if large is None else large).alias("large"))
     # The cell of the grown corner is a column of its own: a pair counts in the greater of two such, the same integers by which it was dealt.
     b = b.select("*", *[F.floor((F.col(c) - grown) / cell).cast("long").alias(f"c{c[-1]}") for c in low])
     last = [F.floor((F.col(c) + grown) / cell).cast("long") for c in high]
     b = b.select("*", F.explode(F.sequence("cx", last[0])).alias("gx"), F.sequence("cy", last[1]).alias("ys")).select("*", F.explode("ys").alias("gy")).drop("ys")
-    l, r = (b.select("gx", "gy", *[F.col(c).alias(f"{c}_{n}") for c in ("k", *low, *high, "cx", "cy")]) for n in "ab")
+    l, r = (b.select("gx", "gy", *[F.col(c).alias(f"{c}_{n}") for c in ("k", *low, *high, "cx", "cy", "large")]) for n in "ab")
     near = [(F.col(f"min{v}_a") - grown <= F.col(f"max{v}_b")) & (F.col(f"min{v}_b") - grown <= F.col(f"max{v}_a")) for v in "xy"]
     once = (F.col("gx") == F.greatest("cx_a", "cx_b")) & (F.col("gy") == F.greatest("cy_a", "cy_b"))
-    return l.join(r, ["gx", "gy"]).where("k_a < k_b").where(near[0] & near[1] & once).select(F.col("k_a").alias("a"), F.col("k_b").alias("b"))
+    both = l.where("large_a").join(r, ["gx", "gy"]).where("k_a < k_b OR (k_a > k_b AND NOT large_b)").where(near[0] & near[1] & once)
+    return both.select(F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b"))
 
 
 def touching_pairs(footprints: DataFrame, key: str, distance: float = 0.0, cell: float = 100.0) -> DataFrame:
     """a < b: pairs of footprints that come within distance of each other (0: share a point). What stands free in a courtyard does not touch the building around it.
 
+    Footprints of a few points within the size of a cell meet in tiles, see `touching`; pairs with a larger one are found over an index of sides, see `_with_large`.
+    """
+    return _touching(footprints, key, distance, cell, False)
+
+
+def touching_links(footprints: DataFrame, key: str, distance: float = 0.0, cell: float = 100.0) -> DataFrame:
+    """a < b: links that lead to the same components as touching_pairs; of small footprints no more than there are in each tile."""
+    return _touching(footprints, key, distance, cell, True)
+
+
+def _touching(footprints: DataFrame, key: str, distance: float, cell: float, linked: bool) -> DataFrame:
+    from . import touching
+
+    found = touching.by_tiles(footprints, key, float(distance), float(cell), linked)
+    if not touching.any_large(footprints, float(cell)):
+        return found
+    return found.unionByName(_with_large(footprints, key, distance, cell, ~touching.is_small(F.col("parts"), g.bounds(F.col("parts")), float(cell))))
+
+
+def _with_large(footprints: DataFrame, key: str, distance: float, cell: float, large: Column) -> DataFrame:
+    """touching_pairs of which one has `large`.
+
     First keys and boxes alone give candidate pairs. For those there is an index over sides: each side goes to the grid cells near its line, the sides of a grown by the distance, so two sides within it
     share a cell whatever the rounding. Where no sides meet, one footprint can only hold a part of the other whole: a point of each part is tested. All are column expressions; whole shapes move only for the last test.
     """
     from .components import stored
 
     distance, cell = float(distance), float(cell)
-    pairs = stored(box_pairs(footprints, key, distance, cell), "box-pairs")
+    pairs = stored(box_pairs(footprints, key, distance, cell, large), "box-pairs")
     ends = ("ax", "ay", "bx", "by")
 
     def index(name: str, names: tuple, by: float) -> DataFrame:

@@ -146,3 +146,39 @@ def test_points_on_an_outline_are_not_within(spark, cell):
     points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate([*on, *within])], "p long, x double, y double")
     got = {r.p: r.k for r in spatial.points_within(points, areas, "p", "k", cell).collect()}
     assert got == {len(on) + i: a for i, a in enumerate(within.values())}
+
+
+@pytest.mark.parametrize("distance", [0.0, 4.0])
+def test_large_and_odd_footprints_touch_too(spark, distance):
+    """Small footprints meet in tiles, a long outline and a wide one by their sides; null and empty shapes meet nothing. Links lead to the components of the pairs."""
+    from formwright.operators import components
+
+    rng = np.random.default_rng(6)
+    made = [(i, [[box(*rng.uniform(-90, 90, 2), *rng.uniform(2, 12, 2))]]) for i in range(120)] + [(200, [[star(90, 12, 5) + [60, 60]]]), (201, [[box(-80, -2, 130, 3)]]), (202, [[star(80, 9, 4)]])]
+    want = {(i, j) for i, p in made for j, q in made if i < j and gap(p, q) <= distance}
+    odd = [(300, None), (301, []), (302, [[[]]]), (303, [[[(1.0, 1.0), (None, 2.0), (3.0, 1.0)]]])]
+    df = spark.createDataFrame([*((i, as_parts(p)) for i, p in made), *odd[:2]], f"k long, parts {PARTS}")
+    assert want == {(r.a, r.b) for r in spatial.touching_pairs(df, "k", distance, 40.0).collect()} and len(want) > 30
+    pairs = spark.createDataFrame(sorted(want), "a long, b long")
+    groups = lambda p: sorted(components.connected(p, df, "k").collect())
+    assert groups(spatial.touching_links(df, "k", distance, 40.0)) == groups(pairs)
+    from formwright.operators import touching
+    import pyarrow as pa
+
+    kind = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+    rows, boxes = touching.small_ones(pa.array([None if p is None else [[[None if v is None else {"x": v[0], "y": v[1]} for v in r] for r in part] for part in p] for _, p in [*odd, (1, [[[(1.0, 2.0), (3.0, 5.0)]]])]], kind), 40.0)
+    assert rows.tolist() == [4] and boxes.tolist() == [[1.0, 2.0, 3.0, 5.0]]
+
+
+def test_links_are_few(spark):
+    """Of 400 footprints on one heap there are 79,800 pairs, and links no more than footprints in each tile; the same for points."""
+    from formwright.operators import components, neighbours
+
+    heap = shapes(spark, [(i, [[box(i % 20 / 10, i // 20 / 10, 9, 9)]]) for i in range(400)])
+    links = spatial.touching_links(heap, "k")
+    assert 0 < links.count() < 400 * 4 and {r.group_id for r in components.connected(links, heap, "k").collect()} == {0}
+    rng = np.random.default_rng(9)
+    points = spark.createDataFrame([(i, i % 2, float(x), float(y)) for i, (x, y) in enumerate(rng.random((600, 2)) * 300)], "id long, g int, x double, y double")
+    groups = lambda p: sorted(components.connected(p, points, "id").collect())
+    links, pairs = neighbours.links(points, "id", 17.0, ["g"]), neighbours.pairs(points, "id", 17.0, ["g"])
+    assert groups(links) == groups(pairs) and links.count() < pairs.count()
