@@ -49,7 +49,7 @@ def clean(run: Run, buildings: DataFrame) -> DataFrame:
     c = run.config.cleaning
     b = components.stored(shapes.valid(buildings), "valid")
     if c.enable_merge:
-        groups = components.stored(components.connected(spatial.touching_pairs(b, "building_id", c.merge_buffer_distance), b, "building_id"), "groups")
+        groups = components.stored(components.connected(spatial.touching_links(b, "building_id", c.merge_buffer_distance), b, "building_id"), "groups")
         merged = cleaning.merge_attributes(b.drop("parts"), groups, "building_id")
         joined = cleaning.dissolve(b.select("building_id", "parts").join(groups, "building_id"), "group_id")
         b = merged.join(joined, "group_id").select(F.col("group_id").alias("building_id"), "block_id", "height", F.col("first_id").alias("row_pos"), "building_ids", "parts")
