@@ -101,3 +101,13 @@ def test_sums_over_edges_make_no_edges(spark, sf_dir, monkeypatch, name):
 def test_edges_are_neither_joined_nor_rounded_by_decimals(spark, sf_dir):
     plan = registry.QUERIES["edge_weights"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "round(" not in plan and "ax#" not in plan
+
+
+def test_assembly_holds_no_row_of_all_edges(spark, sf_dir, monkeypatch):
+    from formwright.operators import classifier
+
+    def made(*_):
+        raise AssertionError("a row with a block's edges")
+
+    monkeypatch.setattr(classifier, "graph_rows", made)
+    assert registry.QUERIES["graph_assembly"](spark, sf_dir).count() > 0
