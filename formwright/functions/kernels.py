@@ -561,6 +561,23 @@ def assemble(border: list, grid: float | None = None) -> list[list[np.ndarray]]:
     return parts
 
 
+def heap_union(footprints: list[list[np.ndarray]], few: int = 12) -> list[list[np.ndarray]]:
+    """overlay of many footprints: neighbours along a Z-order curve are united a few at a time, again and again, so the work grows with the footprints and not with the square of their sides; whatever does not shrink goes to one last overlay."""
+    while len(footprints) > few:
+        ends = np.array([[r[0].min(axis=0), r[0].max(axis=0)] for r in footprints])
+        middle = ends.mean(axis=1)
+        at = ((middle - middle.min(axis=0)) / max(np.ptp(middle, axis=0).max(), 1e-300) * 1023).astype(int)
+        code = np.zeros(len(at), dtype=int)
+        for bit in range(10):
+            code |= ((at[:, 0] >> bit) & 1) << (2 * bit) | ((at[:, 1] >> bit) & 1) << (2 * bit + 1)
+        order = np.argsort(code, kind="stable")
+        united = [part for a in range(0, len(order), few) for part in overlay([footprints[i] for i in order[a : a + few]])]
+        if len(united) > 0.8 * len(footprints):
+            return overlay(united)
+        footprints = united
+    return overlay(footprints)
+
+
 def cell_border(footprints: list[list[list[np.ndarray]]], gx: int, gy: int, size: float) -> np.ndarray:
     """Directed sides (rows x1, y1, x2, y2, the inside on the left) of the union of footprints within one grid cell."""
     inside = []
@@ -574,7 +591,7 @@ def cell_border(footprints: list[list[list[np.ndarray]]], gx: int, gy: int, size
                     cut.append(r)
             if cut:
                 inside.append(cut)
-    union = overlay(inside)
+    union = heap_union(inside)
     sides = [np.hstack([r, np.roll(r, -1, axis=0)]) for part in union for n, r in enumerate(part)]
     return np.concatenate(sides) if sides else np.zeros((0, 4))
 

@@ -182,3 +182,13 @@ def test_links_are_few(spark):
     groups = lambda p: sorted(components.connected(p, points, "id").collect())
     links, pairs = neighbours.links(points, "id", 17.0, ["g"]), neighbours.pairs(points, "id", 17.0, ["g"])
     assert groups(links) == groups(pairs) and links.count() < pairs.count()
+
+
+def test_union_of_a_heap_goes_a_few_at_a_time(monkeypatch):
+    rng = np.random.default_rng(3)
+    made = [[box(*np.floor(rng.random(2) * 60), 6 + rng.integers(9), 5 + rng.integers(9))] for _ in range(150)]
+    area = lambda whole: sum(map(k.polygon_area, k.turned_rings(whole)))
+    want, sizes, overlay = area(k.overlay(made)), [], k.overlay
+    monkeypatch.setattr(k, "overlay", lambda left, *a: sizes.append(sum(map(len, (r for rings in left for r in rings)))) or overlay(left, *a))
+    assert area(k.heap_union(made)) == pytest.approx(want) and max(sizes) < 300
+    assert k.cell_border(made, 0, 0, 100.0).shape[1] == 4 and max(sizes) < 300
