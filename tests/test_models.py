@@ -281,3 +281,55 @@ def test_silhouettes_in_rounds(spark, monkeypatch):
     got = {r.name: r.score for r in cl.silhouettes(df, "k", "x", ["one", "two"]).collect()}
     assert [got["one"], got["two"]] == pytest.approx(want)
     assert cl.silhouettes(df.where("false"), "k", "x", ["one"]).count() == 0
+
+
+def test_steps_over_graphs_are_quick_and_the_same():
+    """A step over 400,000 edges takes well under a second; graphs from Arrow are those of rows; sums by bins are those of np.add.at."""
+    import time
+
+    import pyarrow as pa
+
+    from formwright.functions import tape as t
+
+    rng = np.random.default_rng(5)
+    rows = [graph(i, 7 + i, rng) for i in range(5)]
+    kind = pa.struct([("graph_id", pa.int64()), ("y", pa.int32()), ("x", pa.list_(pa.list_(pa.float32()))), ("src", pa.list_(pa.int32())), ("dst", pa.list_(pa.int32())), ("dist", pa.list_(pa.float64()))])
+    one, two = gc.side_by_side(rows[1:4]), gc.from_arrow(pa.array(rows, kind)[1:4])
+    assert one.ids == two.ids and one.n == two.n and all(np.allclose(getattr(one, f), getattr(two, f)) for f in ("x", "src", "dst", "dist", "graph", "y"))
+    model = Model(hidden_dim=8, output_dim=3)
+    p, s = gc.start(4, model)
+    logits = lambda b, x=None: gc.forward(b, {k: t.Node(v) for k, v in p.items()}, s, model, x=x)[0].value
+    assert np.allclose(logits(one), logits(one, t.Node(one.x))) and one.mixed is not None and np.allclose(logits(one), logits(two))
+    at, v = rng.integers(0, 50, 400), rng.standard_normal((400, 3))
+    want = np.zeros((50, 3))
+    np.add.at(want, at, v)
+    assert np.array_equal(t.scattered(at, v, 50), want)
+    e = rng.integers(0, 3_000, (400_000, 2))
+    big = gc.Batch(rng.standard_normal((3_000, 4)), e[:, 0], e[:, 1], np.ones(len(e)), np.zeros(3_000, int), np.array([1]), [0], 1)
+    gc.gradient_of(big, p, s, model, 0.1, np.random.default_rng(1))
+    began = time.process_time()
+    for _ in range(5):
+        gc.gradient_of(big, p, s, model, 0.1, np.random.default_rng(1))
+    assert time.process_time() - began < 1.0
+
+
+def test_graphs_of_places_are_those_of_edges(spark):
+    """Rows with places and a reach give the same steps as rows with all edges, and don't hold them."""
+    from pyspark.sql import functions as F
+
+    from formwright.operators import graphs, neighbours
+
+    rng = np.random.default_rng(11)
+    nodes = [(b, i, float(x), float(y), [float(v) for v in rng.standard_normal(3)]) for b in (1, 2) for i, (x, y) in enumerate(rng.random((40, 2)) * 60)] + [(3, 0, 0.0, 0.0, [1.0] * 3), (3, 1, 99.0, 0.0, [1.0] * 3)]
+    df = spark.createDataFrame(nodes, "block_id long, node_idx int, px double, py double, x array<double>")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "block_id long, y int")
+    edges = graphs.symmetric(neighbours.pairs(df.select("block_id", "node_idx", F.col("px").alias("x"), F.col("py").alias("y")), "node_idx", 20.0, ["block_id"]))
+    whole, placed = gc.graph_rows(df, edges, labels), gc.placed_graphs(df, labels, 20.0)
+    assert "src" not in placed.columns and {r.graph_id for r in placed.collect()} == {1, 2}
+    p, s = gc.start(3, Model(hidden_dim=8))
+    told = lambda g: {r.graph_id: (r.pred, pytest.approx(r.prob)) for r in gc.predict(g, p, s, Model(hidden_dim=8)).collect()}
+    assert told(whole) == {k: (a, b.expected) for k, (a, b) in told(placed).items()}
+    how = Training(epochs=2, batch_size=8)
+    fold = lambda g: gc.mini_batches(g.select(F.lit(0).alias("fold"), F.explode(F.array(F.lit(True), F.lit(False))).alias("train"), *g.columns), 8, 1)
+    one, two = (gc.fit(fold(g), 3, Model(hidden_dim=8, dropout=0.0), how)[0][2] for g in (whole, placed))
+    assert one == pytest.approx(two)
