@@ -191,4 +191,4 @@ def test_union_of_a_heap_goes_a_few_at_a_time(monkeypatch):
     want, sizes, overlay = area(k.overlay(made)), [], k.overlay
     monkeypatch.setattr(k, "overlay", lambda left, *a: sizes.append(sum(map(len, (r for rings in left for r in rings)))) or overlay(left, *a))
     assert area(k.heap_union(made)) == pytest.approx(want) and max(sizes) < 300
-    assert k.cell_border(made, 0, 0, 100.0).shape[1] == 4 and max(sizes) < 300
+    assert k.cell_border([[m] for m in made], 0, 0, 100.0).shape[1] == 4 and max(sizes) < 300
